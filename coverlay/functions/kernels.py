@@ -115,11 +115,6 @@ class Shapes:
 
 # --- measures -------------------------------------------------------------------------------
 
-MEASURE_TYPE = (
-    "struct<xmin:double,ymin:double,xmax:double,ymax:double,"
-    "n_points:int,area:double,length:double,cx:double,cy:double>"
-)
-
 
 def measures(geom: pa.Array, projected: bool, back: bool) -> pa.Array:
     """Bounds, vertex count, area, edge length and centroid of every geometry.
@@ -369,9 +364,6 @@ def line_hits(x1, y1, x2, y2, core, cx, cy, parity, blob, size: float, margin: f
     return pa.array(hit)
 
 
-SPANS_TYPE = "array<struct<ta:double,tb:double>>"
-
-
 def clip_spans(x1, y1, x2, y2, lo, hi, core, parity, blob) -> pa.Array:
     """Parameter ranges of each segment, within [lo, hi], that lie in the closed zone.
 
@@ -444,8 +436,6 @@ def clip_spans(x1, y1, x2, y2, lo, hi, core, parity, blob) -> pa.Array:
 
 # --- tiling ---------------------------------------------------------------------------------
 
-TILES_TYPE = "array<struct<cx:int,cy:int,core:boolean,parity:int,edges:binary>>"
-
 
 def tiles_of(geom: pa.Array, size: float, margin: float) -> pa.Array:
     """Tiles of every zone (see ``operators.tiling``)."""

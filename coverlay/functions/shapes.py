@@ -18,13 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from coverlay.functions import kernels
+from coverlay.functions import kernels, types
 from coverlay.functions.values import as_column
 
 POINT, LINE, POLYGON = "POINT", "LINE", "POLYGON"
 
-RING_TYPE = "array<struct<x:double,y:double>>"
-GEOM_TYPE = f"struct<kind:string,parts:array<array<{RING_TYPE}>>>"
 BOUNDS = ("xmin", "ymin", "xmax", "ymax")
 
 
@@ -42,7 +40,7 @@ def _xy(x: Column | str | float, y: Column | str | float) -> Column:
 def make_geom(kind: str, rings: Column) -> Column:
     """One-part geometry from an array of rings."""
     shape = F.struct(F.lit(kind).alias("kind"), F.array(rings).alias("parts"))
-    return shape.cast(GEOM_TYPE)
+    return shape.cast(types.GEOM)
 
 
 def point_geom(x: Column | str, y: Column | str) -> Column:
@@ -91,51 +89,51 @@ def is_empty(geom: Column | str) -> Column:
 
 
 @_once
-@F.arrow_udf(kernels.MEASURE_TYPE)
+@F.arrow_udf(types.MEASURES)
 def _planar_measures(geom: pa.Array) -> pa.Array:
     return kernels.measures(geom, projected=False, back=False)
 
 
 @_once
-@F.arrow_udf(kernels.MEASURE_TYPE)
+@F.arrow_udf(types.MEASURES)
 def _equal_area_measures(geom: pa.Array) -> pa.Array:
     return kernels.measures(geom, projected=True, back=False)
 
 
 @_once
-@F.arrow_udf(kernels.MEASURE_TYPE)
+@F.arrow_udf(types.MEASURES)
 def _equal_area_measures_lonlat_centre(geom: pa.Array) -> pa.Array:
     return kernels.measures(geom, projected=True, back=True)
 
 
 @_once
-@F.arrow_udf("binary")
+@F.arrow_udf(types.BINARY)
 def _edge_blobs(geom: pa.Array) -> pa.Array:
     return kernels.edge_blobs(geom, projected=False)
 
 
 @_once
-@F.arrow_udf("binary")
+@F.arrow_udf(types.BINARY)
 def _equal_area_edge_blobs(geom: pa.Array) -> pa.Array:
     return kernels.edge_blobs(geom, projected=True)
 
 
 @_once
-@F.arrow_udf("double")
+@F.arrow_udf(types.DOUBLE)
 def boundary_distance(x: pa.Array, y: pa.Array, outline: pa.Array) -> pa.Array:
     """Distance from a point to the nearest edge of an ``outline`` block."""
     return kernels.boundary_distance(x, y, outline)
 
 
 @_once
-@F.arrow_udf("double")
+@F.arrow_udf(types.DOUBLE)
 def ellipsoid_distance(lon1: pa.Array, lat1: pa.Array, lon2: pa.Array, lat2: pa.Array) -> pa.Array:
     """Metres along the WGS84 ellipsoid between two lon/lat points."""
     return kernels.ellipsoid_distance(lon1, lat1, lon2, lat2)
 
 
 @_once
-@F.arrow_udf("struct<valid:boolean,reason:string>")
+@F.arrow_udf(types.VALIDITY)
 def validity(geom: pa.Array) -> pa.Array:
     """Polygon validity with the first reason found; NULL geometry gives NULL."""
     return kernels.validity(geom)

@@ -13,19 +13,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coverlay.functions import geodesy, kernels, shapes
+from coverlay.functions import geodesy, kernels, shapes, types
 from coverlay.operators.tiling import Grid, build_tiles, choose_grid, join_tiles
 
 WITHIN, INTERSECTS = "within", "intersects"
 TILE_COLUMNS = ("cx", "cy", "core", "parity", "edges")
 
 
-@F.arrow_udf("int")
+@F.arrow_udf(types.INT)
 def _locate(core: pa.Array, x: pa.Array, y: pa.Array, parity: pa.Array, edges: pa.Array) -> pa.Array:
     return kernels.locate_points(core, x, y, parity, edges)
 
 
-@F.arrow_udf(kernels.SPANS_TYPE)
+@F.arrow_udf(types.SPANS)
 def _clip(
     x1: pa.Array, y1: pa.Array, x2: pa.Array, y2: pa.Array, lo: pa.Array, hi: pa.Array,
     core: pa.Array, parity: pa.Array, edges: pa.Array,
@@ -130,7 +130,7 @@ def polygon_pairs(
     grid = index.grid
     size, margin = grid.size, grid.margin
 
-    @F.arrow_udf("boolean")
+    @F.arrow_udf(types.BOOL)
     def hits(
         shape: pa.Array, core: pa.Array, cx: pa.Array, cy: pa.Array, parity: pa.Array, edges: pa.Array
     ) -> pa.Array:
@@ -235,7 +235,7 @@ def _merge_spans(spans: Column) -> Column:
             .otherwise(F.concat(acc, F.array(r)))
         )
 
-    empty = F.array().cast("array<struct<ta:double,tb:double>>")
+    empty = F.array().cast(types.SPANS)
     return F.aggregate(ordered, empty, step)
 
 
@@ -357,7 +357,7 @@ def touching_lines(
     grid, margin = index.grid, index.grid.margin
     size = grid.size
 
-    @F.arrow_udf("boolean")
+    @F.arrow_udf(types.BOOL)
     def hits(
         x1: pa.Array, y1: pa.Array, x2: pa.Array, y2: pa.Array,
         core: pa.Array, cx: pa.Array, cy: pa.Array, parity: pa.Array, edges: pa.Array,

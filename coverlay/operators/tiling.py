@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coverlay.functions import kernels, shapes
+from coverlay.functions import kernels, shapes, types
 
 # Cells per median zone side; finer grids mean more core cells but more tiles.
 SPLITS = (8, 4, 2)
@@ -97,7 +97,7 @@ def build_tiles(zones: DataFrame, grid: Grid, zone_id: str = "zone_id", geom: st
     """Tile table ``cx, cy, zone_id, core, parity, edges``; work grows with zone vertices only."""
     size, margin = grid.size, grid.margin
 
-    @F.arrow_udf(kernels.TILES_TYPE)
+    @F.arrow_udf(types.TILES)
     def tiles_of(shape: pa.Array) -> pa.Array:
         return kernels.tiles_of(shape, size, margin)
 

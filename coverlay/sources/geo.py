@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from coverlay.functions import shapes, wkb
+from coverlay.functions import types, wkb
 from coverlay.operators.contracts import Contract, ContractViolation, enforce, require_text_key
 from coverlay.operators.spatial_join import window_read, with_bounds
 from coverlay.sources.contracts import LAYER_CONTRACTS
@@ -17,12 +17,12 @@ from coverlay.sources.contracts import LAYER_CONTRACTS
 KEY = "GEOID"
 
 
-@F.arrow_udf(shapes.GEOM_TYPE)
+@F.arrow_udf(types.GEOM)
 def decode_wkb(blob: pa.Array) -> pa.Array:
     return wkb.decode(blob)
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(types.BINARY)
 def encode_wkb(geom: pa.Array) -> pa.Array:
     return wkb.encode(geom)
 
