@@ -30,8 +30,8 @@ def cumulative_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> Data
     cuts = counted.agg(
         F.percentile_approx("value", [i / BUCKETS for i in range(1, BUCKETS)], 10_000)
     ).scalar()
-    bucketed = counted.withColumn(
-        "bucket", F.size(F.filter(F.array_distinct(cuts), lambda c: c < F.col("value")))
+    bucketed = counted.withColumn("cuts", F.array_distinct(cuts)).select(
+        *by, "value", "n", F.size(F.filter("cuts", lambda c: c < F.col("value"))).alias("bucket")
     )
     group = by or [F.lit(0)]
     sizes = bucketed.groupBy(*by, "bucket").agg(F.sum("n").alias("rows"))

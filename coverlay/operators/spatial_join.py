@@ -142,6 +142,15 @@ def polygon_pairs(
     return pairs.filter(proved).drop(*TILE_COLUMNS)
 
 
+def features_of_zone(
+    features: DataFrame, zone: DataFrame, fid: Sequence[str], geom: str = "geom", zone_id: str = "zone_id"
+) -> DataFrame:
+    """Per-cell pairs of one zone's features: box filter in the scan, then the exact test."""
+    box = zone.select(shapes.measures("geom").alias("m")).select(*[f"m.{n}" for n in shapes.BOUNDS]).first()
+    nearby = window_read(with_bounds(features, geom), *box)
+    return polygon_pairs(nearby, ZoneIndex(zone, zone_id), fid, geom)
+
+
 def assign_by_intersection(
     features: DataFrame, zones: DataFrame | ZoneIndex, fid: Sequence[str], geom: str = "geom"
 ) -> DataFrame:

@@ -14,7 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coverlay.functions import shapes
+from coverlay.functions import geodesy, shapes
+from coverlay.operators.spatial_join import ZoneIndex
+from coverlay.operators.spread import spread
 
 SIDE = 20.0
 PLACE_ID = ["o_orderkey"]
@@ -23,6 +25,7 @@ FOOTPRINT_ID = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_exten
 # Lon/lat placement of the plane, for the projected measures.
 LON0, LON_STEP = -120.0, 4.0
 LAT0, LAT_STEP = 30.0, 10.0
+OFF_RASTER = 0.0037
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +40,10 @@ def _lat(y: Column) -> Column:
     return F.lit(LAT0) + y / LAT_STEP
 
 
+def _spread_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> DataFrame:
+    return spread(table(spark, sf_dir, name).select(*columns))
+
+
 def zones(spark: SparkSession, sf_dir: str, lonlat: bool = False) -> DataFrame:
     key = F.col("n_nationkey")
     x0 = (key % 5).cast("double") * SIDE
@@ -59,12 +66,19 @@ def zones(spark: SparkSession, sf_dir: str, lonlat: bool = False) -> DataFrame:
     )
 
 
+def zone_index(spark: SparkSession, sf_dir: str, lonlat: bool = False) -> ZoneIndex:
+    return ZoneIndex(zones(spark, sf_dir, lonlat))
+
+
 def places(spark: SparkSession, sf_dir: str, lonlat: bool = False) -> DataFrame:
     key = F.col("o_orderkey")
     x, y = (key * 7919) % 10000 / 100.0, (key * 104729) % 10000 / 100.0
     if lonlat:
         x, y = _lon(x), _lat(y)
-    return table(spark, sf_dir, "orders").select("*", x.alias("x"), y.alias("y"))
+    orders = _spread_table(
+        spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice"]
+    )
+    return orders.select("*", x.alias("x"), y.alias("y"))
 
 
 def footprints(spark: SparkSession, sf_dir: str, lonlat: bool = False) -> DataFrame:
@@ -73,8 +87,13 @@ def footprints(spark: SparkSession, sf_dir: str, lonlat: bool = False) -> DataFr
     h = F.lit(0.2) + (F.col("l_partkey") % 7) / 10.0
     corners = (x - h, y - h, x + h, y + h)
     if lonlat:
+        # off the 0.01 raster, so that no projected centroid falls exactly on a border
+        corners = tuple(c + OFF_RASTER for c in corners)
         corners = (_lon(corners[0]), _lat(corners[1]), _lon(corners[2]), _lat(corners[3]))
-    return table(spark, sf_dir, "lineitem").select(
+    lineitem = _spread_table(
+        spark, sf_dir, "lineitem", [*FOOTPRINT_ID, "l_returnflag", "l_linestatus", "l_quantity"]
+    )
+    return lineitem.select(
         *FOOTPRINT_ID, "l_returnflag", "l_linestatus", "l_quantity",
         *[c.alias(n) for n, c in zip(shapes.BOUNDS, corners)],
         shapes.box_geom(*corners).alias("geom"),
@@ -150,6 +169,34 @@ def with_sql(*parts: str) -> str:
     return "WITH " + ",".join(parts)
 
 
+# Equal-area projection, and back, of the columns lon/lat and x/y of an inner query.
+def projected_sql(inner: str) -> str:
+    """Add ``x, y`` (metres) to a query with ``lon, lat`` (degrees)."""
+    g = geodesy
+    return f"""
+  SELECT *, rho * sin(theta) AS x, {g.RHO_ORIGIN!r}::DOUBLE - rho * cos(theta) AS y FROM (
+   SELECT *, {g.SEMI_MAJOR_M!r}::DOUBLE * sqrt({g.CONE_C!r}::DOUBLE - {g.CONE!r}::DOUBLE * q) / {g.CONE!r}::DOUBLE AS rho,
+          {g.CONE!r}::DOUBLE * radians(lon - ({g.ORIGIN_LON_DEG!r}::DOUBLE)) AS theta FROM (
+    SELECT *, {1 - g.E2!r}::DOUBLE * (s / (1 - es * es) - ln((1 - es) / (1 + es)) / {2 * g.E1!r}::DOUBLE) AS q FROM (
+     SELECT *, sin(radians(lat)) AS s, {g.E1!r}::DOUBLE * sin(radians(lat)) AS es FROM ({inner}))))"""
+
+
+def unprojected_sql(inner: str) -> str:
+    """Add ``lon, lat`` (degrees) to a query with ``x, y`` (metres); iterated to convergence."""
+    g = geodesy
+    steps = f"""
+   SELECT *, asin(qq / {g.Q_POLE!r}::DOUBLE) AS phi0, atan2(x, {g.RHO_ORIGIN!r}::DOUBLE - y) AS th FROM (
+    SELECT *, ({g.CONE_C!r}::DOUBLE - (x * x + ({g.RHO_ORIGIN!r}::DOUBLE - y) * ({g.RHO_ORIGIN!r}::DOUBLE - y))
+       * {g.CONE / g.SEMI_MAJOR_M!r}::DOUBLE * {g.CONE / g.SEMI_MAJOR_M!r}::DOUBLE) / {g.CONE!r}::DOUBLE AS qq FROM ({inner}))"""
+    for i in range(4):
+        e = f"({g.E1!r}::DOUBLE * sin(phi{i}))"
+        steps = f"""
+   SELECT *, phi{i} + (1 - {e} * {e}) * (1 - {e} * {e}) / (2 * cos(phi{i}))
+     * (qq / {1 - g.E2!r}::DOUBLE - sin(phi{i}) / (1 - {e} * {e}) + ln((1 - {e}) / (1 + {e})) / {2 * g.E1!r}::DOUBLE) AS phi{i + 1}
+   FROM ({steps})"""
+    return f"SELECT *, {g.ORIGIN_LON_DEG!r}::DOUBLE + degrees(th / {g.CONE!r}::DOUBLE) AS lon, degrees(phi4) AS lat FROM ({steps})"
+
+
 LAYER_SQL = {"z": ZONES_SQL, "p": PLACES_SQL, "b": FOOTPRINTS_SQL, "r": ROADS_SQL, "lb": CLIPPED_SQL}
 
 
