@@ -144,6 +144,7 @@ def line_touch_length(spark: SparkSession, d: str) -> DataFrame:
 )
 def touch_vs_clip_defined(spark: SparkSession, d: str) -> DataFrame:
     index = L.zone_index(spark, d)
+    # a sparse road class, so that some zones have none of it
     named = L.roads(spark, d).filter("o_totalprice > 490000")
     return audit.definedness(named, index, index.zones, L.PLACE_ID, measure=sj.planar_measure)
 
