@@ -283,22 +283,31 @@ def _cell_box(cx: pa.Array, cy: pa.Array, size: float, margin: float):
     return x * size - margin, y * size - margin, (x + 1) * size + margin, (y + 1) * size + margin
 
 
-def polygon_hits(geom, core, cx, cy, parity, blob, size: float, margin: float) -> pa.Array:
-    """Does the polygon share a point with the zone, as far as this cell can tell?
+def polygon_hits(geom, core, cx, cy, parity, blob, size: float, margin: float, centre: str | None) -> pa.Array:
+    """``struct<touches, centred>``: what this cell can tell about a (polygon, zone) pair.
 
-    Proof in a cell: a vertex of the polygon in it lies in the zone, a polygon edge meets a
-    zone edge, or a zone vertex lies in the polygon.
+    A shared point is proved by a vertex of the polygon in this cell lying in the zone, a
+    polygon edge meeting a zone edge, or a zone vertex lying in the polygon.  ``centred`` is
+    true when the centroid (taken in the ``centre`` space) is in this cell and zone.
     """
     s = Shapes(geom)
     is_core = _flags(core)
     table, start, count = _edges(blob)
     bx1, by1, bx2, by2 = _cell_box(cx, cy, size, margin)
+    par = _numbers(parity).astype("int64")
+    centred = np.zeros(s.rows, dtype=bool)
+    if centre is not None:
+        flat = centre == "equal_area"
+        m = measures(geom, projected=flat, back=flat)
+        mx, my = _numbers(m.field("cx")), _numbers(m.field("cy"))
+        at = np.flatnonzero((np.floor(mx / size) == _numbers(cx)) & (np.floor(my / size) == _numbers(cy)))
+        held = _locate(mx[at], my[at], table, start[at], count[at], par[at]) == INSIDE
+        centred[at] = is_core[at] | held
     n = np.diff(s.row_points)
     row = np.repeat(np.arange(s.rows), n)
     x, y = s.x[s.row_points[0] : s.row_points[-1]], s.y[s.row_points[0] : s.row_points[-1]]
     here = (x >= bx1[row]) & (x <= bx2[row]) & (y >= by1[row]) & (y <= by2[row])
     row, x, y = row[here], x[here], y[here]
-    par = _numbers(parity).astype("int64")
     where = np.where(is_core[row], INSIDE, _locate(x, y, table, start[row], count[row], par[row]))
     hit = np.bincount(row, where != OUTSIDE, s.rows) > 0
 
@@ -316,7 +325,7 @@ def polygon_hits(geom, core, cx, cy, parity, blob, size: float, margin: float) -
             touched = np.bincount(r, _segments_touch(seg[i], near[j]), b - a) > 0
             covered = _any_vertex_inside(near, near_start[a:b], near_count[a:b], seg, seg_start[rows], seg_count[rows])
             hit[rows] |= touched | covered
-    return pa.array(hit)
+    return pa.StructArray.from_arrays([pa.array(hit), pa.array(centred)], names=["touches", "centred"])
 
 
 def _rowwise_bounds(s: Shapes, rows: np.ndarray):
@@ -364,9 +373,46 @@ def line_hits(x1, y1, x2, y2, core, cx, cy, parity, blob, size: float, margin: f
     return pa.array(hit)
 
 
-def clip_spans(x1, y1, x2, y2, lo, hi, core, parity, blob) -> pa.Array:
+MEASURES = ("planar", "equal_area", "ellipsoid")
+
+
+def _lengths(x1, y1, x2, y2, measure: str) -> np.ndarray:
+    """Length of straight segments: in own units, or in metres for lon/lat input."""
+    if measure == "planar":
+        return np.hypot(x2 - x1, y2 - y1)
+    if measure == "equal_area":
+        (ax, ay), (bx, by) = geodesy.project(np, x1, y1), geodesy.project(np, x2, y2)
+        return np.hypot(bx - ax, by - ay)
+    return _vincenty(x1, y1, x2, y2)
+
+
+def _span_lengths(seg: np.ndarray, row: np.ndarray, a: np.ndarray, b: np.ndarray, rows: int, measure: str) -> np.ndarray:
+    """Total length per row of the given parameter ranges of its segment."""
+    s = seg[row]
+    d = s[:, 2:] - s[:, :2]
+    # the far end is taken as stored, so a whole segment has exactly its own length
+    end = b == 1.0
+    x2 = np.where(end, s[:, 2], s[:, 0] + b * d[:, 0])
+    y2 = np.where(end, s[:, 3], s[:, 1] + b * d[:, 1])
+    length = _lengths(s[:, 0] + a * d[:, 0], s[:, 1] + a * d[:, 1], x2, y2, measure)
+    return np.bincount(row, length, rows)
+
+
+def span_lengths(x1, y1, x2, y2, spans: pa.Array, measure: str) -> pa.Array:
+    """Length of a list of parameter ranges of each segment."""
+    offsets = spans.offsets.to_numpy().astype("int64")
+    values = spans.values
+    row = np.repeat(np.arange(len(spans)), np.diff(offsets))
+    here = slice(offsets[0], offsets[-1])
+    a, b = _numbers(values.field("ta"))[here], _numbers(values.field("tb"))[here]
+    return pa.array(_span_lengths(_segment_table(x1, y1, x2, y2), row, a, b, len(spans), measure))
+
+
+def clip_spans(x1, y1, x2, y2, lo, hi, core, parity, blob, measure: str | None = None) -> pa.Array:
     """Parameter ranges of each segment, within [lo, hi], that lie in the closed zone.
 
+    With a ``measure`` the result is ``struct<spans, length>``.
+
     The range is cut at every edge crossing; a piece counts when its midpoint is inside or
     when an edge runs along it, so a line on a shared border belongs to both zones.
     """
@@ -429,9 +475,13 @@ def clip_spans(x1, y1, x2, y2, lo, hi, core, parity, blob) -> pa.Array:
         last = np.append(np.flatnonzero(fresh)[1:] - 1, len(p_row) - 1)
         p_row, p_a, p_b = p_row[fresh], p_a[fresh], p_b[last]
     offsets = np.concatenate(([0], np.cumsum(np.bincount(p_row, minlength=rows)))).astype("int32")
-    return pa.ListArray.from_arrays(
+    spans = pa.ListArray.from_arrays(
         pa.array(offsets), pa.StructArray.from_arrays([pa.array(p_a), pa.array(p_b)], names=["ta", "tb"])
     )
+    if measure is None:
+        return spans
+    length = _span_lengths(seg, p_row, p_a, p_b, rows, measure)
+    return pa.StructArray.from_arrays([spans, pa.array(length)], names=["spans", "length"])
 
 
 # --- tiling ---------------------------------------------------------------------------------
@@ -502,11 +552,18 @@ WGS84_F = 1 / 298.257223563
 
 
 def ellipsoid_distance(lon1: pa.Array, lat1: pa.Array, lon2: pa.Array, lat2: pa.Array) -> pa.Array:
+    metres = _vincenty(_numbers(lon1), _numbers(lat1), _numbers(lon2), _numbers(lat2))
+    return pa.array(metres, mask=~np.isfinite(metres))
+
+
+def _vincenty(lon1, lat1, lon2, lat2) -> np.ndarray:
     """Geodesic length by Vincenty's inverse formula, iterated until every row settles."""
+    if not len(lon1):
+        return np.zeros(0)
     b = WGS84_A * (1 - WGS84_F)
-    lam0 = np.radians(_numbers(lon2) - _numbers(lon1))
-    u1 = np.arctan((1 - WGS84_F) * np.tan(np.radians(_numbers(lat1))))
-    u2 = np.arctan((1 - WGS84_F) * np.tan(np.radians(_numbers(lat2))))
+    lam0 = np.radians(lon2 - lon1)
+    u1 = np.arctan((1 - WGS84_F) * np.tan(np.radians(lat1)))
+    u2 = np.arctan((1 - WGS84_F) * np.tan(np.radians(lat2)))
     s1, c1, s2, c2 = np.sin(u1), np.cos(u1), np.sin(u2), np.cos(u2)
     lam = lam0.copy()
     with np.errstate(invalid="ignore", divide="ignore"):
@@ -538,8 +595,7 @@ def ellipsoid_distance(lon1: pa.Array, lat1: pa.Array, lon2: pa.Array, lat2: pa.
             - big_b / 6 * cos_2m * (4 * sin_sigma**2 - 3) * (4 * cos_2m**2 - 3)
         )
     )
-    metres = b * big_a * (sigma - delta)
-    return pa.array(metres, mask=~np.isfinite(metres))
+    return b * big_a * (sigma - delta)
 
 
 # --- validity -------------------------------------------------------------------------------
@@ -629,12 +685,54 @@ def _polygon_reason(parts: list[list[np.ndarray]]) -> str | None:
     return None
 
 
+# Rings up to this many edges are checked pair by pair for a whole batch at once.
+SMALL_RING = 64
+
+
+def _simple_rows(s: Shapes, polygon: np.ndarray) -> np.ndarray:
+    """Rows made of one small, closed, proper ring that is valid.
+
+    Anything odd (holes, several parts, repeated vertices, an open ring) is left to the
+    general check, and so is every ring found faulty, to name the fault.
+    """
+    first, n = s.row_points[:-1], np.diff(s.row_points)
+    row_rings = np.bincount(s.ring_row, minlength=s.rows)
+    candidate = polygon & (row_rings == 1) & (np.diff(s.row_parts) == 1) & (n >= 4) & (n <= SMALL_RING + 1)
+    rows = np.flatnonzero(candidate)
+    a, z = first[rows], first[rows] + n[rows] - 1
+    rows = rows[(s.x[a] == s.x[z]) & (s.y[a] == s.y[z])]
+    start, count = first[rows], n[rows] - 1
+    idx = _ranges(start, count)
+    owner = np.repeat(np.arange(len(rows)), count)
+    e = np.column_stack([s.x[idx], s.y[idx], s.x[idx + 1], s.y[idx + 1]]) if len(idx) else np.zeros((0, 4))
+    odd = ~np.isfinite(e).all(axis=1) | ((e[:, 0] == e[:, 2]) & (e[:, 1] == e[:, 3]))
+    proper = np.bincount(owner, odd, len(rows)) == 0
+    local = np.cumsum(count) - count
+    faulty = np.zeros(len(rows), dtype=bool)
+    for b0, b1 in _blocks(count * count):
+        r, i, j = _products(local[b0:b1], count[b0:b1], local[b0:b1], count[b0:b1])
+        keep = i < j
+        r, i, j = r[keep], i[keep], j[keep]
+        gap = j - i
+        apart = (gap != 1) & (gap != count[b0:b1][r] - 1)
+        bad = _overlap_length(e[i], e[j]) | (apart & _segments_touch(e[i], e[j]))
+        faulty[b0:b1] = np.bincount(r, bad, b1 - b0) > 0
+    good = np.zeros(s.rows, dtype=bool)
+    good[rows[proper & ~faulty]] = True
+    return good
+
+
 def validity(geom: pa.Array) -> pa.Array:
     """``struct<valid, reason>``; only polygons can be invalid, empty ones are valid."""
     s = Shapes(geom)
     kinds = s.kind.to_pylist()
+    good = _simple_rows(s, s.valid & np.array([k == "POLYGON" for k in kinds], dtype=bool))
     valid, reason = [], []
     for r in range(s.rows):
+        if good[r]:
+            valid.append(True)
+            reason.append("Valid Geometry")
+            continue
         why = None
         if s.valid[r] and kinds[r] == "POLYGON":
             parts = []

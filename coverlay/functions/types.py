@@ -25,4 +25,6 @@ MEASURES = struct(
 )
 SPANS = ArrayType(struct(ta=DOUBLE, tb=DOUBLE))
 TILES = ArrayType(struct(cx=INT, cy=INT, core=BOOL, parity=INT, edges=BINARY))
+HITS = struct(touches=BOOL, centred=BOOL)
+CLIPPED = struct(spans=SPANS, length=DOUBLE)
 VALIDITY = struct(valid=BOOL, reason=TEXT)

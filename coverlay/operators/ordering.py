@@ -18,6 +18,16 @@ from coverlay.operators.spread import group_lookup
 BUCKETS = 64
 
 
+def _cuts_below(cuts: Column, value: Column, low: int, high: int) -> Column:
+    """Number of sorted cuts below the value: a binary search spelled out as branches."""
+    if low == high:
+        return F.lit(low)
+    middle = (low + high) // 2
+    return F.when(F.get(cuts, middle) < value, _cuts_below(cuts, value, middle + 1, high)).otherwise(
+        _cuts_below(cuts, value, low, middle)
+    )
+
+
 def cumulative_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Per distinct non-null value: ``n``, rows ``before`` it and the group's ``total``."""
     by = list(by)
@@ -30,8 +40,8 @@ def cumulative_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> Data
     cuts = counted.agg(
         F.percentile_approx("value", [i / BUCKETS for i in range(1, BUCKETS)], 10_000)
     ).scalar()
-    bucketed = counted.withColumn("cuts", F.array_distinct(cuts)).select(
-        *by, "value", "n", F.size(F.filter("cuts", lambda c: c < F.col("value"))).alias("bucket")
+    bucketed = counted.withColumn("cuts", cuts).select(
+        *by, "value", "n", _cuts_below(F.col("cuts"), F.col("value"), 0, BUCKETS - 1).alias("bucket")
     )
     group = by or [F.lit(0)]
     sizes = bucketed.groupBy(*by, "bucket").agg(F.sum("n").alias("rows"))

@@ -25,17 +25,28 @@ def _locate(core: pa.Array, x: pa.Array, y: pa.Array, parity: pa.Array, edges: p
     return kernels.locate_points(core, x, y, parity, edges)
 
 
-@F.arrow_udf(types.SPANS)
-def _clip(
-    x1: pa.Array, y1: pa.Array, x2: pa.Array, y2: pa.Array, lo: pa.Array, hi: pa.Array,
-    core: pa.Array, parity: pa.Array, edges: pa.Array,
-) -> pa.Array:
-    return kernels.clip_spans(x1, y1, x2, y2, lo, hi, core, parity, edges)
-
-
 # Kernels run once per candidate pair, after the join; non-deterministic keeps the optimizer
 # from moving them into the join or repeating them in inferred filters.
-_locate, _clip = _locate.asNondeterministic(), _clip.asNondeterministic()
+_locate = _locate.asNondeterministic()
+
+
+def _clip_with(measure: str):
+    @F.arrow_udf(types.CLIPPED)
+    def clip(
+        x1: pa.Array, y1: pa.Array, x2: pa.Array, y2: pa.Array, lo: pa.Array, hi: pa.Array,
+        core: pa.Array, parity: pa.Array, edges: pa.Array,
+    ) -> pa.Array:
+        return kernels.clip_spans(x1, y1, x2, y2, lo, hi, core, parity, edges, measure)
+
+    return clip.asNondeterministic()
+
+
+def _measure_with(measure: str):
+    @F.arrow_udf(types.DOUBLE)
+    def lengths(x1: pa.Array, y1: pa.Array, x2: pa.Array, y2: pa.Array, spans: pa.Array) -> pa.Array:
+        return kernels.span_lengths(x1, y1, x2, y2, spans, measure)
+
+    return lengths.asNondeterministic()
 
 
 class ZoneIndex:
@@ -119,27 +130,33 @@ def _box_cells(features: DataFrame, grid: Grid) -> DataFrame:
 
 
 def polygon_pairs(
-    features: DataFrame, zones: DataFrame | ZoneIndex, fid: Sequence[str], geom: str = "geom"
+    features: DataFrame, zones: DataFrame | ZoneIndex, fid: Sequence[str], geom: str = "geom", centre: str | None = None
 ) -> DataFrame:
     """(polygon, zone) pairs that share at least a point, once per *cell* that proves it.
 
-    A pair is proved by a vertex in the zone, an edge meeting a zone edge, or a zone vertex
-    inside the polygon; each of those lies in a cell that both sides cover.
+    Every proof (see ``kernels.polygon_hits``) lies in a cell that both sides cover.  With a
+    ``centre`` space the same pass also marks, in ``centred``, the zone holding the centroid;
+    such a pair is kept, with ``touches`` false, even if the outline misses the zone.
     """
     index = as_index(zones)
     grid = index.grid
     size, margin = grid.size, grid.margin
 
-    @F.arrow_udf(types.BOOL)
+    @F.arrow_udf(types.HITS)
     def hits(
         shape: pa.Array, core: pa.Array, cx: pa.Array, cy: pa.Array, parity: pa.Array, edges: pa.Array
     ) -> pa.Array:
-        return kernels.polygon_hits(shape, core, cx, cy, parity, edges, size, margin)
+        return kernels.polygon_hits(shape, core, cx, cy, parity, edges, size, margin, centre)
 
     cells = _box_cells(with_bounds(features, geom), grid)
     pairs = join_tiles(cells, index.tiles, grid, salt_by=list(fid))
-    proved = hits.asNondeterministic()(geom, "core", "cx", "cy", "parity", "edges")
-    return pairs.filter(proved).drop(*TILE_COLUMNS)
+    judged = pairs.withColumn("_hit", hits.asNondeterministic()(geom, "core", "cx", "cy", "parity", "edges"))
+    if centre is None:
+        return judged.filter("_hit.touches").drop(*TILE_COLUMNS, "_hit")
+    marked = judged.filter("_hit.touches or _hit.centred")
+    return marked.withColumns({"touches": F.col("_hit.touches"), "centred": F.col("_hit.centred")}).drop(
+        *TILE_COLUMNS, "_hit"
+    )
 
 
 def features_of_zone(
@@ -160,18 +177,26 @@ def assign_by_intersection(
 
 
 def count_pairs(
-    pairs: DataFrame, fid: Sequence[str], by: Sequence[str] = ("zone_id",), name: str = "n"
+    pairs: DataFrame,
+    fid: Sequence[str],
+    by: Sequence[str] = ("zone_id",),
+    name: str = "n",
+    flags: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Distinct features per group from per-cell pairs.
+    """Distinct touching features per group from per-cell pairs.
 
     Features that fit one cell cannot repeat, so they are summed map-side; only ids of
-    features spanning several cells are shuffled to be counted once.
+    features spanning several cells are shuffled to be counted once.  ``flags`` adds plain
+    counts of flag columns that are true in one cell at most.
     """
-    wide_id = F.when(F.col("many_cells"), F.struct(*fid))
+    touches = F.col("touches") if "touches" in pairs.columns else F.lit(True)
+    wide_id = F.when(F.col("many_cells") & touches, F.struct(*fid))
     grouped = pairs.groupBy(*by).agg(
-        F.count_if(~F.col("many_cells")).alias("_single"), F.count_distinct(wide_id).alias("_wide")
+        F.count_if(~F.col("many_cells") & touches).alias("_single"),
+        F.count_distinct(wide_id).alias("_wide"),
+        *[F.count_if(flag).alias(n) for n, flag in (flags or {}).items()],
     )
-    return grouped.select(*by, (F.col("_single") + F.col("_wide")).alias(name))
+    return grouped.select(*by, (F.col("_single") + F.col("_wide")).alias(name), *(flags or {}))
 
 
 def line_segments(lines: DataFrame, fid: Sequence[str], geom: str = "geom", keep: Sequence[str] = ()) -> DataFrame:
@@ -217,15 +242,16 @@ def _cut_by_cells(segments: DataFrame, grid: Grid) -> DataFrame:
     )
 
 
-def _clip_pieces(segments: DataFrame, index: ZoneIndex, salt_by: list[str]) -> DataFrame:
-    """Per (segment, cell, zone): parameter ranges of the segment inside the closed zone."""
+def _clip_pieces(segments: DataFrame, index: ZoneIndex, salt_by: list[str], measure: str = "planar") -> DataFrame:
+    """Per (segment, cell, zone): ranges of the segment inside the closed zone, and their length."""
     pairs = join_tiles(_cut_by_cells(segments, index.grid), index.tiles, index.grid, salt_by)
-    spans = _clip("seg.x1", "seg.y1", "seg.x2", "seg.y2", "lo", "hi", "core", "parity", "edges")
+    cut = _clip_with(measure)("seg.x1", "seg.y1", "seg.x2", "seg.y2", "lo", "hi", "core", "parity", "edges")
     return (
-        pairs.withColumn("spans", spans)
+        pairs.withColumn("_cut", cut)
+        .withColumns({"spans": F.col("_cut.spans"), "length": F.col("_cut.length")})
         .filter(F.size("spans") > 0)
         .withColumn("whole", (F.col("lo") == 0.0) & (F.col("hi") == 1.0))
-        .drop(*TILE_COLUMNS, "lo", "hi")
+        .drop(*TILE_COLUMNS, "lo", "hi", "_cut")
     )
 
 
@@ -245,7 +271,7 @@ def _merge_spans(spans: Column) -> Column:
         )
 
     empty = F.array().cast(types.SPANS)
-    return F.aggregate(ordered, empty, step)
+    return F.when(F.size(spans) <= 1, spans).otherwise(F.aggregate(ordered, empty, step))
 
 
 def _sub_segment(seg: Column, r: Column) -> Column:
@@ -305,33 +331,34 @@ def clipped_length(
     fid: Sequence[str],
     geom: str = "geom",
     by: Sequence[str] = (),
-    measure=equal_area_measure,
+    measure: str = "equal_area",
 ) -> DataFrame:
     """Total clipped length per (zone, by), without building the clipped lines.
 
-    Segments inside one cell are measured and summed map-side under a NULL key.  Only
-    segments crossing a grid line keep their key, so that their parts can be joined again
-    before measuring (a projected length is not additive along a straight segment).
+    ``measure`` is planar, equal_area or ellipsoid.  Segments inside one cell are measured
+    where they are cut and summed map-side under a NULL key.  Only segments crossing a grid
+    line keep their key, so that their parts can be joined again before measuring (a
+    projected length is not additive along a straight segment).
     """
+    if measure not in kernels.MEASURES:
+        raise ValueError(f"unknown measure {measure!r}: use one of {kernels.MEASURES}")
     index = as_index(zones)
-    pieces = _clip_pieces(line_segments(lines, fid, geom, by), index, list(fid))
-
-    def total(spans: Column) -> Column:
-        lengths = F.transform(spans, lambda r: measure(_sub_segment(F.col("seg"), r)))
-        return F.aggregate(lengths, F.lit(0.0), lambda acc, v: acc + v)
-
-    split_key = F.when(~F.col("whole"), F.struct(*fid, "part"))
-    keyed = pieces.withColumn("_key", split_key).withColumn(
-        "_length", F.when(F.col("whole"), total(F.col("spans")))
-    )
-    parts = keyed.groupBy(*by, "zone_id", "_key").agg(
-        F.sum("_length").alias("_length"),
-        F.flatten(F.collect_list(F.when(~F.col("whole"), F.col("spans")))).alias("spans"),
-        F.max(F.when(~F.col("whole"), F.col("seg"))).alias("seg"),
+    pieces = _clip_pieces(line_segments(lines, fid, geom, by), index, list(fid), measure)
+    split = ~F.col("whole")
+    parts = (
+        pieces.withColumn("_key", F.when(split, F.struct(*fid, "part")))
+        .groupBy(*by, "zone_id", "_key")
+        .agg(
+            F.sum(F.when(F.col("whole"), F.col("length"))).alias("length"),
+            F.flatten(F.collect_list(F.when(split, F.col("spans")))).alias("spans"),
+            F.max(F.when(split, F.col("seg"))).alias("seg"),
+        )
     )
     merged = parts.withColumn("spans", _merge_spans(F.col("spans")))
-    one = F.when(F.col("_key").isNull(), F.col("_length")).otherwise(total(F.col("spans")))
-    return merged.groupBy(*by, "zone_id").agg(F.sum(one).alias("length"))
+    again = _measure_with(measure)("seg.x1", "seg.y1", "seg.x2", "seg.y2", "spans")
+    measured = merged.withColumn("_again", again)
+    one = F.when(F.col("_key").isNull(), F.col("length")).otherwise(F.col("_again"))
+    return measured.groupBy(*by, "zone_id").agg(F.sum(one).alias("length"))
 
 
 def _touch_cells(segments: DataFrame, grid: Grid) -> DataFrame:

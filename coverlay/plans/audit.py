@@ -121,7 +121,7 @@ def explain_gaps(explained: DataFrame, side: str, observed: str, reference: str)
     )
 
 
-def definedness(lines: DataFrame, zones: ZoneIndex, zone_list: DataFrame, fid: Sequence[str], near_zero: float = 10.0, measure=equal_area_measure) -> DataFrame:
+def definedness(lines: DataFrame, zones: ZoneIndex, zone_list: DataFrame, fid: Sequence[str], near_zero: float = 10.0, measure: str = "equal_area") -> DataFrame:
     """Zones without coverage by bare touch and by clipped length > 0, per region.
 
     A line meeting a zone at one vertex touches it but covers none of it; ``near_zero``

@@ -16,11 +16,9 @@ from coverlay.operators.features import onto_zones
 from coverlay.operators.sets import union_scopes
 from coverlay.operators.spatial_join import (
     ZoneIndex,
-    assign_by_centroid,
     clipped_length,
     count_pairs,
     count_points_where,
-    equal_area_measure,
     polygon_pairs,
 )
 from coverlay.sources.names import ESTABLISHMENT_COLUMN, GAPS, PLACE_CATEGORIES, RAW_COLUMNS
@@ -45,7 +43,7 @@ def _per_side(counts: DataFrame, value: str, names: Mapping[str, str]) -> DataFr
 
 
 def transport_lengths(
-    observed: DataFrame, reference: DataFrame, zones: ZoneIndex, fid: Sequence[str], measure=equal_area_measure
+    observed: DataFrame, reference: DataFrame, zones: ZoneIndex, fid: Sequence[str], measure: str = "equal_area"
 ) -> DataFrame:
     """Clipped road length per zone and side.  Filter both layers to named roads first."""
     lines = _both_sides(observed, reference, [*fid, "geom"])
@@ -62,25 +60,19 @@ def building_counts(
     fid: Sequence[str],
     centroid_space: str = "equal_area",
 ) -> DataFrame:
-    """Buildings per zone and side under the centroid and the intersection rule."""
+    """Buildings per zone and side under the centroid and the intersection rule, in one pass."""
     kept = [*fid, "geom"]
     kept += [c for c in ("xmin", "ymin", "xmax", "ymax") if c in observed.columns and c in reference.columns]
     layers = _both_sides(observed, reference, kept)
-    centred = (
-        assign_by_centroid(layers, zones, centroid_space=centroid_space)
-        .groupBy("zone_id", "side")
-        .agg(F.count(F.lit(1)).alias("n"))
+    pairs = polygon_pairs(layers, zones, fid, centre=centroid_space)
+    counts = count_pairs(pairs, fid, ["zone_id", "side"], "intersection", {"centroid": "centred"})
+    return counts.groupBy("zone_id").agg(
+        *[
+            F.sum(F.when(F.col("side") == side, F.col(rule))).alias(f"{source}_building_count_{rule}")
+            for rule in ("centroid", "intersection")
+            for side, source in ((OBSERVED, "overture"), (REFERENCE, "microsoft"))
+        ]
     )
-    touching = count_pairs(polygon_pairs(layers, zones, fid), fid, ["zone_id", "side"])
-    per_rule = [
-        _per_side(
-            counts,
-            "n",
-            {OBSERVED: f"overture_building_count_{rule}", REFERENCE: f"microsoft_building_count_{rule}"},
-        )
-        for rule, counts in (("centroid", centred), ("intersection", touching))
-    ]
-    return per_rule[0].join(per_rule[1], "zone_id", "full")
 
 
 def place_counts(

@@ -52,7 +52,7 @@ def spatial_ingredients(spark: SparkSession, d: str) -> DataFrame:
         roads.filter("o_orderstatus = 'O'"),
         index,
         L.PLACE_ID,
-        measure=sj.planar_measure,
+        measure="planar",
     )
     b = L.footprints(spark, d)
     buildings = ing.building_counts(

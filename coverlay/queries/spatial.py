@@ -102,7 +102,7 @@ def straddling_buildings(spark: SparkSession, d: str) -> DataFrame:
 )
 def line_clip_length(spark: SparkSession, d: str) -> DataFrame:
     lengths = sj.clipped_length(
-        L.roads(spark, d), L.zone_index(spark, d), L.PLACE_ID, by=["o_orderstatus"], measure=sj.planar_measure
+        L.roads(spark, d), L.zone_index(spark, d), L.PLACE_ID, by=["o_orderstatus"], measure="planar"
     )
     return lengths.withColumn("length", F.round("length", 4))
 
@@ -146,7 +146,7 @@ def touch_vs_clip_defined(spark: SparkSession, d: str) -> DataFrame:
     index = L.zone_index(spark, d)
     # a sparse road class, so that some zones have none of it
     named = L.roads(spark, d).filter("o_totalprice > 490000")
-    return audit.definedness(named, index, index.zones, L.PLACE_ID, measure=sj.planar_measure)
+    return audit.definedness(named, index, index.zones, L.PLACE_ID, measure="planar")
 
 
 WINDOW = (30.0, 20.0, 45.5, 50.25)
