@@ -33,6 +33,11 @@ def _flags(array: pa.Array) -> np.ndarray:
     return array.fill_null(False).to_numpy(zero_copy_only=False).astype(bool, copy=False)
 
 
+def _offsets(lists: pa.Array) -> np.ndarray:
+    """List offsets; an empty list array may come without an offset buffer at all."""
+    return lists.offsets.to_numpy().astype("int64") if len(lists) else np.zeros(1, dtype="int64")
+
+
 def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """``starts[i] .. starts[i] + counts[i] - 1`` for all i, concatenated."""
     total = int(counts.sum())
@@ -85,9 +90,9 @@ class Shapes:
         self.kind = geom.field("kind")
         self.x = _numbers(ring_points.field("x"))
         self.y = _numbers(ring_points.field("y"))
-        self.row_parts = parts.offsets.to_numpy().astype("int64")
-        self.part_rings = rings.offsets.to_numpy().astype("int64")
-        self.ring_points = points.offsets.to_numpy().astype("int64")
+        self.row_parts = _offsets(parts)
+        self.part_rings = _offsets(rings)
+        self.ring_points = _offsets(points)
         row_rings = self.part_rings[self.row_parts]
         self.row_points = self.ring_points[row_rings]
         self.rows = len(geom)
@@ -400,7 +405,7 @@ def _span_lengths(seg: np.ndarray, row: np.ndarray, a: np.ndarray, b: np.ndarray
 
 def span_lengths(x1, y1, x2, y2, spans: pa.Array, measure: str) -> pa.Array:
     """Length of a list of parameter ranges of each segment."""
-    offsets = spans.offsets.to_numpy().astype("int64")
+    offsets = _offsets(spans)
     values = spans.values
     row = np.repeat(np.arange(len(spans)), np.diff(offsets))
     here = slice(offsets[0], offsets[-1])
