@@ -256,7 +256,7 @@ def duplicate_keys(spark: SparkSession, d: str) -> DataFrame:
       lists AS (SELECT part, max(k) AS max_elements, count(*) FILTER (k = 0)::BIGINT AS empty_lists FROM n GROUP BY 1),
       items AS (SELECT part, event_type AS dataset, CASE WHEN value <= 100 THEN value / 500 END AS c FROM n WHERE k >= 1
         UNION ALL SELECT part, 'second', NULL FROM n WHERE k = 2)
-    SELECT part, dataset, count(*)::BIGINT AS n, round(100.0::DOUBLE * count(c) / count(*), 6) AS confident_pct, round(avg(c), 6) AS mean_confidence,
+    SELECT part, dataset, count(*)::BIGINT AS n, round(100.0::DOUBLE * count(c) / count(*), 9) AS confident_pct, round(avg(c), 9) AS mean_confidence,
       any_value(max_elements)::INT AS max_elements, any_value(empty_lists) AS empty_lists FROM items JOIN lists USING (part) GROUP BY ALL""",
 )
 def source_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -267,7 +267,7 @@ def source_mix(spark: SparkSession, d: str) -> DataFrame:
         F.col("event_type") != "error", F.array(first)
     )
     table = L.table(spark, d, "events").select((F.col("user_id") % 7).alias("part"), lists.alias("sources"))
-    return _rounded(profile.source_mix(table, "sources", ["part"]), ("confident_pct", "mean_confidence"))
+    return _rounded(profile.source_mix(table, "sources", ["part"]), ("confident_pct", "mean_confidence"), 9)
 
 
 @query(

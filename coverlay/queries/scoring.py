@@ -432,12 +432,12 @@ def records(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "confidence_features",
-    """SELECT user_id AS zone, round(count(c) * 1.0 / count(*), 6)::DOUBLE AS confidence_reporting_rate, round(avg(c), 6) AS mean_reported_confidence
+    """SELECT user_id AS zone, round(count(c)::DOUBLE / count(*), 9) AS confidence_reporting_rate, round(avg(c), 9) AS mean_reported_confidence
     FROM (SELECT user_id, CASE WHEN event_type <> 'error' THEN value / 500 END AS c FROM events) GROUP BY ALL""",
 )
 def confidence_features(spark: SparkSession, d: str) -> DataFrame:
     f = fe.confidence_features(records(spark, d), "zone", "confidence")
-    return _rounded(f, ("confidence_reporting_rate", "mean_reported_confidence"))
+    return _rounded(f, ("confidence_reporting_rate", "mean_reported_confidence"), 9)
 
 
 @query(
