@@ -190,10 +190,9 @@ ROLE = "feature_role"
 
 def with_roles(df: DataFrame, roles: dict[str, str]) -> DataFrame:
     """Record each column's role in its schema metadata."""
-    for column, role in roles.items():
-        if column in df.columns:
-            df = df.withMetadata(column, {ROLE: role})
-    return df
+    return df.select(
+        *[F.col(f"`{c}`").alias(c, metadata={ROLE: roles[c]}) if c in roles else F.col(f"`{c}`") for c in df.columns]
+    )
 
 
 def select_allowed(df: DataFrame, columns: Sequence[str], role: str, keys: Sequence[str] = ()) -> DataFrame:

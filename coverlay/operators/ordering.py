@@ -18,30 +18,27 @@ from coverlay.operators.spread import group_lookup
 BUCKETS = 64
 
 
-def _cuts_below(cuts: Column, value: Column, low: int, high: int) -> Column:
-    """Number of sorted cuts below the value: a binary search spelled out as branches."""
+def _cuts_below(low: int, high: int) -> str:
+    """Number of sorted ``cuts`` below ``value``: a binary search spelled out as branches."""
     if low == high:
-        return F.lit(low)
+        return str(low)
     middle = (low + high) // 2
-    return F.when(F.get(cuts, middle) < value, _cuts_below(cuts, value, middle + 1, high)).otherwise(
-        _cuts_below(cuts, value, low, middle)
+    return (
+        f"CASE WHEN get(cuts, {middle}) < value THEN {_cuts_below(middle + 1, high)} "
+        f"ELSE {_cuts_below(low, middle)} END"
     )
 
 
 def cumulative_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Per distinct non-null value: ``n``, rows ``before`` it and the group's ``total``."""
     by = list(by)
-    counted = (
-        df.select(*by, number(value).alias("value"))
-        .filter(F.col("value").isNotNull())
-        .groupBy(*by, "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    cuts = counted.agg(
-        F.percentile_approx("value", [i / BUCKETS for i in range(1, BUCKETS)], 10_000)
-    ).scalar()
+    data = df.select(*by, number(value).alias("value")).filter(F.col("value").isNotNull())
+    counted = data.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n"))
+    # Approximate cuts only steer the bucketing (a sketch per task, no shuffle).
+    shares = [i / BUCKETS for i in range(1, BUCKETS)]
+    cuts = data.agg(F.percentile_approx("value", shares, 10 * BUCKETS)).scalar()
     bucketed = counted.withColumn("cuts", cuts).select(
-        *by, "value", "n", _cuts_below(F.col("cuts"), F.col("value"), 0, BUCKETS - 1).alias("bucket")
+        *by, "value", "n", F.expr(_cuts_below(0, BUCKETS - 1)).alias("bucket")
     )
     group = by or [F.lit(0)]
     sizes = bucketed.groupBy(*by, "bucket").agg(F.sum("n").alias("rows"))
@@ -76,13 +73,20 @@ def exact_quantiles(
     return ranked.groupBy(*by).agg(*wanted)
 
 
-def average_rank(df: DataFrame, value: str, name: str, by: Sequence[str] = ()) -> DataFrame:
-    """Ascending rank with ties sharing their mean rank; NULL values get NULL."""
-    ranked = cumulative_counts(df, value, by).select(
-        *by, F.col("value").alias("_value"), (F.col("before") + (F.col("n") + 1) / 2).alias(name)
-    )
-    keyed = df.withColumn("_value", number(value))
-    return keyed.join(ranked, [*by, "_value"], "left").drop("_value")
+def average_ranks(df: DataFrame, names: dict[str, str], by: Sequence[str] = ()) -> DataFrame:
+    """Ascending rank of each value column, ties sharing their mean rank; NULL stays NULL.
+
+    ``names`` maps value columns to rank columns.  Every rank table comes from ``df`` itself,
+    so ranking several columns does not repeat the work of the earlier ones.
+    """
+    out = df
+    for value, name in names.items():
+        key = f"_{name}_value"
+        ranked = cumulative_counts(df, value, by).select(
+            *by, F.col("value").alias(key), (F.col("before") + (F.col("n") + 1) / 2).alias(name)
+        )
+        out = out.withColumn(key, number(value)).join(ranked, [*by, key], "left").drop(key)
+    return out
 
 
 def median_split(df: DataFrame, value: str, covered: str, by: str, name: str) -> DataFrame:

@@ -11,7 +11,8 @@ from coverlay.functions import shapes
 from coverlay.functions.gaps import capped_ratio_gap
 from coverlay.functions.values import count_where
 from coverlay.operators.features import onto_zones
-from coverlay.operators.ordering import average_rank
+from coverlay.operators.lineage import settle
+from coverlay.operators.ordering import average_ranks
 from coverlay.operators.profile import duplicate_keys
 from coverlay.operators.sets import union_scopes
 from coverlay.operators.spatial_join import (
@@ -162,7 +163,7 @@ def length_precision(lines: DataFrame, zones: ZoneIndex, fid: Sequence[str], sid
         capped_ratio_gap("flat_observed", "flat_reference").alias("gap_flat"),
         capped_ratio_gap("ellipsoid_observed", "ellipsoid_reference").alias("gap_ellipsoid"),
     ).withColumn("abs_difference", F.abs(F.col("gap_flat") - F.col("gap_ellipsoid")))
-    ranked = average_rank(average_rank(gaps, "gap_flat", "rank_flat"), "gap_ellipsoid", "rank_ellipsoid")
+    ranked = average_ranks(settle(gaps), {"gap_flat": "rank_flat", "gap_ellipsoid": "rank_ellipsoid"})
     return ranked.withColumn("rank_shift", F.abs(F.col("rank_flat") - F.col("rank_ellipsoid")))
 
 

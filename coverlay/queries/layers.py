@@ -13,10 +13,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from coverlay.functions import geodesy, shapes
 from coverlay.operators.spatial_join import ZoneIndex
 from coverlay.operators.spread import spread
+from coverlay.operators.tiling import Grid, choose_grid
 
 SIDE = 20.0
 PLACE_ID = ["o_orderkey"]
@@ -28,8 +30,16 @@ LAT0, LAT_STEP = 30.0, 10.0
 OFF_RASTER = 0.0037
 
 
+_SCHEMAS: dict[str, StructType] = {}
+_GRIDS: dict[tuple[str, bool], Grid] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; its schema is looked up in the file once per process."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def _lon(x: Column) -> Column:
@@ -67,7 +77,11 @@ def zones(spark: SparkSession, sf_dir: str, lonlat: bool = False) -> DataFrame:
 
 
 def zone_index(spark: SparkSession, sf_dir: str, lonlat: bool = False) -> ZoneIndex:
-    return ZoneIndex(zones(spark, sf_dir, lonlat))
+    """Zones ready for joins; their grid is measured once per folder."""
+    layer = zones(spark, sf_dir, lonlat)
+    if (sf_dir, lonlat) not in _GRIDS:
+        _GRIDS[sf_dir, lonlat] = choose_grid(layer)
+    return ZoneIndex(layer, grid=_GRIDS[sf_dir, lonlat])
 
 
 def places(spark: SparkSession, sf_dir: str, lonlat: bool = False) -> DataFrame:

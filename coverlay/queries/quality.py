@@ -9,6 +9,7 @@ from coverlay.functions import values as v
 from coverlay.operators import catalog, profile, sets
 from coverlay.operators.contracts import Contract, contract_report, digits, non_negative, share, text
 from coverlay.operators.features import first_per_key
+from coverlay.operators.lineage import settle
 from coverlay.operators.ordering import exact_quantiles, histogram
 from coverlay.plans import audit
 from coverlay.queries import layers as L
@@ -525,7 +526,7 @@ CATALOG_DOMAINS = {**DOMAINS, "constant_year": "svi"}
 
 def _classified(spark: SparkSession, d: str) -> DataFrame:
     table = strata_with_region(spark, d).withColumn("constant_year", F.lit(2020))
-    found = profile.null_profile(table, CATALOG_COLUMNS, F.lit(None).cast("string"))
+    found = settle(profile.null_profile(table, CATALOG_COLUMNS, F.lit(None).cast("string")))
     domain = F.create_map(*[F.lit(x) for pair in CATALOG_DOMAINS.items() for x in pair])[F.col("column_name")]
     rules = spark.createDataFrame(ROLE_RULES, catalog.RULES_TYPE)
     roles = catalog.classify_first_match(found.withColumn("domain", domain), rules, "measurement")
@@ -541,15 +542,18 @@ _ROLE_SQL = """r AS (SELECT * FROM (VALUES ('svi_overall','svi','measurement','v
     UNION ALL SELECT 'constant_year', 1, 0)"""
 
 
+def _tagged(spark: SparkSession, classified: DataFrame) -> DataFrame:
+    rules = spark.createDataFrame(TAGS, "position int, role string, domain string, column_name string, tag string")
+    return catalog.tag_columns(classified, rules)
+
+
 @query(
     "rule_classify",
     CUSTOMER_SQL
     + f", {_ROLE_SQL} SELECT column_name, domain, role, n_distinct, column_name <> 'constant_year' AS allowed_for_bias, bias_reason, candidate_hypotheses FROM r JOIN n USING (column_name)",
 )
 def rule_classify(spark: SparkSession, d: str) -> DataFrame:
-    rules = spark.createDataFrame(TAGS, "position int, role string, domain string, column_name string, tag string")
-    tagged = catalog.tag_columns(_classified(spark, d), rules)
-    return tagged.select("column_name", "domain", "role", "n_distinct", "allowed_for_bias", "bias_reason", "candidate_hypotheses")
+    return _tagged(spark, _classified(spark, d)).select("column_name", "domain", "role", "n_distinct", "allowed_for_bias", "bias_reason", "candidate_hypotheses")
 
 
 @query(
@@ -589,7 +593,7 @@ def catalog_query(spark: SparkSession, d: str) -> DataFrame:
     classified = _classified(spark, d)
     parts = {
         "profile": (classified, ["domain", "n_distinct", "n_null", "role"]),
-        "tags": (rule_classify(spark, d), ["candidate_hypotheses"]),
+        "tags": (_tagged(spark, classified), ["candidate_hypotheses"]),
     }
     extra = spark.createDataFrame([("frac_inside_aoi", "geography", True)], "column_name string, domain string, region_only boolean")
     return catalog.build_catalog(base, parts, ["domain", "n_distinct", "role"], extra)

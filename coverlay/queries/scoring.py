@@ -20,7 +20,8 @@ from coverlay.operators import features as fe
 from coverlay.operators import spatial_join as sj
 from coverlay.operators.contracts import against_expected, contract_report
 from coverlay.operators.features import onto_zones
-from coverlay.operators.ordering import average_rank, exact_quantiles
+from coverlay.operators.lineage import settle
+from coverlay.operators.ordering import average_ranks, exact_quantiles
 from coverlay.operators.profile import correlations, weighted_mean
 from coverlay.plans import ingredients as ing
 from coverlay.plans import scoring
@@ -307,7 +308,7 @@ OTHER_RULE = "building_gap_intersection"
 def building_rule_variants(spark: SparkSession, d: str) -> DataFrame:
     regions = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
     variants = {"baseline": {}, "asia": {"ASIA": OTHER_RULE}, "everywhere": {r: OTHER_RULE for r in regions}}
-    deltas = scoring.region_deltas(scoring.compare_rules(customer_features(spark, d), variants, "baseline"))
+    deltas = scoring.region_deltas(scoring.compare_rules(settle(customer_features(spark, d)), variants, "baseline"))
     return _rounded(deltas, ("mean_score", "mean_abs_delta", "max_abs_delta"))
 
 
@@ -325,7 +326,7 @@ def _manifest(spark: SparkSession, d: str) -> DataFrame:
 
 @query("output_table", CUSTOMER_SQL + " " + _rounded_sql(_OUTPUT_SQL, OUTPUT_VALUES))
 def output_table(spark: SparkSession, d: str) -> DataFrame:
-    scored = scoring.score_zones(customer_features(spark, d))
+    scored = settle(scoring.score_zones(customer_features(spark, d)))
     return _rounded(scoring.build_output(scored, _manifest(spark, d)), OUTPUT_VALUES)
 
 
@@ -538,7 +539,7 @@ def component_correlation(spark: SparkSession, d: str) -> DataFrame:
 )
 def avg_rank_shift(spark: SparkSession, d: str) -> DataFrame:
     gaps = ing.candidate_gaps(customer_raw(spark, d)).select("GEOID", "building_gap_centroid", "building_gap_intersection")
-    ranked = average_rank(average_rank(gaps, "building_gap_centroid", "a"), "building_gap_intersection", "b")
+    ranked = average_ranks(settle(gaps), {"building_gap_centroid": "a", "building_gap_intersection": "b"})
     shift = F.abs(F.col("a") - F.col("b"))
     return ranked.agg(F.count(shift).alias("n"), F.round(F.avg(shift), 4).alias("mean_shift"), F.max(shift).alias("max_shift"))
 
@@ -556,7 +557,7 @@ def housing_ratio(spark: SparkSession, d: str) -> DataFrame:
     raw = customer_raw(spark, d).filter("overture_places_count > 0")
     built = F.col("overture_building_count_intersection")
     ratio = F.when(built != 0, F.col("overture_places_count") / built)
-    data = raw.select("region", F.col("overture_places_count").alias("u"), built.alias("b"), ratio.alias("r"))
+    data = settle(raw.select("region", F.col("overture_places_count").alias("u"), built.alias("b"), ratio.alias("r")))
     medians = [
         exact_quantiles(data, column, {name: 0.5}, ["region"])
         for column, name in (("u", "median_units"), ("b", "median_buildings"), ("r", "median_ratio"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from coverlay.functions import geodesy, shapes
 from coverlay.operators import spatial_join as sj
 from coverlay.operators.features import onto_zones
+from coverlay.operators.lineage import settle
 from coverlay.operators.ordering import exact_quantiles
 from coverlay.plans import audit
 from coverlay.queries import layers as L
@@ -365,7 +366,7 @@ def zone_density(spark: SparkSession, d: str) -> DataFrame:
     roads = L.roads(spark, d).select("o_orderkey", "geom")
     pairs = sj.touching_lines(roads, L.zone_index(spark, d), L.PLACE_ID)
     per_zone = pairs.join(lengths, "o_orderkey").groupBy("zone_id").agg(F.sum("metres").alias("length"))
-    values = audit.density(per_zone, audit.zone_measures(L.zones(spark, d, lonlat=True)))
+    values = settle(audit.density(per_zone, audit.zone_measures(L.zones(spark, d, lonlat=True))))
     bounds = exact_quantiles(values, "density", {"p02": 0.02, "p50": 0.5, "p98": 0.98})
     mean = values.agg(F.round(F.avg("density"), 6)).scalar()
     n = values.agg(F.count("density")).scalar()

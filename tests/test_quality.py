@@ -178,7 +178,7 @@ def test_quantiles_and_ranks_match_plain_python(spark):
             return data[lo] + (data[hi] - data[lo]) * (h - lo)
 
         assert got[g] == (pytest.approx(at(0.02)), pytest.approx(statistics.median(data)), pytest.approx(at(0.98)))
-    ranked = {r["i"]: (r["v"], r["rank"]) for r in ordering.average_rank(df.filter("g = 'a'"), "v", "rank").collect()}
+    ranked = {r["i"]: (r["v"], r["rank"]) for r in ordering.average_ranks(df.filter("g = 'a'"), {"v": "rank"}).collect()}
     values = [v for v, _ in ranked.values() if v is not None]
     for v, rank in ranked.values():
         want = None if v is None else sum(x < v for x in values) + (values.count(v) + 1) / 2
