@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coverlay.functions import geodesy, kernels, shapes, types
-from coverlay.operators.tiling import Grid, build_tiles, choose_grid, join_tiles
+from coverlay.operators.tiling import Grid, build_tiles, choose_grid, join_small, join_tiles
 
 WITHIN, INTERSECTS = "within", "intersects"
 TILE_COLUMNS = ("cx", "cy", "core", "parity", "edges")
@@ -476,7 +476,7 @@ def distance_to_boundary(
     """Distance from each assigned point to its own zone's border, in metres when projected.
 
     The nearest edge may lie outside the point's cell, so the zone's full outline is looked
-    up by key; that equi-join is left to the planner, which knows the outline table's size.
+    up by key: broadcast if the measured outlines are small, else with hot zones spread.
     """
     index = as_index(zones)
     outlines = index.zones.select(
@@ -485,7 +485,8 @@ def distance_to_boundary(
     px, py = geodesy.equal_area_xy(x, y) if projected else (F.col(x), F.col(y))
     placed = assign_points(points, index, x, y).withColumns({"_px": px, "_py": py})
     distance = shapes.boundary_distance("_px", "_py", "_outline")
-    return placed.join(outlines, "zone_id").withColumn("boundary_distance", distance).drop("_px", "_py", "_outline")
+    joined = join_small(placed, outlines, ["zone_id"], index.grid.outlines_fit, salt_by=points.columns)
+    return joined.withColumn("boundary_distance", distance).drop("_px", "_py", "_outline")
 
 
 def window_read(

@@ -51,6 +51,11 @@ class Grid:
     def can_broadcast(self) -> bool:
         return self.tile_bytes <= BROADCAST_BYTES
 
+    @property
+    def outlines_fit(self) -> bool:
+        """Whether the zones' full outlines (32 bytes per vertex) are within the bound."""
+        return 0 < self.vertices * 32 <= BROADCAST_BYTES
+
     def cell(self, coordinate: Column) -> Column:
         return F.floor(coordinate / F.lit(self.size)).cast("int")
 
@@ -117,8 +122,16 @@ def join_tiles(features: DataFrame, tiles: DataFrame, grid: Grid, salt_by: list[
     hash of their identity (repeatable when a task is retried), so a cell holding a third of
     all rows is not one task's work.
     """
-    if grid.can_broadcast:
-        return features.join(F.broadcast(tiles), ["cx", "cy"])
-    salted = features.withColumn("bucket", F.pmod(F.xxhash64(*salt_by), F.lit(SALT_BUCKETS)).cast("int"))
+    return join_small(features, tiles, ["cx", "cy"], grid.can_broadcast, salt_by)
+
+
+def join_small(
+    large: DataFrame, small: DataFrame, keys: list[str], broadcast: bool, salt_by: list[str]
+) -> DataFrame:
+    """Inner join with a side measured to be small, or with hot keys spread over buckets."""
+    if broadcast:
+        return large.join(F.broadcast(small), keys)
+    bucket = F.pmod(F.xxhash64(*salt_by), F.lit(SALT_BUCKETS)).cast("int")
     copies = F.explode(F.sequence(F.lit(0), F.lit(SALT_BUCKETS - 1)))
-    return salted.join(tiles.withColumn("bucket", copies), ["cx", "cy", "bucket"]).drop("bucket")
+    salted = large.withColumn("bucket", bucket)
+    return salted.join(small.withColumn("bucket", copies), [*keys, "bucket"]).drop("bucket")

@@ -346,6 +346,37 @@ def representative_points(spark: SparkSession, d: str) -> DataFrame:
     return points.select("zone_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "source")
 
 
+FOOTPRINT_CORNERS = f"""SELECT l_returnflag, id, k, -120.0::DOUBLE + (CASE WHEN k IN (0, 3) THEN bx1 ELSE bx2 END + {L.OFF_RASTER}) / 4 AS lon,
+    30.0::DOUBLE + (CASE WHEN k IN (0, 1) THEN by1 ELSE by2 END + {L.OFF_RASTER}) / 10 AS lat
+  FROM (SELECT *, row_number() OVER () AS id FROM b), (VALUES (0), (1), (2), (3)) o(k)"""
+
+
+@query(
+    "building_measures",
+    L.layers_sql("b")
+    + f""", q AS ({L.projected_sql(FOOTPRINT_CORNERS)}),
+      e AS (SELECT q.*, o.x AS ox, o.y AS oy, n.x AS nx, n.y AS ny FROM q JOIN q o ON q.id = o.id AND o.k = 0 JOIN q n ON q.id = n.id AND n.k = (q.k + 1) % 4),
+      m AS (SELECT id, any_value(l_returnflag) AS l_returnflag, any_value(ox) AS ox, any_value(oy) AS oy, sum(cr) AS a2,
+          sum((x - ox + nx - ox) * cr) AS sx, sum((y - oy + ny - oy) * cr) AS sy, sum(sqrt((nx - x) * (nx - x) + (ny - y) * (ny - y))) AS per
+        FROM (SELECT *, (x - ox) * (ny - oy) - (nx - ox) * (y - oy) AS cr FROM e) GROUP BY id),
+      g AS ({L.unprojected_sql("SELECT l_returnflag, a2, per, ox + sx / (3 * a2) AS x, oy + sy / (3 * a2) AS y FROM m")})
+      SELECT l_returnflag, count(*)::BIGINT AS n, round(sum(abs(a2)) / 2 / 1e6, 2) AS area_km2, round(avg(per), 2) AS mean_perimeter_m,
+        round(avg(4 * pi() * abs(a2) / 2 / (per * per)), 7) AS mean_compactness, round(avg(lon), 7) AS mean_lon, round(avg(lat), 7) AS mean_lat
+      FROM g GROUP BY ALL""",
+)
+def building_measures(spark: SparkSession, d: str) -> DataFrame:
+    b = L.footprints(spark, d, lonlat=True)
+    m = b.select("l_returnflag", shapes.measures("geom", "equal_area", centre_lonlat=True).alias("m"))
+    return m.groupBy("l_returnflag").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.round(F.sum("m.area") / 1e6, 2).alias("area_km2"),
+        F.round(F.avg("m.length"), 2).alias("mean_perimeter_m"),
+        F.round(F.avg(shapes.compactness("m.area", "m.length")), 7).alias("mean_compactness"),
+        F.round(F.avg("m.cx"), 7).alias("mean_lon"),
+        F.round(F.avg("m.cy"), 7).alias("mean_lat"),
+    )
+
+
 ROAD_ENDS = """SELECT o_orderkey, k, -120.0::DOUBLE + ex / 4 AS lon, 30.0::DOUBLE + ey / 10 AS lat FROM (
   SELECT o_orderkey, 0 AS k, px AS ex, py AS ey FROM r UNION ALL SELECT o_orderkey, 1, qx, qy FROM r)"""
 

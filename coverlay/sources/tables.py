@@ -42,13 +42,13 @@ def load_crosswalk(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def write_regions(df: DataFrame, path: str) -> None:
+def write_regions(df: DataFrame, path: str, files_per_region: int = 8) -> None:
     """One directory per region.
 
-    Rows are hashed on region and zone before writing, so a large region is written by many
-    tasks and a small one by few; without it every task would write a file per region.
+    Rows are hashed on region and row content before writing, so a region holding a third of
+    all rows is written by several tasks; without it every task would write a file per region.
     """
-    files = F.pmod(F.xxhash64(*[c for c in ("GEOID", "zone_id") if c in df.columns] or [F.lit(0)]), F.lit(8))
+    files = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_region))
     df.repartition("region", files).write.mode("overwrite").partitionBy("region").parquet(path)
 
 
