@@ -158,7 +158,12 @@ def measures(geom: pa.Array, projected: bool, back: bool) -> pa.Array:
     centre_x, centre_y = nan.copy(), nan.copy()
     centre_x[flat] = origin_x[flat] + mx[flat] / (3 * total[flat])
     centre_y[flat] = origin_y[flat] + my[flat] / (3 * total[flat])
-    single = ~flat & (n == 1)
+    # Without area the centroid is that of the path, and of a lone point the point itself.
+    weight = np.hypot(bx - ax, by - ay)
+    path = ~flat & (length > 0)
+    centre_x[path] = origin_x[path] + np.bincount(row, weight * (ax + bx) / 2, rows)[path] / length[path]
+    centre_y[path] = origin_y[path] + np.bincount(row, weight * (ay + by) / 2, rows)[path] / length[path]
+    single = ~flat & ~path & has
     centre_x[single], centre_y[single] = origin_x[single], origin_y[single]
     if back:
         centre_x, centre_y = geodesy.unproject(np, centre_x, centre_y)
@@ -166,7 +171,6 @@ def measures(geom: pa.Array, projected: bool, back: bool) -> pa.Array:
     def column(values: np.ndarray, known: np.ndarray) -> pa.Array:
         return pa.array(values, type=pa.float64(), mask=~(known & s.valid))
 
-    placed = flat | single
     fields = {
         "xmin": column(low_x, has),
         "ymin": column(low_y, has),
@@ -175,8 +179,8 @@ def measures(geom: pa.Array, projected: bool, back: bool) -> pa.Array:
         "n_points": pa.array(n.astype("int32"), mask=~s.valid),
         "area": column(total / 2, s.valid),
         "length": column(length, s.valid),
-        "cx": column(centre_x, placed),
-        "cy": column(centre_y, placed),
+        "cx": column(centre_x, has),
+        "cy": column(centre_y, has),
     }
     return pa.StructArray.from_arrays(list(fields.values()), names=list(fields))
 

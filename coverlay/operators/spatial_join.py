@@ -150,11 +150,14 @@ def polygon_pairs(
 
     cells = _box_cells(with_bounds(features, geom), grid)
     pairs = join_tiles(cells, index.tiles, grid, salt_by=list(fid))
-    judged = pairs.withColumn("_hit", hits.asNondeterministic()(geom, "core", "cx", "cy", "parity", "edges"))
+    # A polygon that fits a core cell is inside, centroid and all: its shape is not sent along.
+    sure = F.col("core") & ~F.col("many_cells")
+    shape = F.when(~sure, F.col(geom))
+    judged = pairs.withColumn("_hit", hits.asNondeterministic()(shape, "core", "cx", "cy", "parity", "edges"))
+    touches, centred = sure | F.col("_hit.touches"), sure | F.col("_hit.centred")
     if centre is None:
-        return judged.filter("_hit.touches").drop(*TILE_COLUMNS, "_hit")
-    marked = judged.filter("_hit.touches or _hit.centred")
-    return marked.withColumns({"touches": F.col("_hit.touches"), "centred": F.col("_hit.centred")}).drop(
+        return judged.filter(touches).drop(*TILE_COLUMNS, "_hit")
+    return judged.withColumns({"touches": touches, "centred": centred}).filter("touches or centred").drop(
         *TILE_COLUMNS, "_hit"
     )
 

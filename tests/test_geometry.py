@@ -65,6 +65,7 @@ def test_holes_and_parts_in_measures(spark):
             "parts": multipolygon([[(0, 0), (2, 0), (2, 2), (0, 2)]], [[(10, 0), (12, 0), (12, 2), (10, 2)]]),
             "lines": multiline([(0, 0), (3, 4)], [(0, 0), (0, 5)]),
             "point": point(3, 4),
+            "sliver": polygon([(0, 0), (4, 0), (2, 0)]),
         },
     )
     m = {r["fid"]: r["m"] for r in frame.select("fid", shapes.measures("geom").alias("m")).collect()}
@@ -75,6 +76,7 @@ def test_holes_and_parts_in_measures(spark):
     assert (m["parts"]["xmin"], m["parts"]["xmax"]) == (0.0, 12.0)
     assert m["lines"]["length"] == 10.0
     assert (m["point"]["cx"], m["point"]["cy"]) == (3.0, 4.0)
+    assert (m["sliver"]["area"], m["sliver"]["cx"], m["sliver"]["cy"]) == (0.0, 2.0, 0.0)
 
 
 def test_centroid_spaces_differ_slightly(spark):
