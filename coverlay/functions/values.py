@@ -28,11 +28,6 @@ def number(value: Column | str) -> Column:
     return F.nanvl(as_column(value).cast("double"), F.lit(None).cast("double"))
 
 
-def is_suspect_number(value: Column | str) -> Column:
-    """True for a NaN, which Spark otherwise orders above every number."""
-    return F.isnan(as_column(value).cast("double"))
-
-
 def strip_suffix(value: Column | str, suffix: str) -> Column:
     value = as_column(value)
     stem = value.substr(F.lit(1), F.length(value) - len(suffix))

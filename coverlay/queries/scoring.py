@@ -17,7 +17,6 @@ from coverlay.functions.gaps import (
     water_fraction,
 )
 from coverlay.operators import features as fe
-from coverlay.operators import spatial_join as sj
 from coverlay.operators.contracts import against_expected, contract_report
 from coverlay.operators.features import onto_zones
 from coverlay.operators.lineage import settle
