@@ -176,7 +176,9 @@ def fit(texts: Sequence[str], toxic: Sequence[int], weigh: dict[int, float] | No
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Newton's method with a small ridge."""
+    """Newton's method with a small ridge; one in a hundred where nothing tells the classes."""
+    if not y.any():
+        return np.array([-math.log(99), 0.0, 0.0])
     scale = np.array([1.0, 10.0, 10.0])
     x, w = x / scale, np.zeros(3)
     for _ in range(50):
