@@ -13,20 +13,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coverlay.functions.values import number
-from coverlay.operators.spread import group_lookup
 
+# Fewest value ranges; sessions with more shuffle partitions get as many ranges as those.
 BUCKETS = 64
 
 
-def _cuts_below(low: int, high: int) -> str:
-    """Number of sorted ``cuts`` below ``value``: a binary search spelled out as branches."""
-    if low == high:
-        return str(low)
-    middle = (low + high) // 2
-    return (
-        f"CASE WHEN get(cuts, {middle}) < value THEN {_cuts_below(middle + 1, high)} "
-        f"ELSE {_cuts_below(low, middle)} END"
-    )
+def _cuts_below(value: Column, cuts: Column, buckets: int) -> Column:
+    """Number of sorted ``cuts`` below ``value``: binary search, a step for each power of two."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(buckets.bit_length()))])
+    below = lambda at, step: F.try_element_at(cuts, at + step) < value
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(below(at, step), at + step).otherwise(at))
 
 
 def cumulative_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -35,10 +31,11 @@ def cumulative_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> Data
     data = df.select(*by, number(value).alias("value")).filter(F.col("value").isNotNull())
     counted = data.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n"))
     # Approximate cuts only steer the bucketing (a sketch per task, no shuffle).
-    shares = [i / BUCKETS for i in range(1, BUCKETS)]
-    cuts = data.agg(F.percentile_approx("value", shares, 10 * BUCKETS)).scalar()
+    buckets = max(BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shares = [i / buckets for i in range(1, buckets)]
+    cuts = data.agg(F.percentile_approx("value", shares, 10 * buckets)).scalar()
     bucketed = counted.withColumn("cuts", cuts).select(
-        *by, "value", "n", F.expr(_cuts_below(0, BUCKETS - 1)).alias("bucket")
+        *by, "value", "n", _cuts_below(F.col("value"), F.col("cuts"), buckets).alias("bucket")
     )
     group = by or [F.lit(0)]
     sizes = bucketed.groupBy(*by, "bucket").agg(F.sum("n").alias("rows"))
@@ -93,9 +90,8 @@ def median_split(df: DataFrame, value: str, covered: str, by: str, name: str) ->
     """``value >= median of the group's covered rows``; NULL where not covered or missing."""
     usable = F.when(F.coalesce(F.col(covered), F.lit(False)), number(value))
     masked = df.withColumn("_usable", usable)
-    medians = exact_quantiles(masked, "_usable", {"median": 0.5}, [by])
-    median = F.try_element_at(group_lookup(medians, by, F.col("median")), F.col(by))
-    return masked.withColumn(name, F.col("_usable") >= median).drop("_usable")
+    medians = exact_quantiles(masked, "_usable", {"_median": 0.5}, [by])
+    return masked.join(medians, by, "left").withColumn(name, F.col("_usable") >= F.col("_median")).select(*df.columns, name)
 
 
 def histogram(df: DataFrame, value: str, by: str, bins: int = 40, cap: float | None = None) -> DataFrame:
@@ -106,13 +102,11 @@ def histogram(df: DataFrame, value: str, by: str, bins: int = 40, cap: float | N
     data = df.select(F.col(by), number(value).alias("value")).filter(F.col("value").isNotNull())
     if cap is not None:
         tops = exact_quantiles(data, "value", {"top": cap}, [by])
-        top = F.try_element_at(group_lookup(tops, by, F.col("top")), F.col(by))
-        data = data.withColumn("value", F.least(F.col("value"), top))
+        data = data.join(tops, by, "left").select(by, F.least("value", "top").alias("value"))
     limits = data.groupBy(by).agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    limit = F.try_element_at(group_lookup(limits, by, F.struct("low", "high")), F.col(by))
-    placed = data.withColumn("limit", limit)
-    width = (F.col("limit.high") - F.col("limit.low")) / bins
-    raw = F.when(width > 0, F.floor((F.col("value") - F.col("limit.low")) / width)).otherwise(F.lit(0))
+    placed = data.join(limits, by, "left")
+    width = (F.col("high") - F.col("low")) / bins
+    raw = F.when(width > 0, F.floor((F.col("value") - F.col("low")) / width)).otherwise(F.lit(0))
     bucket = F.least(raw, F.lit(bins - 1)).cast("int")
     return placed.groupBy(by, bucket.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -7,14 +7,16 @@ the grid only decides which pairs are looked at.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coverlay.functions import geodesy, kernels, shapes, types
-from coverlay.operators.tiling import Grid, build_tiles, choose_grid, join_small, join_tiles
+from coverlay.operators.tiling import BROADCAST_BYTES, Grid, build_tiles, choose_grids, join_small, join_tiles
 
 WITHIN, INTERSECTS = "within", "intersects"
 TILE_COLUMNS = ("cx", "cy", "core", "parity", "edges")
@@ -49,15 +51,39 @@ def _measure_with(measure: str):
     return lengths.asNondeterministic()
 
 
+@dataclass(frozen=True)
+class Level:
+    """The tiles of the zones of one size class, on a grid of their own."""
+
+    grid: Grid
+    tiles: DataFrame
+
+
 class ZoneIndex:
-    """Zones prepared once and reused by several joins."""
+    """Zones prepared once and reused by several joins.
 
-    def __init__(self, zones: DataFrame, zone_id: str = "zone_id", geom: str = "geom", grid: Grid | None = None):
+    Each zone is on one level, so what a join finds level by level adds up.  ``grids``
+    replaces the measured ones.
+    """
+
+    def __init__(self, zones: DataFrame, zone_id: str = "zone_id", geom: str = "geom", grids: Sequence[Grid] | None = None):
         self.zones = zones
         self.zone_id = zone_id
         self.geom = geom
-        self.grid = grid or choose_grid(zones, geom)
-        self.tiles = build_tiles(zones, self.grid, zone_id, geom)
+        found = list(grids or choose_grids(zones, geom))
+        if len(found) == 1:
+            # All zones are of one class: none has to be measured again.
+            found = [replace(found[0], size_class=None)]
+        self.levels = [Level(grid, build_tiles(zones, grid, zone_id, geom)) for grid in found]
+
+    @property
+    def outlines_fit(self) -> bool:
+        """Whether the zones' full outlines (32 bytes per vertex) are within the broadcast bound."""
+        return 0 < sum(level.grid.vertices for level in self.levels) * 32 <= BROADCAST_BYTES
+
+    def each(self, join: Callable[[Level], DataFrame]) -> DataFrame:
+        """What ``join`` finds on any level."""
+        return reduce(DataFrame.unionByName, [join(level) for level in self.levels])
 
 
 def as_index(zones: DataFrame | ZoneIndex) -> ZoneIndex:
@@ -66,11 +92,13 @@ def as_index(zones: DataFrame | ZoneIndex) -> ZoneIndex:
 
 def _locate_points(points: DataFrame, index: ZoneIndex, x: str, y: str) -> DataFrame:
     """Every (point, nearby zone) pair with ``location`` inside, outside or boundary."""
-    grid = index.grid
-    cells = points.withColumn("cx", grid.cell(F.col(x))).withColumn("cy", grid.cell(F.col(y)))
-    pairs = join_tiles(cells, index.tiles, grid, salt_by=points.columns)
-    where = _locate("core", x, y, "parity", "edges")
-    return pairs.withColumn("location", where).drop(*TILE_COLUMNS)
+
+    def on(level: Level) -> DataFrame:
+        cells = points.withColumn("cx", level.grid.cell(F.col(x))).withColumn("cy", level.grid.cell(F.col(y)))
+        pairs = join_tiles(cells, level.tiles, level.grid)
+        return pairs.withColumn("location", _locate("core", x, y, "parity", "edges")).drop(*TILE_COLUMNS)
+
+    return index.each(on)
 
 
 def assign_points(
@@ -138,8 +166,12 @@ def polygon_pairs(
     ``centre`` space the same pass also marks, in ``centred``, the zone holding the centroid;
     such a pair is kept, with ``touches`` false, even if the outline misses the zone.
     """
-    index = as_index(zones)
-    grid = index.grid
+    bounded = with_bounds(features, geom)
+    return as_index(zones).each(lambda level: _polygon_pairs(bounded, level, geom, centre))
+
+
+def _polygon_pairs(features: DataFrame, level: Level, geom: str, centre: str | None) -> DataFrame:
+    grid = level.grid
     size, margin = grid.size, grid.margin
 
     @F.arrow_udf(types.HITS)
@@ -148,8 +180,7 @@ def polygon_pairs(
     ) -> pa.Array:
         return kernels.polygon_hits(shape, core, cx, cy, parity, edges, size, margin, centre)
 
-    cells = _box_cells(with_bounds(features, geom), grid)
-    pairs = join_tiles(cells, index.tiles, grid, salt_by=list(fid))
+    pairs = join_tiles(_box_cells(features, grid), level.tiles, grid)
     # A polygon that fits a core cell is inside, centroid and all: its shape is not sent along.
     sure = F.col("core") & ~F.col("many_cells")
     shape = F.when(~sure, F.col(geom))
@@ -167,6 +198,8 @@ def features_of_zone(
 ) -> DataFrame:
     """Per-cell pairs of one zone's features: box filter in the scan, then the exact test."""
     box = zone.select(shapes.measures("geom").alias("m")).select(*[f"m.{n}" for n in shapes.BOUNDS]).first()
+    # No zone, no window: comparisons with NULL keep nothing.
+    box = tuple(F.lit(None).cast("double") for _ in shapes.BOUNDS) if box is None else tuple(box)
     nearby = window_read(with_bounds(features, geom), *box)
     return polygon_pairs(nearby, ZoneIndex(zone, zone_id), fid, geom)
 
@@ -245,15 +278,25 @@ def _cut_by_cells(segments: DataFrame, grid: Grid) -> DataFrame:
     )
 
 
-def _clip_pieces(segments: DataFrame, index: ZoneIndex, salt_by: list[str], measure: str = "planar") -> DataFrame:
-    """Per (segment, cell, zone): ranges of the segment inside the closed zone, and their length."""
-    pairs = join_tiles(_cut_by_cells(segments, index.grid), index.tiles, index.grid, salt_by)
+def _clip_pieces(segments: DataFrame, index: ZoneIndex, measure: str = "planar", whole: bool | None = None) -> DataFrame:
+    """Per (segment, cell, zone): ranges of the segment inside the closed zone, and their length.
+
+    ``whole`` keeps only segments that lie in one cell, or only those that don't.
+    """
+    return index.each(lambda level: _clip_on(segments, level, measure, whole))
+
+
+def _clip_on(segments: DataFrame, level: Level, measure: str, whole: bool | None) -> DataFrame:
+    cells = _cut_by_cells(segments, level.grid)
+    uncut = (F.col("lo") == 0.0) & (F.col("hi") == 1.0)
+    if whole is not None:
+        cells = cells.filter(uncut if whole else ~uncut)
+    pairs = join_tiles(cells, level.tiles, level.grid)
     cut = _clip_with(measure)("seg.x1", "seg.y1", "seg.x2", "seg.y2", "lo", "hi", "core", "parity", "edges")
     return (
         pairs.withColumn("_cut", cut)
         .withColumns({"spans": F.col("_cut.spans"), "length": F.col("_cut.length")})
         .filter(F.size("spans") > 0)
-        .withColumn("whole", (F.col("lo") == 0.0) & (F.col("hi") == 1.0))
         .drop(*TILE_COLUMNS, "lo", "hi", "_cut")
     )
 
@@ -303,7 +346,7 @@ def clip_lines(
     Zones a line only touches at a point give no row.
     """
     index = as_index(zones)
-    pieces = _clip_pieces(line_segments(lines, fid, geom, keep), index, list(fid))
+    pieces = _clip_pieces(line_segments(lines, fid, geom, keep), index)
     per_segment = pieces.groupBy(*fid, *keep, "zone_id", "part", "seg").agg(
         F.flatten(F.collect_list("spans")).alias("spans")
     )
@@ -339,29 +382,24 @@ def clipped_length(
     """Total clipped length per (zone, by), without building the clipped lines.
 
     ``measure`` is planar, equal_area or ellipsoid.  Segments inside one cell are measured
-    where they are cut and summed map-side under a NULL key.  Only segments crossing a grid
-    line keep their key, so that their parts can be joined again before measuring (a
-    projected length is not additive along a straight segment).
+    where they are cut and summed map-side.  Only segments crossing a grid line are grouped
+    by their key, so that their parts can be joined again before measuring (a projected
+    length is not additive along a straight segment).
     """
     if measure not in kernels.MEASURES:
         raise ValueError(f"unknown measure {measure!r}: use one of {kernels.MEASURES}")
     index = as_index(zones)
-    pieces = _clip_pieces(line_segments(lines, fid, geom, by), index, list(fid), measure)
-    split = ~F.col("whole")
+    segments = line_segments(lines, fid, geom, by)
+    whole = _clip_pieces(segments, index, measure, whole=True).groupBy(*by, "zone_id").agg(F.sum("length").alias("length"))
     parts = (
-        pieces.withColumn("_key", F.when(split, F.struct(*fid, "part")))
-        .groupBy(*by, "zone_id", "_key")
-        .agg(
-            F.sum(F.when(F.col("whole"), F.col("length"))).alias("length"),
-            F.flatten(F.collect_list(F.when(split, F.col("spans")))).alias("spans"),
-            F.max(F.when(split, F.col("seg"))).alias("seg"),
-        )
+        _clip_pieces(segments, index, measure, whole=False)
+        .groupBy(*by, "zone_id", *fid, "part")
+        .agg(F.flatten(F.collect_list("spans")).alias("spans"), F.any_value("seg").alias("seg"))
+        .withColumn("spans", _merge_spans(F.col("spans")))
     )
-    merged = parts.withColumn("spans", _merge_spans(F.col("spans")))
     again = _measure_with(measure)("seg.x1", "seg.y1", "seg.x2", "seg.y2", "spans")
-    measured = merged.withColumn("_again", again)
-    one = F.when(F.col("_key").isNull(), F.col("length")).otherwise(F.col("_again"))
-    return measured.groupBy(*by, "zone_id").agg(F.sum(one).alias("length"))
+    split = parts.select(*by, "zone_id", again.alias("length"))
+    return whole.unionByName(split).groupBy(*by, "zone_id").agg(F.sum("length").alias("length"))
 
 
 def _touch_cells(segments: DataFrame, grid: Grid) -> DataFrame:
@@ -392,9 +430,14 @@ def touching_lines(
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """(line, zone) pairs sharing at least a point; one row per pair."""
-    index = as_index(zones)
-    grid, margin = index.grid, index.grid.margin
-    size = grid.size
+    segments = line_segments(lines, fid, geom, keep)
+    hits = as_index(zones).each(lambda level: _touching_on(segments, level, [*fid, *keep]))
+    return hits.dropDuplicates([*fid, "zone_id"])
+
+
+def _touching_on(segments: DataFrame, level: Level, keep: Sequence[str]) -> DataFrame:
+    grid = level.grid
+    size, margin = grid.size, grid.margin
 
     @F.arrow_udf(types.BOOL)
     def hits(
@@ -403,12 +446,11 @@ def touching_lines(
     ) -> pa.Array:
         return kernels.line_hits(x1, y1, x2, y2, core, cx, cy, parity, edges, size, margin)
 
-    cells = _touch_cells(line_segments(lines, fid, geom, keep), grid)
-    pairs = join_tiles(cells, index.tiles, grid, list(fid))
+    pairs = join_tiles(_touch_cells(segments, grid), level.tiles, grid)
     touches = hits.asNondeterministic()(
         "seg.x1", "seg.y1", "seg.x2", "seg.y2", "core", "cx", "cy", "parity", "edges"
     )
-    return pairs.filter(touches).select(*fid, *keep, "zone_id").dropDuplicates([*fid, "zone_id"])
+    return pairs.filter(touches).select(*keep, "zone_id")
 
 
 def touched_length(
@@ -440,17 +482,27 @@ def count_points_where(
 
 
 def boundary_audit(
-    points: DataFrame, zones: DataFrame | ZoneIndex, fid: Sequence[str], by: Sequence[str], x: str = "x", y: str = "y"
+    points: DataFrame, zones: DataFrame | ZoneIndex, fid: Sequence[str], by: Sequence[str], x: str = "x", y: str = "y",
+    disjoint: bool = True,
 ) -> DataFrame:
     """Per group: total points, points within a zone, points only on a border, and outside.
 
-    Points are compared per id: EXISTS touching and NOT EXISTS within.
+    Zones whose interiors are ``disjoint`` hold a point once at most and none of their border
+    points: points inside are summed map-side, and only border points, which several zones
+    share, are shuffled to be counted once.  Otherwise points are compared per id: EXISTS
+    touching and NOT EXISTS within.
     """
     touched = assign_hits(points, zones, x, y)
-    per_point = touched.groupBy(*by, *fid).agg(F.max(F.col("location") == kernels.INSIDE).alias("within"))
-    hits = per_point.groupBy(*by).agg(
-        F.count_if("within").alias("within"), F.count_if(~F.col("within")).alias("boundary_only")
-    )
+    inside = F.col("location") == kernels.INSIDE
+    if disjoint:
+        hits = touched.groupBy(*by).agg(
+            F.count_if(inside).alias("within"), F.count_distinct(F.when(~inside, F.struct(*fid))).alias("boundary_only")
+        )
+    else:
+        per_point = touched.groupBy(*by, *fid).agg(F.max(inside).alias("within"))
+        hits = per_point.groupBy(*by).agg(
+            F.count_if("within").alias("within"), F.count_if(~F.col("within")).alias("boundary_only")
+        )
     totals = points.groupBy(*by).agg(F.count(F.lit(1)).alias("total"))
     joined = totals.join(hits, list(by), "left")
     within, edge = F.coalesce("within", F.lit(0)), F.coalesce("boundary_only", F.lit(0))
@@ -479,7 +531,7 @@ def distance_to_boundary(
     """Distance from each assigned point to its own zone's border, in metres when projected.
 
     The nearest edge may lie outside the point's cell, so the zone's full outline is looked
-    up by key: broadcast if the measured outlines are small, else with hot zones spread.
+    up by key: broadcast if the measured outlines are small, else joined by shuffle.
     """
     index = as_index(zones)
     outlines = index.zones.select(
@@ -488,7 +540,7 @@ def distance_to_boundary(
     px, py = geodesy.equal_area_xy(x, y) if projected else (F.col(x), F.col(y))
     placed = assign_points(points, index, x, y).withColumns({"_px": px, "_py": py})
     distance = shapes.boundary_distance("_px", "_py", "_outline")
-    joined = join_small(placed, outlines, ["zone_id"], index.grid.outlines_fit, salt_by=points.columns)
+    joined = join_small(placed, outlines, ["zone_id"], index.outlines_fit)
     return joined.withColumn("boundary_distance", distance).drop("_px", "_py", "_outline")
 
 

@@ -2,31 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-# Most groups a lookup may hold before it stops being a small side.
-MAX_LOOKUP_GROUPS = 10_000
+SETTING = "spark.coverlay.scanPartitions"
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core when the input arrives in fewer partitions than there are cores.
+    """Deal a table out again where the session asks for it.
 
-    A small file has one row group and would keep a compute-heavy stage on one core.  Large
-    inputs already have more partitions than cores and pass through without a shuffle.
+    A benchmark's tables are single files of one row group, which one core would read; its
+    session names a number of partitions.  Without the setting the scan stays as it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def group_lookup(table: DataFrame, key: str, value: Column) -> Column:
-    """``map<key, value>`` from a small per-group table, as a scalar subquery.
-
-    Attaches per-group constants (a median, a minimum) to a large table without joining it
-    by a handful of hot keys.  More groups than the bound is an error, never a cut.
-    """
-    entries = F.collect_list(F.struct(F.col(key).alias("k"), value.alias("v")))
-    bounded = table.filter(F.col(key).isNotNull()).limit(MAX_LOOKUP_GROUPS + 1)
-    too_many = F.raise_error(F.lit(f"more than {MAX_LOOKUP_GROUPS} groups in a lookup on {key}"))
-    checked = F.when(F.count(F.lit(1)) > MAX_LOOKUP_GROUPS, too_many).otherwise(F.map_from_entries(entries))
-    return bounded.agg(checked.alias("lookup")).scalar()
+    wanted = int(df.sparkSession.conf.get(SETTING, "0"))
+    return df.repartition(wanted) if wanted else df

@@ -27,8 +27,8 @@ from coverlay.functions import kernels, shapes, types
 SPLITS = (8, 4, 2)
 # Largest tile table that is sent to every executor; beyond it both sides are shuffled.
 BROADCAST_BYTES = 128 * 1024 * 1024
-# Copies of the tile table used to split hot cells when both sides are shuffled.
-SALT_BUCKETS = 16
+# Zones whose sides differ by less than this factor share a grid.
+CLASS_FACTOR = 4.0
 # Share of a cell by which tests are widened, so rounding never hides a neighbour.
 MARGIN = 1e-9
 # Zone vertices tiled by one task before the zones are spread over more tasks.
@@ -37,11 +37,15 @@ VERTICES_PER_TASK = 500_000
 
 @dataclass(frozen=True)
 class Grid:
-    """Square cells; ``tile_bytes`` bounds the size of the tile table built on it."""
+    """Square cells for one size class of zones; ``tile_bytes`` bounds their tile table.
+
+    ``size_class`` is the class of the zones on this grid, None for all zones.
+    """
 
     size: float
     tile_bytes: int
     vertices: int = 0
+    size_class: int | None = None
 
     @property
     def margin(self) -> float:
@@ -51,28 +55,34 @@ class Grid:
     def can_broadcast(self) -> bool:
         return self.tile_bytes <= BROADCAST_BYTES
 
-    @property
-    def outlines_fit(self) -> bool:
-        """Whether the zones' full outlines (32 bytes per vertex) are within the bound."""
-        return 0 < self.vertices * 32 <= BROADCAST_BYTES
-
     def cell(self, coordinate: Column) -> Column:
-        return F.floor(coordinate / F.lit(self.size)).cast("int")
+        """NULL for coordinates that are NaN, infinite or beyond every possible tile."""
+        return F.when(F.abs(coordinate) < F.lit(2.0**31 * self.size), F.floor(coordinate / F.lit(self.size)).cast("int"))
+
+
+def _side_class(measures: str) -> Column:
+    """Number of the zone's size class; zones without extent go to the class of side 1."""
+    side = F.greatest(F.col(f"{measures}.xmax") - F.col(f"{measures}.xmin"), F.col(f"{measures}.ymax") - F.col(f"{measures}.ymin"))
+    return F.floor(F.log(F.when(side > 0, side).otherwise(1.0)) / math.log(CLASS_FACTOR)).cast("int")
 
 
-def choose_grid(zones: DataFrame, geom: str = "geom") -> Grid:
-    """Measure the zones (one aggregate, one row back) and size the grid from them.
+def choose_grids(zones: DataFrame, geom: str = "geom") -> list[Grid]:
+    """Measure the zones (one aggregate, one row back per size class) and size a grid for each
+    class of zones of about one size.
 
-    The bound counts every tile and edge copy the chosen split can create, so whether the
-    tile table may be broadcast is decided on measured numbers, not on a guess.
+    A few large zones among many small ones so get a coarse grid of their own, and no zone
+    more tiles than a multiple of its border.  The bound counts every tile and edge copy that
+    a split can create, so whether the tile tables may be broadcast is decided on measured
+    numbers; the finest split within the bound is taken, else the coarsest.
     """
-    m = zones.select(shapes.measures(geom).alias("m")).select(
+    m = zones.select(shapes.measures(geom).alias("m")).filter(F.col("m.xmin").isNotNull()).select(
+        _side_class("m").alias("size_class"),
         (F.col("m.xmax") - F.col("m.xmin")).alias("w"),
         (F.col("m.ymax") - F.col("m.ymin")).alias("h"),
         F.col("m.n_points").alias("n"),
         F.col("m.length").alias("climb"),
     )
-    total = m.agg(
+    classes = m.groupBy("size_class").agg(
         F.percentile_approx(F.greatest("w", "h"), 0.5, 1000).alias("side"),
         F.count("w").alias("zones"),
         F.sum("n").alias("n"),
@@ -81,10 +91,12 @@ def choose_grid(zones: DataFrame, geom: str = "geom") -> Grid:
         F.sum(F.col("climb") * F.col("w")).alias("climb_w"),
         F.sum(F.col("w") * F.col("h")).alias("area"),
         F.sum(F.col("w") + F.col("h")).alias("sides"),
-    ).first()
-    side = float(total["side"] or 0.0) or 1.0
-    grids = [_bounded_grid(total.asDict(), side / split) for split in SPLITS]
-    return next((g for g in grids if g.can_broadcast), grids[0])
+    )
+    found = sorted((r.asDict() for r in classes.collect()), key=lambda r: r["size_class"])
+    if not found:
+        return [Grid(1.0, 0)]
+    tried = [[_bounded_grid(r, (float(r["side"] or 0.0) or 1.0) / split) for r in found] for split in SPLITS]
+    return next((g for g in tried if sum(x.tile_bytes for x in g) <= BROADCAST_BYTES), tried[-1])
 
 
 def _bounded_grid(total: dict, size: float) -> Grid:
@@ -92,10 +104,10 @@ def _bounded_grid(total: dict, size: float) -> Grid:
 
     Total edge length stands in for total height, which it is never below.
     """
-    t = {k: float(v or 0.0) for k, v in total.items()}
+    t = {k: float(v or 0.0) for k, v in total.items() if k != "size_class"}
     tiles = t["area"] / size**2 + 2 * t["sides"] / size + 4 * t["zones"]
     copies = 2 * t["n_w"] / size + 4 * t["n"] + t["climb_w"] / size**2 + 2 * t["climb"] / size
-    return Grid(size, math.ceil(tiles * 96 + copies * 32), int(t["n"]))
+    return Grid(size, math.ceil(tiles * 96 + copies * 32), int(t["n"]), total["size_class"])
 
 
 def build_tiles(zones: DataFrame, grid: Grid, zone_id: str = "zone_id", geom: str = "geom") -> DataFrame:
@@ -108,30 +120,28 @@ def build_tiles(zones: DataFrame, grid: Grid, zone_id: str = "zone_id", geom: st
 
     tasks = grid.vertices // VERTICES_PER_TASK
     source = zones.select(F.col(zone_id).alias("zone_id"), F.col(geom).alias("_geom"))
+    if grid.size_class is not None:
+        sized = source.withColumn("_m", shapes.measures("_geom"))
+        source = sized.filter(_side_class("_m") == grid.size_class).drop("_m")
     if tasks > 1:
         source = source.repartition(tasks, "zone_id")
     cut = tiles_of.asNondeterministic()(F.col("_geom"))
     return source.select("zone_id", cut.alias("_tiles")).select("zone_id", F.inline("_tiles"))
 
 
-def join_tiles(features: DataFrame, tiles: DataFrame, grid: Grid, salt_by: list[str]) -> DataFrame:
+def join_tiles(features: DataFrame, tiles: DataFrame, grid: Grid) -> DataFrame:
     """Equi-join features (already carrying ``cx, cy``) with the tiles of their cell.
 
-    A tile table within the measured bound is broadcast and features never move.  A larger
-    one is joined by shuffle; features of one cell are then spread over several buckets by a
-    hash of their identity (repeatable when a task is retried), so a cell holding a third of
-    all rows is not one task's work.
+    A tile table within the measured bound is broadcast and features never move.
+    """
+    return join_small(features, tiles, ["cx", "cy"], grid.can_broadcast)
+
+
+def join_small(large: DataFrame, small: DataFrame, keys: list[str], broadcast: bool) -> DataFrame:
+    """Inner join with a side measured to be small, or by shuffle.
+
+    In the shuffle a cell or zone with a third of all rows makes one large partition, which
+    adaptive execution splits by its measured size, copying only that partition's few rows
+    of the other side.
     """
-    return join_small(features, tiles, ["cx", "cy"], grid.can_broadcast, salt_by)
-
-
-def join_small(
-    large: DataFrame, small: DataFrame, keys: list[str], broadcast: bool, salt_by: list[str]
-) -> DataFrame:
-    """Inner join with a side measured to be small, or with hot keys spread over buckets."""
-    if broadcast:
-        return large.join(F.broadcast(small), keys)
-    bucket = F.pmod(F.xxhash64(*salt_by), F.lit(SALT_BUCKETS)).cast("int")
-    copies = F.explode(F.sequence(F.lit(0), F.lit(SALT_BUCKETS - 1)))
-    salted = large.withColumn("bucket", bucket)
-    return salted.join(small.withColumn("bucket", copies), [*keys, "bucket"]).drop("bucket")
+    return large.join(F.broadcast(small) if broadcast else small, keys)

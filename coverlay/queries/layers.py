@@ -13,12 +13,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from coverlay.functions import geodesy, shapes
 from coverlay.operators.spatial_join import ZoneIndex
 from coverlay.operators.spread import spread
-from coverlay.operators.tiling import Grid, choose_grid
 
 SIDE = 20.0
 PLACE_ID = ["o_orderkey"]
@@ -30,16 +28,8 @@ LAT0, LAT_STEP = 30.0, 10.0
 OFF_RASTER = 0.0037
 
 
-_SCHEMAS: dict[str, StructType] = {}
-_GRIDS: dict[tuple[str, bool], Grid] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; its schema is looked up in the file once per process."""
-    path = f"{sf_dir}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _lon(x: Column) -> Column:
@@ -77,11 +67,8 @@ def zones(spark: SparkSession, sf_dir: str, lonlat: bool = False) -> DataFrame:
 
 
 def zone_index(spark: SparkSession, sf_dir: str, lonlat: bool = False) -> ZoneIndex:
-    """Zones ready for joins; their grid is measured once per folder."""
-    layer = zones(spark, sf_dir, lonlat)
-    if (sf_dir, lonlat) not in _GRIDS:
-        _GRIDS[sf_dir, lonlat] = choose_grid(layer)
-    return ZoneIndex(layer, grid=_GRIDS[sf_dir, lonlat])
+    """Zones ready for joins."""
+    return ZoneIndex(zones(spark, sf_dir, lonlat))
 
 
 def places(spark: SparkSession, sf_dir: str, lonlat: bool = False) -> DataFrame:
@@ -115,14 +102,16 @@ def footprints(spark: SparkSession, sf_dir: str, lonlat: bool = False) -> DataFr
 
 
 def roads(spark: SparkSession, sf_dir: str, lonlat: bool = False) -> DataFrame:
+    """With ``metres``, the length in the equal-area plane, whatever the coordinates."""
     p = places(spark, sf_dir)
     x2 = F.col("x") + ((F.col("o_custkey") % 41) - 20) / 2.0
     y2 = F.col("y") + ((F.col("o_custkey") % 37) - 18) / 2.0
     ends = [(F.col("x"), F.col("y")), (x2, y2)]
-    if lonlat:
-        ends = [(_lon(x), _lat(y)) for x, y in ends]
+    degrees = [(_lon(x), _lat(y)) for x, y in ends]
+    (ax, ay), (bx, by) = (geodesy.equal_area_xy(*end) for end in degrees)
     return p.select(
-        "o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice", shapes.line_geom(ends).alias("geom")
+        "o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice",
+        shapes.line_geom(degrees if lonlat else ends).alias("geom"), F.hypot(bx - ax, by - ay).alias("metres"),
     )
 
 

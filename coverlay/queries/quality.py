@@ -106,18 +106,22 @@ def null_profile(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(found, ("pct_null", "mean"))
 
 
+LINEITEM_COLUMNS = (
+    "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate"
+).split()
+
+
 @query(
     "null_profile_wide",
     _union(
         [
             f"SELECT 'lineitem' AS layer, '{c}' AS column_name, count(*)::BIGINT AS n_rows, count(DISTINCT {c})::BIGINT AS n_distinct FROM lineitem"
-            for c in ("l_orderkey", "l_quantity", "l_returnflag", "l_discount")
+            for c in LINEITEM_COLUMNS
         ]
     ),
 )
 def null_profile_wide(spark: SparkSession, d: str) -> DataFrame:
-    columns = ["l_orderkey", "l_quantity", "l_returnflag", "l_discount"]
-    found = profile.null_profile(L.table(spark, d, "lineitem"), columns, F.lit(None).cast("string"))
+    found = profile.null_profile(L.table(spark, d, "lineitem"), LINEITEM_COLUMNS, F.lit(None).cast("string"))
     return found.select(F.lit("lineitem").alias("layer"), "column_name", "n_rows", "n_distinct")
 
 
@@ -325,10 +329,10 @@ def reconcile_keys(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "cross_region_unique",
     """SELECT o_custkey, count(DISTINCT o_orderstatus)::BIGINT AS n_groups, string_agg(DISTINCT o_orderstatus, ';' ORDER BY o_orderstatus) AS groups
-    FROM orders WHERE o_totalprice > 450000 GROUP BY 1 HAVING count(DISTINCT o_orderstatus) > 1""",
+    FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderstatus) > 1""",
 )
 def cross_region_unique(spark: SparkSession, d: str) -> DataFrame:
-    return sets.shared_across(L.table(spark, d, "orders").filter("o_totalprice > 450000"), "o_custkey", "o_orderstatus")
+    return sets.shared_across(L.table(spark, d, "orders"), "o_custkey", "o_orderstatus")
 
 
 @query(
@@ -367,7 +371,7 @@ def common_and_missing_keys(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "reclassified",
     """WITH x AS (SELECT p_partkey, min(p_size % 7) AS o, max((p_size + (CASE WHEN p_retailprice > 950 THEN 1 ELSE 0 END)) % 7) AS n FROM part GROUP BY 1),
-      k AS (SELECT DISTINCT l_partkey AS pk FROM lineitem WHERE l_quantity > 49),
+      k AS (SELECT DISTINCT l_partkey AS pk FROM lineitem),
       j AS (SELECT pk, o, n, p_partkey IS NOT NULL AND o > 0 AS hit FROM k LEFT JOIN x ON p_partkey = pk AND o > 0)
     SELECT lpad((pk // 1000)::VARCHAR, 2, '0') || lpad((pk % 1000)::VARCHAR, 3, '0') AS county_fips, hit AS found, CASE WHEN hit THEN o END::INT AS code_old, CASE WHEN hit THEN n END::INT AS code_new,
       CASE o WHEN 1 THEN 'Large central metro' WHEN 2 THEN 'Large fringe metro' WHEN 3 THEN 'Medium metro' WHEN 4 THEN 'Small metro' WHEN 5 THEN 'Micropolitan' WHEN 6 THEN 'Noncore (nonmetro)' END AS meaning_old,
@@ -383,7 +387,7 @@ def reclassified(spark: SparkSession, d: str) -> DataFrame:
     )
     crosswalk = first_per_key(crosswalk.filter("code_old > 0"), ["county_fips"], [F.col("code_old")])
     part = F.col("l_partkey")
-    zones = L.table(spark, d, "lineitem").filter("l_quantity > 49").select(
+    zones = L.table(spark, d, "lineitem").select(
         F.concat(F.lpad(F.floor(part / 1000).cast("string"), 2, "0"), F.lpad((part % 1000).cast("string"), 3, "0"), F.lit("000100")).alias("zone")
     )
     keys = zones.select(v.county_of("zone").alias("county_fips")).distinct()
@@ -393,7 +397,9 @@ def reclassified(spark: SparkSession, d: str) -> DataFrame:
 
 # --- catalogue -----------------------------------------------------------------------------
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels")
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+).split()
 SPARK_TYPES = {
     "region": "r_regionkey int, r_name string",
     "nation": "n_nationkey int, n_name string, n_regionkey int",
@@ -404,7 +410,11 @@ SPARK_TYPES = {
     "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
     "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
 }
 
 
@@ -657,9 +667,9 @@ def projected_scan(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("rows_per_file", _union([f"SELECT '{t}.parquet' AS file, count(*)::BIGINT AS n_rows FROM {t}" for t in ("orders", "lineitem", "customer")]))
+@query("rows_per_file", _union([f"SELECT '{t}.parquet' AS file, count(*)::BIGINT AS n_rows FROM {t}" for t in TABLES]))
 def rows_per_file(spark: SparkSession, d: str) -> DataFrame:
-    files = [spark.read.parquet(f"{d}/{t}.parquet") for t in ("orders", "lineitem", "customer")]
+    files = [spark.read.parquet(f"{d}/{t}.parquet") for t in TABLES]
     counts = sets.union_scopes([count_by_file(f) for f in files])
     return counts.withColumn("file", F.regexp_extract("file", "([^/]+)$", 1))
 

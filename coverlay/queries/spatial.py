@@ -10,6 +10,7 @@ from coverlay.operators import spatial_join as sj
 from coverlay.operators.features import onto_zones
 from coverlay.operators.lineage import settle
 from coverlay.operators.ordering import exact_quantiles
+from coverlay.operators.tiling import join_small
 from coverlay.plans import audit
 from coverlay.queries import layers as L
 from coverlay.queries.registry import query
@@ -136,7 +137,7 @@ def line_touch_length(spark: SparkSession, d: str) -> DataFrame:
     L.layers_sql("z p r lb")
     + """, q AS (SELECT zone_id, bool_or(t1 >= t0) AS touched,
         sum(CASE WHEN t1 - t0 > 1e-12 THEN (t1 - t0) * sqrt(dx * dx + dy * dy) ELSE 0 END) AS length
-        FROM lb WHERE o_totalprice > 490000 GROUP BY 1)
+        FROM lb GROUP BY 1)
       SELECT region, count(*)::BIGINT AS n_zones,
         count(*) FILTER (NOT coalesce(touched, false))::BIGINT AS undefined_by_touch,
         count(*) FILTER (coalesce(length, 0) <= 0)::BIGINT AS undefined_by_length,
@@ -145,9 +146,7 @@ def line_touch_length(spark: SparkSession, d: str) -> DataFrame:
 )
 def touch_vs_clip_defined(spark: SparkSession, d: str) -> DataFrame:
     index = L.zone_index(spark, d)
-    # a sparse road class, so that some zones have none of it
-    named = L.roads(spark, d).filter("o_totalprice > 490000")
-    return audit.definedness(named, index, index.zones, L.PLACE_ID, measure="planar")
+    return audit.definedness(L.roads(spark, d), index, index.zones, L.PLACE_ID, measure="planar")
 
 
 WINDOW = (30.0, 20.0, 45.5, 50.25)
@@ -273,9 +272,9 @@ def distance_to_boundary_m(spark: SparkSession, d: str) -> DataFrame:
     held = sj.assign_points(L.places(spark, d), index)
     outlines = L.zones(spark, d, lonlat=True).select("zone_id", shapes.outline("geom", projected=True).alias("outline"))
     px, py = geodesy.equal_area_xy(L.LON0 + F.col("x") / L.LON_STEP, L.LAT0 + F.col("y") / L.LAT_STEP)
+    placed = held.select("zone_id", px.alias("px"), py.alias("py"))
     measured = (
-        held.select("zone_id", px.alias("px"), py.alias("py"))
-        .join(outlines, "zone_id")
+        join_small(placed, outlines, ["zone_id"], index.outlines_fit)
         .select("zone_id", shapes.boundary_distance("px", "py", "outline").alias("dist"))
     )
     return measured.groupBy("zone_id").agg(
@@ -393,10 +392,7 @@ ROAD_ENDS = """SELECT o_orderkey, k, -120.0::DOUBLE + ex / 4 AS lon, 30.0::DOUBL
         round(quantile_cont(density, 0.5), 6) AS p50, round(quantile_cont(density, 0.98), 6) AS p98 FROM q""",
 )
 def zone_density(spark: SparkSession, d: str) -> DataFrame:
-    lengths = L.roads(spark, d, lonlat=True).select("o_orderkey", shapes.length_m("geom").alias("metres"))
-    roads = L.roads(spark, d).select("o_orderkey", "geom")
-    pairs = sj.touching_lines(roads, L.zone_index(spark, d), L.PLACE_ID)
-    per_zone = pairs.join(lengths, "o_orderkey").groupBy("zone_id").agg(F.sum("metres").alias("length"))
+    per_zone = sj.touched_length(L.roads(spark, d), L.zone_index(spark, d), L.PLACE_ID, F.col("metres"))
     values = settle(audit.density(per_zone, audit.zone_measures(L.zones(spark, d, lonlat=True))))
     bounds = exact_quantiles(values, "density", {"p02": 0.02, "p50": 0.5, "p98": 0.98})
     mean = values.agg(F.round(F.avg("density"), 6)).scalar()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from coverlay.functions import values as v
 from coverlay.operators import catalog, contracts, ordering, profile, sets
-from coverlay.operators.spread import group_lookup, spread
+from coverlay.operators.spread import spread
 from coverlay.plans import scoring, strata_rules
 from coverlay.sources.contracts import (
     ESTABLISHMENTS,
@@ -191,11 +191,30 @@ def test_histogram_closes_the_last_bin(spark):
     assert got == [("r", 0, 1), ("r", 1, 1), ("r", 2, 1), ("r", 3, 2), ("s", 0, 1)]
 
 
-def test_lookup_and_spread(spark):
-    df = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "k string, n int")
-    lookup = group_lookup(df, "k", F.col("n"))
-    assert df.select(F.try_element_at(lookup, F.col("k"))).collect() == [(1,), (2,), (None,)]
-    assert spread(df.coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+def test_more_groups_than_any_lookup_would_hold(spark):
+    df = spark.range(40_000).select((F.col("id") % 20_000).cast("string").alias("g"), F.col("id").cast("double").alias("v"), F.lit(True).alias("c"))
+    assert ordering.histogram(df, "v", "g", bins=2).agg(F.sum("n")).first()[0] == 40_000
+    split = ordering.median_split(df, "v", "c", "g", "high")
+    assert split.columns == ["g", "v", "c", "high"] and split.filter("high").count() == 20_000
+
+
+def test_one_value_on_a_third_of_the_rows(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.col("id").cast("double")).alias("v"))
+    values = sorted(5.0 if i % 3 == 0 else float(i) for i in range(3000))
+    row = ordering.exact_quantiles(df, "v", {"low": 0.2, "mid": 0.5}).first()
+    assert row["low"] == 5.0
+    at = 0.5 * 2999
+    assert row["mid"] == pytest.approx(values[int(at)] + (values[int(at) + 1] - values[int(at)]) * (at % 1))
+
+
+def test_tables_are_dealt_out_where_the_session_asks(spark):
+    df = spark.range(10).coalesce(1)
+    assert spread(df) is df
+    spark.conf.set("spark.coverlay.scanPartitions", "3")
+    try:
+        assert spread(df).rdd.getNumPartitions() == 3
+    finally:
+        spark.conf.unset("spark.coverlay.scanPartitions")
 
 
 # --- sets ----------------------------------------------------------------------------------

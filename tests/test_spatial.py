@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from coverlay.operators import spatial_join as sj
-from coverlay.operators.tiling import BROADCAST_BYTES, Grid, choose_grid
+from coverlay.operators.tiling import BROADCAST_BYTES, Grid, choose_grids
 from coverlay.plans import audit
 from tests.geometry import ZONE_SCHEMA, box, line, multiline, multipolygon, polygon, shapes_frame, two_zones
 
@@ -81,7 +81,7 @@ def test_distance_to_boundary(spark):
 
 
 def test_grid_is_broadcast_only_within_the_measured_bound(spark):
-    grid = choose_grid(two_zones(spark))
+    grid = choose_grids(two_zones(spark))[0]
     assert grid.can_broadcast and grid.tile_bytes < 1_000_000
     assert not Grid(1.0, BROADCAST_BYTES + 1).can_broadcast
 
@@ -197,10 +197,10 @@ def world(spark):
 def test_points_equal_brute_force(spark, world, broadcast):
     rng, zones, frame = world
     pts = [(i, float(rng.randint(-60, 260)), float(rng.randint(-60, 260))) for i in range(3000)]
-    grid = choose_grid(frame)
+    grid = choose_grids(frame)[0]
     if not broadcast:
         grid = Grid(grid.size, BROADCAST_BYTES + 1, grid.vertices)
-    index = sj.ZoneIndex(frame, grid=grid)
+    index = sj.ZoneIndex(frame, grids=[grid])
     found = sj.assign_hits(spark.createDataFrame(pts, "fid int, x double, y double"), index)
     got = {(r["fid"], r["zone_id"]): r["location"] for r in found.collect()}
     want = {}
@@ -223,10 +223,10 @@ def test_polygons_equal_brute_force(spark, world, broadcast):
         w, h = rng.choice([(1, 1), (3, 2), (10, 4), (60, 60), (130, 3)])
         shapes[f"b{i}"] = box(x, y, x + w, y + h) if i % 3 else polygon(star(rng, x, y, 8, 7))
     shapes = {k: v for k, v in shapes.items() if len(edges_of(v)) >= 3}
-    grid = choose_grid(frame)
+    grid = choose_grids(frame)[0]
     if not broadcast:
         grid = Grid(grid.size * 0.7, BROADCAST_BYTES + 1, grid.vertices)
-    index = sj.ZoneIndex(frame, grid=grid)
+    index = sj.ZoneIndex(frame, grids=[grid])
     layer = shapes_frame(spark, shapes)
     got = set(pairs(sj.assign_by_intersection(layer, index, ["fid"]), "fid", "zone_id"))
     want = {(f, z) for f, a in shapes.items() for z, b in zones.items() if shapes_meet(a, b)}
@@ -276,17 +276,71 @@ def test_lines_equal_brute_force(spark, world):
     assert set(pairs(sj.touching_lines(lines, index, ["fid"]), "fid", "zone_id")) == touching
 
 
-def test_hot_cell_is_spread_over_buckets(spark):
-    """All points in one cell: the shuffled join must not send them to one partition."""
-    grid = choose_grid(two_zones(spark))
-    index = sj.ZoneIndex(two_zones(spark), grid=Grid(grid.size, BROADCAST_BYTES + 1))
-    pts = spark.range(4000).select("id", F.lit(5.0).alias("x"), F.lit(5.0).alias("y"))
-    placed = sj.assign_points(pts, index).withColumn("task", F.spark_partition_id())
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+def test_hot_cell_is_split(spark):
+    """All points in one cell: adaptive execution splits the shuffled join's partition."""
+    grid = choose_grids(two_zones(spark))[0]
+    index = sj.ZoneIndex(two_zones(spark), grids=[Grid(grid.size, BROADCAST_BYTES + 1)])
+    # One cell, but not constants, which the optimizer would turn into a filter.
+    here = F.lit(5.0) + F.rand(1) * 1e-3
+    pts = spark.range(0, 40_000, 1, 8).select("id", here.alias("x"), here.alias("y"))
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    for key, value in small.items():
+        spark.conf.set(key, value)
     try:
-        rows = placed.groupBy("task").count().collect()
+        placed = sj.assign_points(pts, index)
+        assert len(placed.collect()) == 40_000
+        plan = placed._jdf.queryExecution().executedPlan().toString()
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert sum(r["count"] for r in rows) == 4000 and len(rows) > 3
+        for key in small:
+            spark.conf.unset(key)
+    assert "skew=true" in plan
+
+
+def test_uneven_zones_have_tiles_in_proportion_to_their_number(spark):
+    """Many small and some very large zones: each class has a grid of its own."""
+    small = {f"s{i}": box(3 * i, 0, 3 * i + 1, 1) for i in range(400)}
+    large = {f"l{i}": box(300 * i, 10, 300 * i + 290, 300) for i in range(4)}
+    zones = shapes_frame(spark, small | large, ZONE_SCHEMA)
+    index = sj.ZoneIndex(zones)
+    assert len(index.levels) == 2 and all(level.grid.can_broadcast for level in index.levels)
+    assert sum(level.tiles.count() for level in index.levels) < 150 * (len(small) + len(large))
+    pts = spark.createDataFrame([(i, 0.5 + 3 * i, 0.5) for i in range(400)] + [(1000 + i, 300.0 * i + 7, 50.0) for i in range(4)], "fid int, x double, y double")
+    got = dict(pairs(sj.assign_points(pts, index), "fid", "zone_id"))
+    assert got == {i: f"s{i}" for i in range(400)} | {1000 + i: f"l{i}" for i in range(4)}
+    lines = shapes_frame(spark, {"a": line((0.5, 0.5), (0.5, 20)), "b": line((0, 0.5), (9, 0.5))})
+    lengths = {r["zone_id"]: r["length"] for r in sj.clipped_length(lines, index, ["fid"], measure="planar").collect()}
+    assert lengths == {"s0": pytest.approx(1.5), "l0": pytest.approx(10.0), "s1": pytest.approx(1.0), "s2": pytest.approx(1.0)}
+    assert set(pairs(sj.touching_lines(lines, index, ["fid"]), "fid", "zone_id")) == {("a", "s0"), ("a", "l0"), ("b", "s0"), ("b", "s1"), ("b", "s2"), ("b", "s3")}
+
+
+def test_coordinates_that_are_no_numbers_match_nothing(spark):
+    bad = (float("nan"), float("inf"), float("-inf"), None)
+    zones = shapes_frame(spark, {"T1": box(0, 0, 10, 10)}, ZONE_SCHEMA)
+    pts = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate([(b, 5.0) for b in bad] + [(5.0, b) for b in bad] + [(5.0, 5.0), (1e300, 5.0)])], "fid int, x double, y double")
+    assert pairs(sj.assign_points(pts, zones), "fid", "zone_id") == [(8, "T1")]
+    nan, inf = float("nan"), float("inf")
+    polygons = shapes_frame(spark, {"ok": box(1, 1, 2, 2), "nan": box(nan, 1, 2, 2), "inf": box(1, 1, inf, 2)})
+    assert pairs(sj.assign_by_intersection(polygons, zones, ["fid"]), "fid", "zone_id") == [("ok", "T1")]
+    lines = shapes_frame(spark, {"ok": line((1, 1), (2, 1)), "nan": line((nan, 1), (2, 2)), "inf": line((1, 1), (inf, 1))})
+    assert pairs(sj.clipped_length(lines, zones, ["fid"], measure="planar"), "zone_id", "length") == [("T1", pytest.approx(1.0))]
+    assert pairs(sj.touching_lines(lines, zones, ["fid"]), "fid", "zone_id") == [("ok", "T1")]
+
+
+def test_no_zone_has_no_features(spark):
+    b = shapes_frame(spark, {"a": box(1, 1, 2, 2)})
+    nothing = two_zones(spark).filter("zone_id = 'absent'")
+    assert sj.features_of_zone(b, nothing, ["fid"]).count() == 0
+    assert sj.assign_by_intersection(b, nothing, ["fid"]).count() == 0
+
+
+def test_boundary_audit_with_overlapping_zones(spark):
+    zones = shapes_frame(spark, {"A": box(0, 0, 10, 10), "B": box(5, 5, 15, 15)}, ZONE_SCHEMA)
+    pts = spark.createDataFrame([(1, 7.0, 7.0), (2, 10.0, 7.0), (3, 0.0, 3.0)], "fid int, x double, y double").withColumn("layer", F.lit("p"))
+    row = sj.boundary_audit(pts, zones, ["fid"], ["layer"], disjoint=False).first()
+    assert (row["within"], row["boundary_only"], row["outside"]) == (2, 1, 0)
