@@ -76,7 +76,8 @@ def has_tag(cell: Column | str, tag: str) -> Column:
 
 def matches_any_word(value: Column | str, words: Sequence[str]) -> Column:
     """Case-insensitive "contains any of these words"; NULL input counts as no match."""
-    pattern = "(?i)" + "|".join(words)
+    quoted = ["\\Q" + word.replace("\\E", "\\E\\\\E\\Q") + "\\E" for word in words]
+    pattern = "(?iu)" + "|".join(quoted)
     return F.coalesce(as_column(value).rlike(pattern), F.lit(False))
 
 

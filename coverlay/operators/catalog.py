@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coverlay.functions.values import one_of
@@ -93,33 +93,32 @@ def compare_schemas(national: DataFrame, regional: DataFrame) -> DataFrame:
     )
 
 
-def schema_verdict(detail: DataFrame) -> DataFrame:
-    """One row: counts of each difference, whether shared columns keep their order, verdict."""
-    shared = Window.orderBy("national_position")
-    other = Window.orderBy("region_position")
-    both = F.col("in_national") & F.col("in_region")
-    ranked = detail.filter(both).select(
-        (F.row_number().over(shared) == F.row_number().over(other)).alias("same_place")
-    )
-    order = ranked.agg(F.coalesce(F.min("same_place"), F.lit(True)).alias("order_matches"))
-    counts = detail.agg(
-        F.count_if(F.col("in_national") & ~F.col("in_region")).alias("missing_in_region"),
-        F.count_if(~F.col("in_national") & F.col("in_region")).alias("extra_in_region"),
-        F.count_if(F.coalesce(~F.col("dtype_match"), F.lit(False))).alias("dtype_mismatches"),
-        (F.count(F.lit(1)) - F.count_distinct("column_name")).alias("duplicates"),
-    )
-    clean = (
-        (F.col("missing_in_region") == 0)
-        & (F.col("extra_in_region") == 0)
-        & (F.col("dtype_mismatches") == 0)
-        & (F.col("duplicates") == 0)
-    )
-    return counts.withColumn("order_matches", order.scalar()).withColumn("columns_match", clean)
+def schema_verdict(national: DataFrame, regional: DataFrame) -> DataFrame:
+    """One row from both sides' schema rows: counts of each difference, whether shared columns
+    keep their order, verdict.
 
+    Names that occur more than once are counted per side and left out of the other checks.
+    """
 
-def struct_signature(df: DataFrame, column: str) -> str:
-    """Nested type of a column as text, to compare across tables."""
-    return df.schema[column].dataType.simpleString()
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        first = [F.count(F.lit(1)).alias(f"{name}_times"), F.min("dtype").alias(f"{name}_dtype"), F.min("position").alias(f"{name}_position")]
+        return rows.groupBy("column_name").agg(*first)
+
+    times = side(national, "national").join(side(regional, "region"), "column_name", "full")
+    left, right = F.coalesce("national_times", F.lit(0)), F.coalesce("region_times", F.lit(0))
+    shared = (left == 1) & (right == 1)
+    # One entry per column of a schema: the places fit one array.
+    places = F.array_sort(F.collect_list(F.when(shared, F.struct("national_position", "region_position"))))["region_position"]
+    found = times.agg(
+        F.count_if((left == 1) & (right == 0)).alias("missing_in_region"),
+        F.count_if((left == 0) & (right == 1)).alias("extra_in_region"),
+        F.count_if(shared & (F.col("national_dtype") != F.col("region_dtype"))).alias("dtype_mismatches"),
+        F.count_if(left > 1).alias("duplicates_in_national"),
+        F.count_if(right > 1).alias("duplicates_in_region"),
+        (places == F.array_sort(places)).alias("order_matches"),
+    )
+    differences = [c for c in found.columns if c != "order_matches"]
+    return found.withColumn("columns_match", F.greatest(*differences) == 0)
 
 
 def attribute_columns(

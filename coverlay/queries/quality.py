@@ -169,15 +169,26 @@ def domain_pivot(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(profile.domain_pivot(found.withColumn("domain", domain), SCOPES), SCOPES)
 
 
+KEYED = ("region", "nation", "customer", "supplier", "part", "orders", "labels")
+# Each table's columns as the catalogue names them, read from the tables themselves.
+_SPARK_TYPE = "CASE column_type WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(column_type) END"
+
+
+def _described(*tables: str) -> str:
+    one = "SELECT '{0}' AS source_table, column_name, row_number() OVER () AS position, " + _SPARK_TYPE + " AS dtype FROM (DESCRIBE {0})"
+    return _union([one.format(t) for t in tables])
+
+
 @query(
     "flag_groups",
-    "SELECT * FROM (VALUES ('a_covered', 'a_x'), ('a_covered', 'other'), ('b_covered', 'b_one'), ('c_covered', 'c_one'), ('b_covered', NULL), ('c_covered', NULL)) t(flag_column, member_column) WHERE (SELECT count(*) FROM customer) > 0",
+    f"""WITH c AS ({_described(*KEYED)}), f AS (SELECT source_table, column_name AS flag FROM c WHERE ends_with(column_name, 'key')),
+      m AS (SELECT source_table, column_name AS member FROM c WHERE NOT ends_with(column_name, 'key')),
+      k AS (SELECT source_table, count(*) AS n FROM f GROUP BY 1)
+    SELECT DISTINCT flag AS flag_column, CASE WHEN n = 1 OR starts_with(member, left(flag, length(flag) - 3)) THEN member END AS member_column
+    FROM f JOIN k USING (source_table) LEFT JOIN m USING (source_table)""",
 )
 def flag_groups(spark: SparkSession, d: str) -> DataFrame:
-    c = L.table(spark, d, "customer")
-    names = {"one": ["a_covered", "a_x", "other"], "two": ["b_covered", "b_one", "c_covered", "c_one", "window"]}
-    tables = {t: c.select(*[F.col("c_custkey").alias(n) for n in ns]) for t, ns in names.items()}
-    return profile.flag_groups(catalog.schema_inventory(spark, tables).filter("table_rows > 0"))
+    return profile.flag_groups(catalog.schema_rows(spark, _tables(spark, d, KEYED)), "key")
 
 
 # --- distributions -------------------------------------------------------------------------
@@ -477,10 +488,15 @@ def schema_drift(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "schema_verdict",
-    "SELECT 1::BIGINT AS missing_in_region, 1::BIGINT AS extra_in_region, 1::BIGINT AS dtype_mismatches, 0::BIGINT AS duplicates, true AS order_matches, false AS columns_match FROM (SELECT count(*) AS n FROM orders) WHERE n > 0",
+    f"""WITH n AS ({_described("documents")}), r AS ({_described("conversations")}), j AS (SELECT n.dtype AS a, r.dtype AS b, n.position AS p, r.position AS q FROM n FULL JOIN r USING (column_name))
+    SELECT count(*) FILTER (b IS NULL)::BIGINT AS missing_in_region, count(*) FILTER (a IS NULL)::BIGINT AS extra_in_region, count(*) FILTER (a <> b)::BIGINT AS dtype_mismatches,
+      0::BIGINT AS duplicates_in_national, 0::BIGINT AS duplicates_in_region,
+      coalesce(list(q ORDER BY p) FILTER (a IS NOT NULL AND b IS NOT NULL) = list(q ORDER BY q) FILTER (a IS NOT NULL AND b IS NOT NULL), true) AS order_matches,
+      count(*) FILTER (a IS NULL OR b IS NULL OR a <> b) = 0 AS columns_match FROM j""",
 )
 def schema_verdict(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.schema_verdict(schema_drift(spark, d))
+    national, regional = (catalog.schema_rows(spark, _tables(spark, d, (t,))) for t in ("documents", "conversations"))
+    return catalog.schema_verdict(national, regional)
 
 
 ATTRIBUTED = ("nation", "customer", "orders", "supplier")
@@ -566,28 +582,46 @@ def rule_classify(spark: SparkSession, d: str) -> DataFrame:
     return _tagged(spark, _classified(spark, d)).select("column_name", "domain", "role", "n_distinct", "allowed_for_bias", "bias_reason", "candidate_hypotheses")
 
 
+FEEDING = ("Eligibility", "Exposure", "Pill")
+
+
 @query(
     "columns_feeding",
-    "SELECT 'Eligibility' AS tag, 2::BIGINT AS n_columns FROM (SELECT count(*) AS n FROM customer) WHERE n > 0 UNION ALL SELECT 'Exposure', 2 UNION ALL SELECT 'Pill', 0",
+    CUSTOMER_SQL
+    + f""", {_ROLE_SQL}, t AS (SELECT unnest(['Eligibility', 'Exposure', 'Pill']) AS tag),
+      h AS (SELECT t.tag, n_distinct, n_null, list_contains(string_split(candidate_hypotheses, '; '), t.tag) AS feeds FROM t CROSS JOIN (r JOIN n USING (column_name)))
+    SELECT tag, count(*) FILTER (feeds)::BIGINT AS n_columns, coalesce(sum(n_distinct) FILTER (feeds), 0)::BIGINT AS n_distinct, coalesce(sum(n_null) FILTER (feeds), 0)::BIGINT AS n_null FROM h GROUP BY 1""",
 )
 def columns_feeding(spark: SparkSession, d: str) -> DataFrame:
-    tagged = rule_classify(spark, d)
-    tags = ("Eligibility", "Exposure", "Pill")
-    row = tagged.agg(*[F.count_if(v.has_tag("candidate_hypotheses", t)).alias(t) for t in tags])
-    return row.unpivot([], list(tags), "tag", "n_columns")
+    tagged = _tagged(spark, _classified(spark, d)).withColumn("tag", F.explode(F.array(*[F.lit(t) for t in FEEDING])))
+    feeds = F.array_contains(F.split("candidate_hypotheses", "; "), F.col("tag"))
+    total = lambda c: F.coalesce(F.sum(F.when(feeds, F.col(c))), F.lit(0)).alias(c)
+    return tagged.groupBy("tag").agg(F.count_if(feeds).alias("n_columns"), total("n_distinct"), total("n_null"))
+
+
+BALANCES = {f"balance_{i}": (2500 * i - 1000, 2500 * i + 1500) for i in range(5)}
 
 
 @query(
     "region_presence",
-    """SELECT * FROM (VALUES ('c_custkey', 'AFRICA;ASIA', '', true), ('only_africa', 'AFRICA', 'ASIA', false)) t(column_name, present_in_regions, missing_from_regions, present_in_all_regions)
-    WHERE (SELECT count(*) FROM customer) > 0""",
+    "WITH s AS (SELECT n_name AS region, s_acctbal AS b FROM supplier JOIN nation ON s_nationkey = n_nationkey), p AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{name}' AS column_name, region, count(*) FILTER (b >= {low} AND b < {high}) > 0 AS here FROM s GROUP BY 2" for name, (low, high) in BALANCES.items()
+    )
+    + """) SELECT column_name, coalesce(string_agg(region, ';' ORDER BY region) FILTER (here), '') AS present_in_regions,
+      coalesce(string_agg(region, ';' ORDER BY region) FILTER (NOT here), '') AS missing_from_regions, bool_and(here) AS present_in_all_regions FROM p GROUP BY 1""",
 )
 def region_presence(spark: SparkSession, d: str) -> DataFrame:
-    customers = L.table(spark, d, "customer").select("c_custkey")
-    regional = {"AFRICA": customers.withColumn("only_africa", F.lit(1)), "ASIA": customers}
-    inventory = catalog.schema_inventory(spark, regional).filter("table_rows > 0")
-    detail = inventory.select("column_name", F.col("source_table").alias("region"), F.lit(True).alias("in_region"))
-    return catalog.region_presence(detail, ["AFRICA", "ASIA"])
+    """A column without any value in a region is missing there."""
+    nations = L.table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("region"))
+    suppliers = L.table(spark, d, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+    balance = F.col("s_acctbal")
+    wide = suppliers.select("region", *[F.when((balance >= low) & (balance < high), balance).alias(n) for n, (low, high) in BALANCES.items()])
+    found = profile.null_profile(wide, list(BALANCES), F.col("region")).filter("scope <> 'national'")
+    detail = found.select("column_name", F.col("scope").alias("region"), (F.col("n_null") < F.col("n_rows")).alias("in_region"))
+    # One row per nation: the catalogue's list of regions.
+    regions = sorted(r["scope"] for r in found.select("scope").distinct().collect())
+    return catalog.region_presence(detail, regions)
 
 
 @query(

@@ -42,14 +42,23 @@ def load_crosswalk(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def write_regions(df: DataFrame, path: str, files_per_region: int = 8) -> None:
-    """One directory per region.
+# Rows of an output file, about.
+ROWS_PER_FILE = 2_000_000
 
-    Rows are hashed on region and row content before writing, so a region holding a third of
-    all rows is written by several tasks; without it every task would write a file per region.
+
+def write_regions(df: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
+    """One directory per region, in files of about ``rows_per_file`` rows.
+
+    A region gets as many files as its counted rows ask for, and its rows are dealt to them
+    by a hash of their content, so that a region holding a third of all rows is written by
+    many tasks and a small one makes a single file.
     """
-    files = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_region))
-    df.repartition("region", files).write.mode("overwrite").partitionBy("region").parquet(path)
+    counts = df.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / rows_per_file).cast("int").alias("_files"))
+    total = counts.agg(F.coalesce(F.sum("_files"), F.lit(1))).first()[0]
+    sized = df.join(counts.select(F.col("region").alias("_region"), "_files"), F.col("region").eqNullSafe(F.col("_region")))
+    file = F.pmod(F.xxhash64(*df.columns), "_files")
+    dealt = sized.withColumn("_file", file).repartition(int(total), "region", "_file")
+    dealt.select(*df.columns).write.mode("overwrite").partitionBy("region").parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:

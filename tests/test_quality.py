@@ -191,6 +191,12 @@ def test_histogram_closes_the_last_bin(spark):
     assert got == [("r", 0, 1), ("r", 1, 1), ("r", 2, 1), ("r", 3, 2), ("s", 0, 1)]
 
 
+def test_words_are_no_patterns(spark):
+    df = spark.createDataFrame([("a.b",), ("axb",), ("Café (x)",), (None,)], "t string")
+    got = [r[0] for r in df.select(v.matches_any_word("t", ["a.b", "(X)"])).collect()]
+    assert got == [True, False, True, False]
+
+
 def test_more_groups_than_any_lookup_would_hold(spark):
     df = spark.range(40_000).select((F.col("id") % 20_000).cast("string").alias("g"), F.col("id").cast("double").alias("v"), F.lit(True).alias("c"))
     assert ordering.histogram(df, "v", "g", bins=2).agg(F.sum("n")).first()[0] == 40_000
@@ -288,10 +294,13 @@ def test_schema_comparison_and_risks(spark):
     kind = "source_table string, column_name string, position int, dtype string"
     a = spark.createDataFrame([("n", "x", 0, "int"), ("n", "y", 1, "int"), ("n", "z", 2, "int")], kind)
     b = spark.createDataFrame([("r", "y", 0, "int"), ("r", "x", 1, "int"), ("r", "w", 2, "int")], kind)
-    verdict = catalog.schema_verdict(catalog.compare_schemas(a, b)).first()
-    assert tuple(verdict) == (1, 1, 0, 0, False, False)
-    same = catalog.schema_verdict(catalog.compare_schemas(a, a)).first()
+    verdict = catalog.schema_verdict(a, b).first()
+    assert tuple(verdict) == (1, 1, 0, 0, 0, False, False)
+    same = catalog.schema_verdict(a, a).first()
     assert same["columns_match"] and same["order_matches"]
+    twice = spark.createDataFrame([("n", "x", 0, "int"), ("n", "d", 1, "int"), ("n", "d", 2, "int"), ("n", "y", 3, "int")], kind)
+    # A name twice on both sides is counted on each and spoils no other check.
+    assert tuple(catalog.schema_verdict(twice, twice).first()) == (0, 0, 0, 1, 1, True, False)
     rows = [("ok", "GEOID", 0, "string"), ("int", "GEOID", 0, "bigint"), ("alias", "county_fips", 0, "string"), ("none", "x", 0, "string"), ("twice", "GEOID", 0, "int"), ("twice", "GEOID", 1, "int")]
     risks = {r["source_table"]: (r["finding"], r["detail"]) for r in catalog.schema_risks(spark.createDataFrame(rows, kind)).collect()}
     assert risks == {

@@ -83,6 +83,9 @@ def test_regions_partition_and_row_counts(spark, tmp_path):
     small = geo.read_regions(spark, path, ["small"])
     assert small.count() == 10 and "PartitionFilters: [isnotnull(region" in small._jdf.queryExecution().executedPlan().toString()
     assert geo.count_by_file(geo.read_regions(spark, path)).agg(F.sum("n_rows")).first()[0] == 100
+    tables.write_regions(df, str(tmp_path / "many"), rows_per_file=10)
+    files = geo.count_by_file(geo.read_regions(spark, str(tmp_path / "many"))).groupBy(F.col("file").contains("region=big").alias("big")).count().collect()
+    assert {r["big"]: r["count"] for r in files}[False] == 1 and {r["big"]: r["count"] for r in files}[True] > 3
 
 
 def test_manifest_keeps_leading_zeros(spark, tmp_path):
