@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 from coverlay.functions import geodesy, shapes
 from coverlay.operators import spatial_join as sj
+from coverlay.operators.contracts import contract_report
 from coverlay.operators.features import onto_zones
 from coverlay.operators.lineage import settle
 from coverlay.operators.ordering import exact_quantiles
+from coverlay.operators.sets import union_scopes
 from coverlay.operators.tiling import join_small
 from coverlay.plans import audit
 from coverlay.queries import layers as L
 from coverlay.queries.registry import query
 from coverlay.sources import geo
+from coverlay.sources.contracts import LAYER_CONTRACTS
 
 SQUARE_IN = "px > x0 AND px < x0 + 20 AND py > y0 AND py < y0 + 20"
 SQUARE_ON = "px >= x0 AND px <= x0 + 20 AND py >= y0 AND py <= y0 + 20"
@@ -463,3 +466,65 @@ def layer_audit(spark: SparkSession, d: str) -> DataFrame:
     keys = damaged.select(F.col("l_returnflag").alias("region"), F.col("l_orderkey").alias("key"))
     report = audit.audit_layers({"buildings": found}, {"buildings": keys})
     return report.drop("null_pct_by_column").withColumn("invalid_per_million", F.round("invalid_per_million", 4))
+
+
+def _raw_layers(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Layers as they are stored, with geometry as WKB, some rows against their contract."""
+    point = geo.encode_wkb(shapes.point_geom("x", "y")).alias("geometry")
+    key = F.col("o_orderkey")
+    places = L.places(spark, d, lonlat=True)
+    return {
+        "observed-places": places.select(
+            F.struct(F.col("o_orderpriority").alias("primary")).alias("categories"), (F.col("o_totalprice") / 400000).alias("confidence"), point
+        ),
+        "reference-roads": L.roads(spark, d, lonlat=True).select(
+            F.when(key % 50 != 0, key.cast("string")).alias("LINEARID"), F.col("o_orderstatus").alias("FULLNAME"), F.lit("M").alias("RTTYP"),
+            F.col("o_orderpriority").alias("MTFCC"), geo.encode_wkb("geom").alias("geometry"),
+        ),
+        "reference-establishments": L.table(spark, d, "customer").select(
+            F.col("c_custkey").cast("string").alias("GEOID"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0").alias("STATEFP"), F.lit("013").alias("COUNTYFP"),
+            F.when(F.col("c_mktsegment") != "BUILDING", "000100").alias("TRACTCE"), F.col("c_acctbal").alias("cbp_estab"), F.lit(0).alias("cbp_estab_res"),
+            F.lit(None).cast("int").alias("cbp_estab_bus"), F.lit(None).cast("binary").alias("geometry"),
+        ),
+    }
+
+
+@query(
+    "layer_contracts",
+    """SELECT 'observed-places' AS layer, 'confidence' AS column_name, 'in [0, 1]' AS check_name, count(*) FILTER (NOT o_totalprice / 400000 BETWEEN 0 AND 1)::BIGINT AS violations FROM orders
+    UNION ALL SELECT 'reference-roads', 'LINEARID', 'not null', count(*) FILTER (o_orderkey % 50 = 0)::BIGINT FROM orders
+    UNION ALL SELECT 'reference-roads', 'MTFCC', 'not null', count(*) FILTER (o_orderpriority IS NULL)::BIGINT FROM orders
+    UNION ALL SELECT 'reference-roads', 'MTFCC', 'length 5', count(*) FILTER (length(o_orderpriority) <> 5)::BIGINT FROM orders
+    UNION ALL SELECT 'reference-establishments', 'GEOID', 'not null', 0::BIGINT
+    UNION ALL SELECT 'reference-establishments', 'GEOID', '11 digits', count(*) FILTER (length(c_custkey::VARCHAR) <> 11)::BIGINT FROM customer
+    UNION ALL SELECT 'reference-establishments', 'STATEFP', 'not null', 0::BIGINT
+    UNION ALL SELECT 'reference-establishments', 'STATEFP', '2 digits', count(*) FILTER (c_nationkey > 99)::BIGINT FROM customer
+    UNION ALL SELECT 'reference-establishments', 'COUNTYFP', 'not null', 0::BIGINT
+    UNION ALL SELECT 'reference-establishments', 'COUNTYFP', '3 digits', 0::BIGINT
+    UNION ALL SELECT 'reference-establishments', 'TRACTCE', 'not null', count(*) FILTER (c_mktsegment = 'BUILDING')::BIGINT FROM customer
+    UNION ALL SELECT 'reference-establishments', 'TRACTCE', '6 digits', 0::BIGINT
+    UNION ALL SELECT 'reference-establishments', 'cbp_estab', '>= 0', count(*) FILTER (c_acctbal < 0)::BIGINT FROM customer
+    UNION ALL SELECT 'reference-establishments', 'cbp_estab_res', '>= 0', 0::BIGINT
+    UNION ALL SELECT 'reference-establishments', 'cbp_estab_bus', '>= 0', 0::BIGINT""",
+)
+def layer_contracts(spark: SparkSession, d: str) -> DataFrame:
+    """Every check of three layers' contracts, with its violations."""
+    reports = [
+        contract_report(layer, LAYER_CONTRACTS[name]).withColumn("layer", F.lit(name)) for name, layer in _raw_layers(spark, d).items()
+    ]
+    return union_scopes(reports).select("layer", "column_name", "check_name", "violations")
+
+
+@query(
+    "layer_load",
+    L.layers_sql("p")
+    + """ SELECT o_orderpriority, count(*)::BIGINT AS n, round(min(-120.0::DOUBLE + px / 4), 6) AS west, round(max(30.0::DOUBLE + py / 10), 6) AS north FROM p
+      WHERE o_totalprice BETWEEN 0 AND 400000 GROUP BY ALL""",
+)
+def layer_load(spark: SparkSession, d: str) -> DataFrame:
+    """A stored layer through contract, decoding and coordinate guard."""
+    sound = _raw_layers(spark, d)["observed-places"].filter("confidence BETWEEN 0 AND 1")
+    loaded = geo.checked_layer(sound, "observed-places")
+    return loaded.groupBy(F.col("categories.primary").alias("o_orderpriority")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.min("xmin"), 6).alias("west"), F.round(F.max("ymax"), 6).alias("north")
+    )

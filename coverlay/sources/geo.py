@@ -114,17 +114,33 @@ def require_kind(df: DataFrame, allowed: tuple[str, ...], geom: str = "geom") ->
     return df
 
 
-def load_layer(spark: SparkSession, path: str | list[str], layer: str) -> DataFrame:
-    """Reference or observed layer: contract on the raw table, decode, coordinate guard."""
+def guard_lonlat(df: DataFrame) -> DataFrame:
+    """The rows as they are; one outside the lon/lat range fails the query that reads it.
+
+    Unlike ``require_lonlat`` this reads nothing ahead, so geometry is decoded once, for use.
+    """
+    inside = (F.col("xmin") >= -180) & (F.col("xmax") <= 180) & (F.col("ymin") >= -90) & (F.col("ymax") <= 90)
+    box = F.concat_ws(", ", *[F.col(n).cast("string") for n in ("xmin", "ymin", "xmax", "ymax")])
+    failure = F.raise_error(F.concat(F.lit("layer is not lon/lat: box "), box)).cast("double")
+    return df.withColumn("xmin", F.when(inside | F.col("xmin").isNull(), F.col("xmin")).otherwise(failure))
+
+
+def checked_layer(df: DataFrame, layer: str) -> DataFrame:
+    """A raw layer through its contract (one aggregate), decoded, with the coordinate guard."""
     contract: Contract | None = LAYER_CONTRACTS.get(layer)
     if contract is None:
         raise NotImplementedError(f"no contract for layer {layer!r}; known: {sorted(LAYER_CONTRACTS)}")
-    return require_lonlat(decode_geometry(enforce(read_flat(spark, path), contract)))
+    return guard_lonlat(decode_geometry(enforce(df, contract)))
+
+
+def load_layer(spark: SparkSession, path: str | list[str], layer: str) -> DataFrame:
+    """Reference or observed layer from its files, checked and decoded."""
+    return checked_layer(read_flat(spark, path), layer)
 
 
 def load_strata_geo(spark: SparkSession, path: str | list[str], key: str = KEY) -> DataFrame:
     """Strata table with geometry (regional or national): decode, coordinate and key guards."""
-    return require_text_key(require_lonlat(read_geo(spark, path)), key)
+    return require_text_key(guard_lonlat(read_geo(spark, path)), key)
 
 
 def load_strata_flat(spark: SparkSession, path: str | list[str], key: str = KEY) -> DataFrame:

@@ -1,6 +1,7 @@
 """Loaders and sinks on files written to a temporary folder."""
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from coverlay.operators.contracts import ContractViolation
@@ -41,6 +42,20 @@ def test_projected_coordinates_are_refused(spark):
     assert tuple(swapped) == (1, 1, 1)
 
 
+def test_guard_fails_the_query_that_reads_a_bad_row(spark):
+    frame = shapes_frame(spark, {"m": box(500000, 4000000, 500010, 4000010), "ok": box(1, 1, 2, 2)})
+    raw = frame.select("fid", F.lit("s").alias("subtype"), F.lit("c").alias("class"), geo.encode_wkb("geom").alias("geometry"))
+    assert geo.checked_layer(raw.filter("fid = 'ok'"), "observed-roads").agg(F.max("xmax")).first()[0] == 2.0
+    with pytest.raises(PySparkException, match="lon/lat"):
+        geo.checked_layer(raw, "observed-roads").agg(F.max("xmin")).collect()
+
+
+def test_geographic_strata_keep_their_key(spark, tmp_path):
+    path = str(tmp_path / "strata")
+    shapes_frame(spark, {"04013000100": box(1, 1, 2, 2)}).select(F.col("fid").alias("GEOID"), geo.encode_wkb("geom").alias("geometry")).write.parquet(path)
+    assert geo.load_strata_geo(spark, path).select("GEOID", "xmax").first() == ("04013000100", 2.0)
+
+
 def test_kind_guard(spark):
     frame = shapes_frame(spark, {"a": point(1, 1), "b": line((0, 0), (1, 1)), "c": None})
     with pytest.raises(ContractViolation, match="LINE"):
