@@ -302,7 +302,7 @@ def _clip_on(segments: DataFrame, level: Level, measure: str, whole: bool | None
 
 
 def _merge_spans(spans: Column) -> Column:
-    """Join ranges that meet end to end (a segment cut at a grid line)."""
+    """Join ranges that meet end to end, but for rounding (a segment cut at a grid line)."""
     ordered = F.array_sort(spans)
 
     def step(acc: Column, r: Column) -> Column:
@@ -312,7 +312,7 @@ def _merge_spans(spans: Column) -> Column:
             F.array(F.struct(last["ta"].alias("ta"), F.greatest(last["tb"], r["tb"]).alias("tb"))),
         )
         return (
-            F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["tb"] >= r["ta"]), joined)
+            F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["tb"] >= r["ta"] - kernels.T_NOISE), joined)
             .otherwise(F.concat(acc, F.array(r)))
         )
 

@@ -12,7 +12,7 @@ from coverlay.functions.gaps import capped_ratio_gap
 from coverlay.functions.values import count_where
 from coverlay.operators.features import onto_zones
 from coverlay.operators.lineage import settle
-from coverlay.operators.ordering import average_ranks
+from coverlay.operators.ordering import average_ranks, exact_quantiles
 from coverlay.operators.profile import duplicate_keys
 from coverlay.operators.sets import union_scopes
 from coverlay.operators.spatial_join import (
@@ -140,16 +140,30 @@ def definedness(lines: DataFrame, zones: ZoneIndex, zone_list: DataFrame, fid: S
     )
 
 
-def length_precision(lines: DataFrame, zones: ZoneIndex, fid: Sequence[str], side: str) -> DataFrame:
-    """Gaps from equal-area against ellipsoidal lengths: per zone both gaps and both ranks.
+def clipped_both_ways(lines: DataFrame, zones: ZoneIndex, fid: Sequence[str], side: str) -> DataFrame:
+    """Every clipped sub-segment with its equal-area (``flat``) and ellipsoidal length."""
+    parts = clip_lines(lines, zones, fid, keep=[side]).select(side, "zone_id", F.explode("clipped").alias("s"))
+    return parts.select(
+        side, "zone_id",
+        equal_area_measure(F.col("s")).alias("flat"),
+        shapes.ellipsoid_distance("s.x1", "s.y1", "s.x2", "s.y2").alias("ellipsoid"),
+    )
+
+
+def segment_distortion(measured: DataFrame, shortest: float = 100.0) -> DataFrame:
+    """One row: by how many percent flat lengths of sub-segments differ from ellipsoidal ones.
 
-    The clipped lines are built once; each sub-segment is measured both ways.
+    Sub-segments below ``shortest`` metres are left out: their lengths are mostly rounding.
     """
-    clipped = clip_lines(lines, zones, fid, keep=[side])
-    parts = clipped.select(side, "zone_id", F.explode("clipped").alias("s"))
-    measured = parts.withColumn("ellipsoid", shapes.ellipsoid_distance("s.x1", "s.y1", "s.x2", "s.y2")).withColumn(
-        "flat", equal_area_measure(F.col("s"))
+    pct = measured.filter(F.col("ellipsoid") >= shortest).select(
+        (100.0 * F.abs(F.col("flat") / F.col("ellipsoid") - 1)).alias("pct")
     )
+    median = exact_quantiles(pct, "pct", {"median_pct": 0.5}).select("median_pct").scalar()
+    return pct.agg(F.count("pct").alias("n_segments"), F.avg("pct").alias("mean_pct"), F.max("pct").alias("max_pct")).withColumn("median_pct", median)
+
+
+def length_precision(measured: DataFrame, side: str) -> DataFrame:
+    """Gaps from equal-area against ellipsoidal lengths: per zone both gaps and both ranks."""
     sums = measured.groupBy("zone_id").agg(
         *[
             F.sum(F.when(F.col(side) == which, F.col(m))).alias(f"{m}_{which}")
@@ -173,6 +187,7 @@ def precision_summary(precision: DataFrame, key: str = "zone_id") -> DataFrame:
     return precision.agg(
         F.count(F.lit(1)).alias("n_zones"),
         F.avg(diff).alias("mean_abs_difference"),
+        F.percentile(diff, 0.5).alias("median_abs_difference"),
         F.max(diff).alias("max_abs_difference"),
         F.max_by(key, diff).alias("max_at"),
         count_where(diff > 0.001).alias("n_above_0_001"),

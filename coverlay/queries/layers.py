@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coverlay.functions import geodesy, shapes
+from coverlay.functions import geodesy, kernels, shapes
 from coverlay.operators.spatial_join import ZoneIndex
 from coverlay.operators.spread import spread
 
@@ -200,6 +200,28 @@ def unprojected_sql(inner: str) -> str:
     return f"SELECT *, {g.ORIGIN_LON_DEG!r}::DOUBLE + degrees(th / {g.CONE!r}::DOUBLE) AS lon, degrees(phi4) AS lat FROM ({steps})"
 
 
+def geodesic_sql(inner: str, steps: int = 6) -> str:
+    """Add ``metres`` on the ellipsoid to a query with ``lon1, lat1, lon2, lat2`` (degrees).
+
+    Vincenty's inverse formula with its iteration written out; segments this short settle in
+    three steps.
+    """
+    f, a = f"{kernels.WGS84_F!r}::DOUBLE", f"{kernels.WGS84_A!r}::DOUBLE"
+    sql = f"""SELECT *, l0 AS lam, sin(u1) AS s1, cos(u1) AS c1, sin(u2) AS s2, cos(u2) AS c2 FROM (
+      SELECT *, radians(lon2 - lon1) AS l0, atan((1 - {f}) * tan(radians(lat1))) AS u1, atan((1 - {f}) * tan(radians(lat2))) AS u2 FROM ({inner}))"""
+    for _ in range(steps):
+        sql = f"""SELECT * REPLACE (l0 + (1 - cc) * {f} * sa * (sg + cc * ss * (c2m + cc * cs * (2 * c2m * c2m - 1))) AS lam) FROM (
+        SELECT *, CASE WHEN c2a > 0 THEN cs - 2 * s1 * s2 / c2a ELSE 0 END AS c2m, {f} / 16 * c2a * (4 + {f} * (4 - 3 * c2a)) AS cc FROM (
+        SELECT *, 1 - sa * sa AS c2a FROM (
+        SELECT *, atan2(ss, cs) AS sg, CASE WHEN ss > 0 THEN c1 * c2 * sin(lam) / ss ELSE 0 END AS sa FROM (
+        SELECT *, sqrt(c2 * sin(lam) * c2 * sin(lam) + (c1 * s2 - s1 * c2 * cos(lam)) * (c1 * s2 - s1 * c2 * cos(lam))) AS ss, s1 * s2 + c1 * c2 * cos(lam) AS cs
+        FROM (SELECT lon1, lat1, lon2, lat2, l0, lam, s1, c1, s2, c2, rest FROM ({sql}))))))"""
+    b = f"({a} * (1 - {f}))"
+    return f"""SELECT rest, {b} * ba * (sg - bb * ss * (c2m + bb / 4 * (cs * (2 * c2m * c2m - 1) - bb / 6 * c2m * (4 * ss * ss - 3) * (4 * c2m * c2m - 3)))) AS metres FROM (
+      SELECT *, 1 + q / 16384 * (4096 + q * (-768 + q * (320 - 175 * q))) AS ba, q / 1024 * (256 + q * (-128 + q * (74 - 47 * q))) AS bb FROM (
+      SELECT *, c2a * ({a} * {a} - {b} * {b}) / ({b} * {b}) AS q FROM ({sql})))"""
+
+
 LAYER_SQL = {"z": ZONES_SQL, "p": PLACES_SQL, "b": FOOTPRINTS_SQL, "r": ROADS_SQL, "lb": CLIPPED_SQL}
 
 

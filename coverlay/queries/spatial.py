@@ -403,12 +403,38 @@ def zone_density(spark: SparkSession, d: str) -> DataFrame:
     return bounds.select(n.alias("n"), mean.alias("mean"), *[F.round(c, 6).alias(c) for c in ("p02", "p50", "p98")])
 
 
-@query("length_precision")
+# Both ends of each clipped segment in degrees, and what it belongs to.
+CLIPPED_ENDS = """SELECT -120.0::DOUBLE + (px + t0 * dx) / 4 AS lon1, 30.0::DOUBLE + (py + t0 * dy) / 10 AS lat1,
+    -120.0::DOUBLE + (px + t1 * dx) / 4 AS lon2, 30.0::DOUBLE + (py + t1 * dy) / 10 AS lat2,
+    {'zone': zone_id, 'road': o_orderkey, 'status': o_orderstatus} AS rest
+  FROM lb WHERE t1 - t0 > 1e-12 AND o_orderstatus IN ('F', 'O')"""
+BOTH_LENGTHS = f""", ends AS ({CLIPPED_ENDS}), e AS (SELECT rest, metres AS ellipsoid FROM ({L.geodesic_sql("SELECT * FROM ends")})),
+  w1 AS ({L.projected_sql("SELECT rest, lon1 AS lon, lat1 AS lat FROM ends")}), w2 AS ({L.projected_sql("SELECT rest, lon2 AS lon, lat2 AS lat FROM ends")}),
+  both_ways AS (SELECT rest.zone AS zone_id, rest.status AS status, ellipsoid, sqrt((w1.x - w2.x) * (w1.x - w2.x) + (w1.y - w2.y) * (w1.y - w2.y)) AS flat
+    FROM w1 JOIN w2 USING (rest) JOIN e USING (rest))"""
+
+
+@query(
+    "length_precision",
+    L.layers_sql("z p r lb")
+    + f"""{BOTH_LENGTHS}, g AS (SELECT zone_id, greatest(0, 1 - least(1, sum(flat) FILTER (status = 'F') / sum(flat) FILTER (status = 'O'))) AS a,
+        greatest(0, 1 - least(1, sum(ellipsoid) FILTER (status = 'F') / sum(ellipsoid) FILTER (status = 'O'))) AS b
+      FROM both_ways GROUP BY 1 HAVING count(*) FILTER (status = 'F') > 0 AND count(*) FILTER (status = 'O') > 0),
+      k AS (SELECT *, abs(a - b) AS diff, abs(rank() OVER (ORDER BY a) + count(*) OVER (PARTITION BY a) / 2.0 - rank() OVER (ORDER BY b) - count(*) OVER (PARTITION BY b) / 2.0)::DOUBLE AS shift FROM g),
+      d AS (SELECT 100.0::DOUBLE * abs(flat / ellipsoid - 1) AS pct FROM both_ways WHERE ellipsoid >= 100)
+    SELECT count(*)::BIGINT AS n_zones, round(avg(diff), 9) AS mean_abs_difference, round(median(diff), 9) AS median_abs_difference, round(max(diff), 9) AS max_abs_difference, arg_max(zone_id, diff) AS max_at,
+      count(*) FILTER (diff > 0.001)::BIGINT AS n_above_0_001, count(*) FILTER (diff > 0.01)::BIGINT AS n_above_0_01, round(avg(shift), 6) AS mean_rank_shift, max(shift) AS max_rank_shift,
+      (SELECT count(*)::BIGINT FROM d) AS n_segments, (SELECT round(avg(pct), 6) FROM d) AS mean_pct, (SELECT round(median(pct), 6) FROM d) AS median_pct, (SELECT round(max(pct), 4) FROM d) AS max_pct FROM k""",
+)
 def length_precision(spark: SparkSession, d: str) -> DataFrame:
     side = F.when(F.col("o_orderstatus") == "F", "observed").when(F.col("o_orderstatus") == "O", "reference")
     roads = L.roads(spark, d, lonlat=True).withColumn("side", side).filter("side is not null")
-    precision = audit.length_precision(roads, L.zone_index(spark, d, lonlat=True), L.PLACE_ID, "side")
-    return audit.precision_summary(precision)
+    measured = settle(audit.clipped_both_ways(roads, L.zone_index(spark, d, lonlat=True), L.PLACE_ID, "side"))
+    found = audit.precision_summary(audit.length_precision(measured, "side"))
+    segments = audit.segment_distortion(measured)
+    digits = {"mean_abs_difference": 9, "median_abs_difference": 9, "max_abs_difference": 9, "mean_rank_shift": 6, "mean_pct": 6, "median_pct": 6, "max_pct": 4}
+    row = found.withColumns({c: segments.select(c).scalar() for c in segments.columns})
+    return row.withColumns({c: F.round(c, n) for c, n in digits.items()})
 
 
 @query(
