@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from coverlay.functions import values as v
 from coverlay.operators import catalog, profile, sets
 from coverlay.operators.contracts import Contract, contract_report, digits, non_negative, share, text
-from coverlay.operators.features import first_per_key
+from coverlay.operators.features import attach_region, first_per_key
 from coverlay.operators.lineage import settle
 from coverlay.operators.ordering import exact_quantiles, histogram
 from coverlay.plans import audit
@@ -660,6 +660,16 @@ def row_counts(spark: SparkSession, d: str) -> DataFrame:
     return audit.compare_row_counts({"customers": customers, "suppliers": suppliers}, expected)
 
 
+@query("regions_attached", f"SELECT r_name AS region, count(*)::BIGINT AS n, round(sum(c_acctbal), 2) AS balance FROM {REGION_JOIN} GROUP BY 1")
+def regions_attached(spark: SparkSession, d: str) -> DataFrame:
+    """Tables kept per region, stacked with their region's name."""
+    nations = L.table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
+    customers = L.table(spark, d, "customer").join(nations, "c_nationkey")
+    names = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+    kept = [attach_region(customers.filter(F.col("n_regionkey") == i), name) for i, name in enumerate(names)]
+    return sets.union_scopes(kept).groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+
+
 @query(
     "region_summary",
     f"""WITH c AS (SELECT r_name AS region, c_custkey, c_acctbal FROM {REGION_JOIN}),
