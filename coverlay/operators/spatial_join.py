@@ -165,6 +165,7 @@ def polygon_pairs(
     Every proof (see ``kernels.polygon_hits``) lies in a cell that both sides cover.  With a
     ``centre`` space the same pass also marks, in ``centred``, the zone holding the centroid;
     such a pair is kept, with ``touches`` false, even if the outline misses the zone.
+    ``in_core`` then marks polygons that lie in one cell of the zone's open interior.
     """
     bounded = with_bounds(features, geom)
     return as_index(zones).each(lambda level: _polygon_pairs(bounded, level, geom, centre))
@@ -188,9 +189,8 @@ def _polygon_pairs(features: DataFrame, level: Level, geom: str, centre: str | N
     touches, centred = sure | F.col("_hit.touches"), sure | F.col("_hit.centred")
     if centre is None:
         return judged.filter(touches).drop(*TILE_COLUMNS, "_hit")
-    return judged.withColumns({"touches": touches, "centred": centred}).filter("touches or centred").drop(
-        *TILE_COLUMNS, "_hit"
-    )
+    marks = {"touches": touches, "centred": centred, "in_core": sure}
+    return judged.withColumns(marks).filter("touches or centred").drop(*TILE_COLUMNS, "_hit")
 
 
 def features_of_zone(

@@ -17,11 +17,10 @@ from coverlay.operators.profile import duplicate_keys
 from coverlay.operators.sets import union_scopes
 from coverlay.operators.spatial_join import (
     ZoneIndex,
-    assign_by_centroid,
-    assign_by_intersection,
     clip_lines,
     clipped_length,
     equal_area_measure,
+    polygon_pairs,
     touching_lines,
 )
 
@@ -93,20 +92,35 @@ def compare_row_counts(counts: Mapping[str, DataFrame], expected: DataFrame, by:
     return out
 
 
-def centroid_explain(features: DataFrame, zones: ZoneIndex, fid: Sequence[str], side: str, centroid_space: str = "equal_area") -> DataFrame:
+def centroid_explain(
+    features: DataFrame, zones: ZoneIndex, fid: Sequence[str], side: str, centroid_space: str = "equal_area", disjoint: bool = True
+) -> DataFrame:
     """Per (zone, side): footprints touching the zone, and where their centroids lie.
 
-    A centroid lies in this zone, in another zone, or in none (water, gaps).
+    A centroid lies in this zone, in another zone, or in none (water, gaps).  One spatial
+    pass marks both.  If zones are ``disjoint``, a footprint in a core cell concerns no other
+    zone: it is counted map-side, and only the others are brought together by id.
     """
     kept = features.select(*fid, side, "geom", *[c for c in shapes.BOUNDS if c in features.columns])
-    touching = assign_by_intersection(kept, zones, fid).select(*fid, side, "zone_id")
-    home = assign_by_centroid(kept, zones, centroid_space=centroid_space).select(*fid, F.col("zone_id").alias("home"))
-    joined = touching.join(home, list(fid), "left")
-    return joined.groupBy("zone_id", side).agg(
+    pairs = polygon_pairs(kept, zones, fid, centre=centroid_space)
+    alone = F.col("in_core") if disjoint else F.lit(False)
+    merged = pairs.groupBy("zone_id", side, F.when(~alone, F.struct(*fid)).alias("border_id")).agg(
+        F.count(F.lit(1)).alias("n"), F.max("touches").alias("touches"), F.max("centred").alias("centred")
+    )
+    whole = merged.filter("border_id IS NULL").select("zone_id", side, F.col("n").alias("intersecting"), F.col("n").alias("within"), F.lit(0).alias("elsewhere"))
+    border = merged.filter("border_id IS NOT NULL")
+    home = border.filter("centred").groupBy("border_id").agg(F.min("zone_id").alias("home"))
+    placed = border.filter("touches").join(home, "border_id", "left").groupBy("zone_id", side).agg(
         F.count(F.lit(1)).alias("intersecting"),
-        count_where(F.col("home") == F.col("zone_id")).alias("centroid_within"),
-        count_where(F.col("home") != F.col("zone_id")).alias("centroid_elsewhere"),
-        count_where(F.col("home").isNull()).alias("centroid_nowhere"),
+        count_where(F.col("centred")).alias("within"),
+        count_where(~F.col("centred") & F.col("home").isNotNull()).alias("elsewhere"),
+    )
+    total = whole.unionByName(placed).groupBy("zone_id", side).agg(*[F.sum(c).alias(c) for c in ("intersecting", "within", "elsewhere")])
+    return total.select(
+        "zone_id", side, "intersecting",
+        F.col("within").alias("centroid_within"),
+        F.col("elsewhere").alias("centroid_elsewhere"),
+        (F.col("intersecting") - F.col("within") - F.col("elsewhere")).alias("centroid_nowhere"),
     )
 
 
