@@ -11,9 +11,9 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 
 #: Characters handled at once: what bounds the arrays of a batch (a longer text is one batch).
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_500_000
 #: Words and characters remembered; beyond them the memory starts anew, results don't change.
-MEMORY_WORDS, MEMORY_CHARS = 300_000, 6_000_000
+MEMORY_WORDS, MEMORY_CHARS = 150_000, 3_000_000
 
 
 class WordTable:
