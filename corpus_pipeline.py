@@ -29,8 +29,6 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified with enough certainty."""
-    if docs.isEmpty():
-        return docs.select(*COLUMNS)
     return docs.withColumn("_judged", identifier(docs).judge()).filter(~F.col("_judged.rejected")).select(*COLUMNS)
 
 

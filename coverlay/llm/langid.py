@@ -38,9 +38,10 @@ def calibrate(model: Model, texts: Sequence[str], labels: Sequence[str], lost: f
 
 @dataclass(frozen=True)
 class Identifier:
-    """A model, its temperature, and the probability below which it rejects."""
+    """A model, its temperature, and the probability below which it rejects.  Without a
+    model, as nothing was labelled, every text is ``und`` with score 0 and rejected."""
 
-    model: Model
+    model: Model | None
     temperature: float
     least: float
 
@@ -48,6 +49,8 @@ class Identifier:
         """``struct<lang, score, rejected>``.  Texts that are null, empty or without letters
         are ``und`` with score 0 and rejected; texts whose best probability is below the
         calibrated one are rejected.  Equal texts are judged alike; long ones are read whole."""
+        if self.model is None:
+            return F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
 
         def judge(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             scorer, names = self.model.scorer(), np.array(self.model.classes, dtype=object)
@@ -65,9 +68,10 @@ class Identifier:
 
 def identifier(docs: DataFrame, label: str = "lang", per_class: int = 200, folds: int = 4, held_out: int = 2, lost: float = 0.002, key: str = "doc_id", text: str = "text") -> Identifier:
     """Learns from at most ``per_class`` texts of each language outside the held-out fold and
-    calibrates on a quarter of them that the model doesn't see.  No labelled text at all is
-    an error."""
+    calibrates on a quarter of them that the model doesn't see."""
     sample = labelled_texts(docs.select(key, text), docs.select(key, label), label, per_class, folds, held_out, key, text)
+    if not sample:
+        return Identifier(None, 1.0, 0.0)
     learned = [row for i, row in enumerate(sample) if i % 4] or sample
     model = fit([t for t, _ in learned], [y for _, y in learned], epochs=passes(len(learned)), batch=STEP_TEXTS)
     return Identifier(model, *calibrate(model, [t for t, _ in sample[::4]], [y for _, y in sample[::4]], lost))
@@ -77,7 +81,5 @@ def predict_language(docs: DataFrame, folds: int = 4, held_out: int = 2, key: st
     """``key, held_out, lang_pred, score, rejected`` for every row of ``docs``.  An empty
     table gives no rows.  Other columns are read for learning only."""
     flag = held_out_flag(F.col(key), folds, held_out).alias("held_out")
-    if docs.isEmpty():
-        return docs.select(key, flag, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
     judged = docs.select(key, flag, identifier(docs, folds=folds, held_out=held_out, key=key, text=text, **learning).judge(text).alias("judged"))
     return judged.select(key, "held_out", F.col("judged.lang").alias("lang_pred"), "judged.score", "judged.rejected")

@@ -22,8 +22,10 @@ def passes(texts: int) -> int:
 
 def quality_model(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 400, folds: int = 5, held_out: int = 0, key: str = "doc_id", text: str = "text") -> Model:
     """Learns from at most ``per_class`` labelled texts of each class outside the held-out
-    fold.  Labels without any value to learn from are an error."""
+    fold.  Nothing to learn from, as with an empty table, gives every text one half."""
     sample = labelled_texts(docs, labels, label, per_class, folds, held_out, key, text)
+    if not sample:
+        return Model((0, 1), np.zeros((1, 2)), np.zeros(2))
     return fit([t for t, _ in sample], [int(y) for _, y in sample], epochs=passes(len(sample)), batch=STEP_TEXTS)
 
 
