@@ -77,7 +77,7 @@ class Mix:
     def taken(self) -> DataFrame:
         """``source_no, start, taken``: words of each row that has words, repeats counted."""
         times = self.slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
-        parts = self.pieces.join(times, ["source_no", "block"], "left")
+        parts = self.pieces.join(times.hint("merge"), ["source_no", "block"], "left")
         return parts.groupBy("source_no", "start").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).cast("long").alias("taken"))
 
 
@@ -98,7 +98,7 @@ def _permuted(index: Column, size: Column, *seed: Column | int) -> Column:
     return F.aggregate(F.array(*[F.lit(i) for i in range(ROUNDS)]), index.cast("long"), swap)
 
 
-def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block_words: int = 32, shard_slots: int = 16_384, seed: int = 0) -> Mix:
+def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block_words: int = 64, shard_slots: int = 16_384, seed: int = 0) -> Mix:
     """Plan a mix of all rows; see the module's text for the method.
 
     Words are runs of anything but space and ``\\x09-\\x0D``; null and empty texts have none,
@@ -163,7 +163,7 @@ def mixed_texts(docs: DataFrame, planned: Mix, key: str = "doc_id", source: str
     A document taken whole is one row as it was.  Documents without words are in no block.
     The list that is put together per row is that of one document's blocks.
     """
-    held = planned.pieces.join(planned.slots.select("source_no", "block", "epoch", "shard", "place"), ["source_no", "block"])
+    held = planned.pieces.join(planned.slots.select("source_no", "block", "epoch").hint("merge"), ["source_no", "block"])
     ordered = F.array_sort(F.collect_list(F.struct("begin", "words")))
     per_pass = held.groupBy("source_no", "start", "epoch").agg(F.first("text_hash").alias("_hash"), F.first("key").alias("_key"), ordered.alias("parts"))
 
@@ -176,7 +176,7 @@ def mixed_texts(docs: DataFrame, planned: Mix, key: str = "doc_id", source: str
     none = F.array().cast("array<struct<begin:bigint,words:bigint>>")
     runs = per_pass.select("_hash", "_key", F.explode(F.aggregate("parts", none, extend)).alias("run"))
     texts = docs.withColumn("_hash", _row_hash(key, source, text)).dropDuplicates(["_hash", key])
-    found = texts.join(runs, "_hash").filter(F.col(key).eqNullSafe(F.col("_key")))
+    found = texts.join(runs.hint("merge"), "_hash").filter(F.col(key).eqNullSafe(F.col("_key")))
     words = F.regexp_extract_all(F.col(text), F.lit(r"^[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*|[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
     cut = F.array_join(F.slice(words, (F.col("run.begin") + 1).cast("int"), F.col("run.words").cast("int")), "")
     out = found.withColumn(text, cut)
@@ -194,31 +194,20 @@ def _slots(sources: DataFrame, shard_slots: int, seed: int) -> DataFrame:
     # The catalogue's cumulative shares, one array; a draw is the first edge above a random number.
     shares = edges.agg(F.sort_array(F.collect_list(F.struct("source_no", "edge"))).alias("edges")).scalar()
     width = F.least(F.lit(shard_slots), F.lit(total) - F.col("shard") * shard_slots)
-    places = F.transform(
+    owners = F.transform(
         F.sequence(F.lit(0).cast("long"), width - 1),
-        lambda i: F.struct(
-            i.alias("place"),
-            F.coalesce(
-                F.filter(F.col("edges"), lambda e: e["edge"] > uniform(seed + 1, F.col("shard"), i))[0]["source_no"],
-                F.element_at("edges", -1)["source_no"],
-            ).alias("source_no"),
+        lambda i: F.coalesce(
+            F.filter(F.col("edges"), lambda e: e["edge"] > uniform(seed + 1, F.col("shard"), i))[0]["source_no"],
+            F.element_at("edges", -1)["source_no"],
         ),
     )
     cuts = spark.range(0, shards, 1, max(1, min(shards, 4096))).withColumnRenamed("id", "shard")
-    draws = cuts.withColumn("edges", shares).select("shard", F.explode(places).alias("draw")).select("shard", "draw.*")
-
-    # The ordinal of each draw within its source.
-    counts = settle(draws.groupBy("shard", "source_no").agg(F.count("*").alias("n")))
-    before = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "source_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
-    inside = F.row_number().over(Window.partitionBy("shard", "source_no").orderBy("place")) - 1
-    numbered = (
-        draws.withColumn("inside", inside)
-        .join(starts, ["shard", "source_no"])
-        .select("shard", "place", "source_no", (F.col("ahead") + F.col("inside")).alias("nth"))
-    )
+    # A shard's draws are one array: small to keep, and drawn once.
+    drawn_shards = settle(cuts.withColumn("edges", shares).select("shard", owners.alias("owners")))
+    draws = drawn_shards.select("shard", F.posexplode("owners").alias("place", "source_no"))
 
     # Draws beyond a source's quota go to the sources that lack some, matched by number.
+    counts = settle(draws.groupBy("shard", "source_no").agg(F.count("*").alias("n")))
     drawn = counts.groupBy("source_no").agg(F.sum("n").alias("drawn"))
     upto = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)
     balance = settle(
@@ -232,14 +221,22 @@ def _slots(sources: DataFrame, shard_slots: int, seed: int) -> DataFrame:
             F.coalesce(F.sum("lack").over(upto), F.lit(0)).alias("lack_from"),
         )
     )
-    known = balance.select("source_no", "blocks", "quota", "over_from")
-    placed = numbered.join(known, "source_no")
+    # The ordinal of each draw within its source.  Spark takes exploded ranges for small, so
+    # joins of slots name their strategy: none of their sides is to be broadcast unmeasured.
+    before = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        counts.withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        .join(balance.select("source_no", "blocks", "quota", "over_from").hint("merge"), "source_no")
+        .drop("n")
+    )
+    inside = F.row_number().over(Window.partitionBy("shard", "source_no").orderBy("place")) - 1
+    placed = draws.withColumn("inside", inside).join(starts.hint("merge"), ["shard", "source_no"]).withColumn("nth", F.col("ahead") + F.col("inside"))
     kept = placed.filter(F.col("nth") < F.col("quota")).select("shard", "place", "source_no", "nth", "blocks")
     gaps = balance.filter(F.col("lack") > 0).select(
         "source_no", "blocks", "drawn", "lack_from", F.explode(F.sequence(F.col("lack_from"), F.col("lack_from") + F.col("lack") - 1)).alias("match")
     )
     spare = placed.filter(F.col("nth") >= F.col("quota")).select("shard", "place", (F.col("over_from") + F.col("nth") - F.col("quota")).alias("match"))
-    moved = spare.join(gaps, "match").select("shard", "place", "source_no", (F.col("drawn") + F.col("match") - F.col("lack_from")).alias("nth"), "blocks")
+    moved = spare.join(gaps.hint("merge"), "match").select("shard", "place", "source_no", (F.col("drawn") + F.col("match") - F.col("lack_from")).alias("nth"), "blocks")
     epoch = F.floor(F.col("nth") / F.col("blocks"))
     return kept.unionByName(moved).select(
         "shard", "place", "source_no", epoch.alias("epoch"),

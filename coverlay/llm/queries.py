@@ -36,7 +36,7 @@ def mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Words that a mix of 150 % of all takes from each document."""
     mixed = mix(_table(spark, folder, "documents"))
     taken = mixed.taken().withColumnRenamed("start", "at").withColumnRenamed("source_no", "no")
-    rows = mixed.rows.join(taken, (F.col("size") > 0) & (F.col("source_no") == F.col("no")) & (F.col("start") == F.col("at")), "left")
+    rows = mixed.rows.join(taken.hint("merge"), (F.col("size") > 0) & (F.col("source_no") == F.col("no")) & (F.col("start") == F.col("at")), "left")
     sources = mixed.sources.select("source_no", F.col("words").alias("source_size"), "target")
     return rows.join(sources, "source_no").select(
         F.col("key").alias("doc_id"), "size", F.col("source_size").cast("long").alias("source_size"), "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source"
