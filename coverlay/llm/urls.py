@@ -50,7 +50,9 @@ def judge(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     program, a chain of conditions in the plan; no rules judge nothing.
     """
     chosen = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for rule in sorted(set(rules), key=lambda r: (len(r.name), r.verdict != "allow", r.name), reverse=False):
+    # The last rule is the outermost condition and wins.
+    by_name = sorted(set(rules), key=lambda r: r.name, reverse=True)
+    for rule in sorted(by_name, key=lambda r: (len(r.name), r.verdict == "allow")):
         fits = ((host == rule.host) | F.endswith(host, F.lit("." + rule.host))) & F.startswith(path, F.lit(rule.path))
         chosen = F.when(fits, F.struct(F.lit(rule.name).alias("rule"), F.lit(rule.verdict).alias("verdict"))).otherwise(chosen)
     return chosen

@@ -217,3 +217,15 @@ def test_crc_of_the_key(spark):
     df = spark.createDataFrame([(i,) for i in range(50)] + [(None,)], "id long")
     got = {r["id"]: r["f"] for r in df.select("id", fold_of(F.col("id"), 5).alias("f")).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 5 for i in range(50)} | {None: 0}
+
+
+def test_rules_of_one_length_allow_first_then_by_name(spark):
+    page = spark.createDataFrame([("a.com", "/abc")], "host string, path string")
+    judged = lambda *rules: page.select(urls.judge(F.col("host"), F.col("path"), rules).alias("j")).first()["j"]
+    allow, block = urls.Rule("allow", "a.com", "/"), urls.Rule("block", "com", "/ab")
+    assert len(allow.name) == len(block.name)
+    for rules in ((allow, block), (block, allow)):
+        assert judged(*rules) == (allow.name, "allow")
+    other = urls.Rule("allow", "com", "/ab")
+    assert judged(other, allow) == judged(allow, other) == ("a.com/", "allow")
+    assert judged(allow, urls.Rule("block", "com", "/abc")) == ("com/abc", "block")
