@@ -244,3 +244,25 @@ def test_encoding_round_trip(spark, vocabulary):
     assert pieces.encode_texts(df.limit(0), vocabulary).count() == 0
     with pytest.raises(ValueError):
         pieces.encode_texts(out, vocabulary)
+
+
+@needs_vocabulary
+@pytest.mark.parametrize("text", ["a" * 2_000, "a" * 3_001, "a" * 9_999, "ab" * 3_500, "=" * 12_001])
+def test_agenda_of_long_runs_is_bounded(vocabulary, monkeypatch, text):
+    into = pieces.Lattice(vocabulary).edges(" " + text)
+    edges, pushed = sum(map(len, into)), 0
+
+    def push(agenda, entry, push=pieces.heapq.heappush):
+        nonlocal pushed
+        pushed += 1
+        assert pushed <= 3 * edges
+        push(agenda, entry)
+
+    monkeypatch.setattr(pieces.heapq, "heappush", push)
+    found = pieces.n_best(into, 3)
+    # The three best scores of each place's beginnings, place after place.
+    best = [[0.0]]
+    for ends in into[1:]:
+        best.append(sorted((x + s for i, s, _ in ends for x in best[i]), reverse=True)[:3])
+    assert [s for s, _ in found] == pytest.approx(best[-1])
+    assert len({p for _, p in found}) == 3
