@@ -31,6 +31,8 @@ SHARD_ROWS, BLOCK_ROWS = 8_192, 8_192
 DEGREE, BUILD_BEAM = 12, 48
 #: Queries audited per block, and the share of true links that the beam must find.
 AUDITED, RECALL = 256, 0.999
+#: What single precision may take from a cosine.
+SLACK = 1e-5
 
 
 class Graph:
@@ -188,54 +190,80 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def find_links(graph: Graph, rows: np.ndarray, queries: np.ndarray, own: np.ndarray, threshold: float, beam: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
     """``query row, shard row, recall`` in portions: the pairs found with ``cosine >=
-    threshold``, and the share of true links that the last audit found.
+    threshold``, and the share of true links that the last audit found, over all its queries.
 
     Rows are double vectors; ``own`` is each query's own row in the shard or -1, no pair.
+    An audited query with more true links than half a beam has to show more hits than that,
+    or all of them; else the beam is widened for all.
     A beam of all rows is exact, which ends both kinds of widening.
     """
-    n, slack = len(rows), 1e-5
+    n = len(rows)
     unit = (queries / np.linalg.norm(queries, axis=1, keepdims=True)).astype(np.float32)
     audited = np.unique(np.linspace(0, len(queries) - 1, min(AUDITED, len(queries))).astype(int))
-    truth = unit[audited] @ graph.unit.T >= threshold - slack
+    truth = unit[audited] @ graph.unit.T >= threshold - SLACK
     inside = own[audited] >= 0
     truth[np.flatnonzero(inside), own[audited][inside]] = False
     beam = min(beam, n)
     while True:
-        hit = np.zeros_like(truth)
-        if beam < n:
-            found = graph.search(unit[audited], beam)
-            at, where = np.nonzero(found >= 0)
-            hit[at, found[at, where]] = True
-        else:
-            hit[:] = True
-        # Queries with more links than half a beam are left to the widening per query.
-        narrow = truth.sum(1) <= beam // 2
-        want = truth[narrow].sum()
-        recall = float((truth & hit)[narrow].sum() / want) if want else 1.0
-        if recall >= RECALL or beam >= n:
+        hit, blind = _audit(graph, unit[audited], own[audited], truth, threshold, beam)
+        want = truth.sum()
+        recall = float(hit.sum() / want) if want else 1.0
+        if (recall >= RECALL and not blind) or beam >= n:
             break
-        beam = min(2 * beam, n)
+        beam = 2 * beam if 16 * beam < n else n
     pending = np.arange(len(queries))
     while len(pending):
         again = []
         for begin in range(0, len(pending), 512):
             part = pending[begin : begin + 512]
             if beam < n:
-                found = graph.search(unit[part], beam)
-                near = np.where(found >= 0, np.einsum("id,ijd->ij", unit[part], graph.unit[found]), -2)
-                # Hits in more than half of the beam: what lies past the threshold is not seen.
-                full = (near >= threshold - slack).sum(1) > beam // 2
-                again.append(part[full])
-                at, where = np.nonzero((near >= threshold - slack) & ~full[:, None])
+                found, near, wider = _look(graph, unit[part], own[part], threshold, beam)
+                again.append(part[wider])
+                at, where = np.nonzero(near & ~wider[:, None])
                 where = found[at, where]
             else:
-                at, where = np.nonzero(unit[part] @ graph.unit.T >= threshold - slack)
+                at, where = np.nonzero(unit[part] @ graph.unit.T >= threshold - SLACK)
             for cut in range(0, len(at), 65_536):
                 a, b = part[at[cut : cut + 65_536]], where[cut : cut + 65_536]
                 real = (own[a] != b) & (cosine(queries[a], rows[b]) >= threshold)
                 yield a[real], b[real], recall
         pending = np.concatenate(again) if again else pending[:0]
-        beam = 4 * beam if 16 * beam < n else n
+        beam = _wider(beam, n)
+
+
+def _wider(beam: int, n: int) -> int:
+    return 4 * beam if 16 * beam < n else n
+
+
+def _look(graph: Graph, unit: np.ndarray, own: np.ndarray, threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows found, which of them reach the threshold, and the queries that need a wider beam:
+    those with hits in more than half of it, as what lies past the threshold is not seen, and
+    those that did not come upon their own row."""
+    found = graph.search(unit, beam)
+    near = np.where(found >= 0, np.einsum("id,ijd->ij", unit, graph.unit[found]), -2) >= threshold - SLACK
+    lost = (own >= 0) & ~(found == own[:, None]).any(1)
+    return found, near, (near.sum(1) > beam // 2) | lost
+
+
+def _audit(graph: Graph, unit: np.ndarray, own: np.ndarray, truth: np.ndarray, threshold: float, beam: int) -> tuple[np.ndarray, bool]:
+    """The true links that queries find in the end, widened as they will be, and whether one
+    with more of them than half a beam went unnoticed and was not widened."""
+    n, hit, blind = len(graph.unit), np.zeros_like(truth), False
+    pending = np.arange(len(unit))
+    while len(pending):
+        if beam >= n:
+            hit[pending] = truth[pending]
+            break
+        found, near, wider = _look(graph, unit[pending], own[pending], threshold, beam)
+        at, where = np.nonzero(near & ~wider[:, None])
+        hit[pending[at], found[at, where]] = True
+        done = pending[~wider]
+        hit[done] &= truth[done]
+        many = truth[done].sum(1)
+        blind |= bool(((many > beam // 2) & (hit[done].sum(1) < many)).any())
+        pending = pending[wider]
+        beam = _wider(beam, n)
+    return hit, blind
 
 
 def _scaled(vectors: pd.Series) -> np.ndarray:

@@ -79,6 +79,48 @@ def test_graph_search_recall():
     assert np.array_equal(again.search(unit[:50], 16), graph.search(unit[:50], 16))
 
 
+@pytest.mark.parametrize("foreign", [False, True])
+def test_clusters_that_the_search_misses_are_audited(foreign):
+    """More true links than half a beam, none of them reachable from the rest of the graph."""
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=(2000, 16)), rng.normal(size=16) + rng.normal(size=(100, 16)) * 0.01])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    graph = hnsw.Graph(unit)
+    entry = {int(graph.order[0])}
+    inside = np.arange(2000, 2100)
+    for table in graph.layers:
+        table[:2000][table[:2000] >= 2000] = -1
+    assert not entry & set(inside.tolist())
+    queries, own = (x[inside] * 2 + 1e-4, np.full(100, -1)) if foreign else (x[inside], inside)
+    q = queries / np.linalg.norm(queries, axis=1, keepdims=True)
+    want = q @ unit.T >= 0.98
+    if not foreign:
+        want[np.arange(100), own] = False
+    assert want.sum(1).min() > 32
+    got, recalls = np.zeros_like(want), set()
+    for a, b, recall in hnsw.find_links(graph, x, queries, own, 0.98):
+        got[a, b] = True
+        recalls.add(recall)
+    assert np.array_equal(got, want) and recalls == {1.0}
+
+
+def test_misses_of_hard_queries_count_in_the_recall(monkeypatch):
+    """33 true links, of which the search finds 32: neither left out of the audit nor taken as whole."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(1500, 16)), rng.normal(size=16) + rng.normal(size=(33, 16)) * 1e-3])
+    graph = hnsw.Graph(x / np.linalg.norm(x, axis=1, keepdims=True))
+    near, beams = np.arange(1500, 1532, dtype=np.int32), []
+
+    def search(self, queries, beam, stop=0):
+        beams.append(beam)
+        return np.tile(np.concatenate([near, np.arange(beam - 32, dtype=np.int32)]), (len(queries), 1))
+
+    monkeypatch.setattr(hnsw.Graph, "search", search)
+    query = x[1500:1501] * 3
+    found = {int(j) for _, b, _ in hnsw.find_links(graph, x, query, np.array([-1]), 0.98) for j in b}
+    assert found == set(range(1500, 1533)) and beams[0] == 64
+
+
 def test_several_shards_and_blocks(spark, monkeypatch):
     x = np.repeat(np.random.default_rng(1).normal(size=(40, 8)), 5, axis=0) + np.random.default_rng(2).normal(size=(200, 8)) * 1e-3
     df = spark.createDataFrame([(i, [float(v) for v in x[i]], 0) for i in range(200)], "vec_id long, embedding array<double>, label int")
