@@ -276,9 +276,10 @@ def _build(shard: pd.DataFrame) -> pd.DataFrame:
     shard = shard.sort_values("id", ignore_index=True)
     rows = _scaled(shard["v"])
     first = shard.iloc[0]
+    ids, copies = (shard[c].to_numpy(np.int64) for c in ("id", "copies"))
     graph = Graph(rows / np.linalg.norm(rows, axis=1, keepdims=True), seed=int(first["shard"]))
     head = {"g": first["g"], "dims": first["dims"], "shard": first["shard"], "blocks": first["blocks"]}
-    body = {"ids": shard["id"].to_numpy().tobytes(), "copies": shard["copies"].to_numpy().tobytes(), "rows": rows.tobytes()}
+    body = {"ids": ids.tobytes(), "copies": copies.tobytes(), "rows": rows.tobytes()}
     return pd.DataFrame([head | body | {"links": np.concatenate(graph.layers, axis=1).tobytes()}])
 
 
@@ -291,7 +292,7 @@ def _visit(threshold: float):
         s_ids, copies = (np.frombuffer(built[c], np.int64) for c in ("ids", "copies"))
         rows = np.frombuffer(built["rows"], np.float64).reshape(len(s_ids), -1)
         graph = Graph(rows / np.linalg.norm(rows, axis=1, keepdims=True), seed=int(built["shard"]), links=np.frombuffer(built["links"], np.int32))
-        q_ids = queries["id"].to_numpy()
+        q_ids = queries["id"].to_numpy(np.int64)
         place = np.minimum(np.searchsorted(s_ids, q_ids), len(s_ids) - 1)
         own = np.where(s_ids[place] == q_ids, place, -1)
         forest, links, recall = Forest(np.concatenate([q_ids, s_ids])), np.zeros(len(q_ids), np.int64), 1.0
@@ -314,40 +315,53 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, key: str = "vec
 
     Rows of equal, non-null label (all rows, if ``label`` is None) and equal length are
     compared.  ``n_links`` counts the other rows linked directly, ``component_id`` is the
-    smallest key reachable by links, ``kept`` marks it, ``recall`` is the smallest share of
-    links that audits of the row's blocks found.  Vectors that are null, empty, zero or hold
-    a null, NaN or infinite component link with nothing (``recall`` null).  Equal vectors
-    always link if their cosine with themselves reaches the threshold, as it does up to 1.
-    Keys must be unique and not null; an empty table gives no rows; other columns are not read.
+    smallest key reachable by links, ``kept`` marks one row that has it, ``recall`` is the
+    smallest share of links that audits of the row's blocks found.  Vectors that are null,
+    empty, zero or hold a null, NaN or infinite component link with nothing (``recall`` null).
+    Equal vectors always link if their cosine with themselves reaches the threshold, as it
+    does up to 1.  Rows are told apart by themselves, not by key: rows of one key link as
+    others do, and rows with a null key too, whose ``component_id`` is null if no row that
+    they reach has a key.  Keys are integers; an empty table gives no rows; other columns are
+    not read.
     """
     x = F.col(vector)
     sound = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < float("inf"))) & F.exists(x, lambda v: v != 0)
     group = F.lit(0) if label is None else F.col(label)
     named = vectors.select(F.col(key).alias("id"), group.alias("g"), F.transform(x, lambda v: v.cast("double") + 0.0).alias("v"), F.coalesce(sound, F.lit(False)).alias("sound"))
-    usable = named.filter(F.col("sound") & F.col("g").isNotNull())
-    member = usable.select("id", "g", "v")
-    distinct = settle(member.groupBy("g", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
+    usable = F.col("sound") & F.col("g").isNotNull()
+    member = named.filter(usable).select("id", "g", "v")
+    # Nodes are numbers of their own, as keys may be null or repeated.
+    equal = member.groupBy("g", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    distinct = settle(equal.sortWithinPartitions("rep", "v").withColumn("node", F.monotonically_increasing_id()))
     sized = distinct.withColumn("dims", F.size("v"))
     counts = sized.groupBy("g", "dims").agg(F.count("*").alias("n"))
     cut = counts.select("g", "dims", F.ceil(F.col("n") / SHARD_ROWS).cast("int").alias("shards"), F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
-    dealt = sized.join(cut, ["g", "dims"]).select("g", "dims", "shards", "blocks", F.col("rep").alias("id"), "copies", "v")
+    dealt = sized.join(cut, ["g", "dims"]).select("g", "dims", "shards", "blocks", F.col("node").alias("id"), "copies", "v")
     g_type = distinct.schema["g"].dataType.simpleString()
     graphs = settle(
-        dealt.withColumn("shard", F.pmod(F.xxhash64(F.lit(1), "id"), "shards").cast("int"))
+        dealt.withColumn("shard", F.pmod(F.xxhash64(F.lit(1), "v"), "shards").cast("int"))
         .groupBy("g", "dims", "shard")
         .applyInPandas(_build, f"g {g_type}, dims int, shard int, blocks int, ids binary, copies binary, rows binary, links binary")
     )
     shard = graphs.select("g", "dims", "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "ids", "copies", "rows", "links")
-    asked = dealt.select("g", "dims", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.pmod(F.xxhash64(F.lit(2), "id"), "blocks").cast("int").alias("block"), "id", "v")
+    asked = dealt.select("g", "dims", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.pmod(F.xxhash64(F.lit(2), "v"), "blocks").cast("int").alias("block"), "id", "v")
     place = ["g", "dims", "shard", "block"]
     found = settle(asked.groupBy(*place).cogroup(shard.groupBy(*place)).applyInPandas(_visit(threshold), "id long, links long, other long, recall double"))
     linked = components(found.filter(F.col("other").isNotNull()).select(F.col("id").alias("a"), F.col("other").alias("b")))
-    per_rep = found.groupBy("id").agg(F.sum("links").alias("links"), F.min("recall").alias("recall"))
-    reps = distinct.join(per_rep, distinct["rep"] == per_rep["id"], "left").drop("id").join(linked, F.col("rep") == linked["node"], "left")
-    by_vector = reps.select("g", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component"), "recall")
-    own = member.join(by_vector, ["g", "v"])
-    component = F.coalesce("component", "id")
-    return (
-        named.select("id").join(own.select("id", "links", "component", "recall"), "id", "left")
-        .select(F.col("id").alias(key), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"), "recall")
+    per_node = found.groupBy("id").agg(F.sum("links").alias("links"), F.min("recall").alias("recall"))
+    # The head of a component is its node with the smallest key, nulls last.
+    reps = distinct.select("node", F.struct(F.col("rep").isNull().alias("none"), F.col("rep").alias("key"), F.col("node").alias("node")).alias("rep"))
+    heads = linked.join(reps, "node").groupBy("component").agg(F.min("rep").alias("head"))
+    headed = linked.join(heads, "component").select("node", "head")
+    judged = (
+        distinct.join(per_node.withColumnRenamed("id", "node"), "node", "left").join(headed, "node", "left")
+        .select("g", "v", "node", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce(F.col("head.node"), "node").alias("head"), F.when(F.col("head").isNull(), F.col("rep")).otherwise(F.col("head.key")).alias("component"), "recall")
     )
+    first = (F.col("node") == F.col("head")) & F.col("id").eqNullSafe(F.col("rep"))
+    own = member.join(judged, ["g", "v"]).select("id", "node", "links", "component", "recall", first.alias("first"))
+    # Rows of one node and key can't be told apart: one of the head's is kept.
+    counted = own.groupBy(*own.columns).agg(F.count("*").alias("times"))
+    placed = counted.select("*", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("place"))
+    alone = named.filter(~F.coalesce(usable, F.lit(False))).select("id", F.lit(0).alias("links"), F.col("id").alias("component"), F.lit(True).alias("kept"), F.lit(None).cast("double").alias("recall"))
+    rows = placed.select("id", "links", "component", (F.col("first") & (F.col("place") == 1)).alias("kept"), "recall").unionByName(alone)
+    return rows.select(F.col("id").alias(key), F.col("links").cast("long").alias("n_links"), F.col("component").alias("component_id"), "kept", "recall")

@@ -68,6 +68,19 @@ def test_embedding_links_equal_brute_force(spark):
     assert hnsw.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_with_null_and_repeated_keys(spark):
+    x, y, z, u = ([float(v) for v in row] for row in np.random.default_rng(9).normal(size=(4, 16)))
+    near = [v + 1e-3 for v in x]
+    rows = [(None, x, 0), (5, near, 0), (5, near, 0), (5, near, 0), (7, x, 0), (8, u, 0)]
+    rows += [(None, y, 0), (None, y, 0), (None, z, 0), (None, None, 0), (None, z, None), (8, y, 1), (8, y, 1), (3, z, 1), (3, u, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in hnsw.near_duplicates(df).collect())
+    want = [(None, 4, 5, False), (5, 4, 5, True), (5, 4, 5, False), (5, 4, 5, False), (7, 4, 5, False), (8, 0, 8, True)]
+    want += [(None, 1, None, True), (None, 1, None, False), (None, 0, None, True), (None, 0, None, True), (None, 0, None, True)]
+    want += [(8, 1, 8, True), (8, 1, 8, False), (3, 0, 3, True), (3, 0, 3, True)]
+    assert got == Counter(want)
+
+
 def test_graph_search_recall():
     x = np.random.default_rng(5).normal(size=(1500, 16))
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
