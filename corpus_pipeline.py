@@ -13,7 +13,7 @@ from coverlay.llm.mixing import mix, mixed_texts
 from coverlay.llm.pieces import encode_texts, load_vocabulary
 from coverlay.llm.quality import quality_model, quality_score
 from coverlay.llm.queries import VOCABULARY
-from coverlay.llm.superminhash import near_duplicates
+from coverlay.llm.superminhash import keep_one
 from coverlay.operators.lineage import shared_folder
 
 #: Quality scores below this are rejected; words of a block that the mix moves as one.
@@ -33,9 +33,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest id."""
-    kept = near_duplicates(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """One row of each group of near copies, that with the smallest id, nulls last."""
+    return keep_one(docs).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Near-duplicate documents by SuperMinHash signatures.
 
 1. A document's words give a set of hashed shingles.  Documents of one set are represented
-   by the smallest id.
+   by the row with the smallest id.
 2. SuperMinHash: every element visits the signature's places in a random order of its own and
    offers at its n-th place a number in [n, n + 1); each place keeps its smallest.  All
    elements take their first step, then those of unfinished documents their second, and a
@@ -20,8 +20,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from coverlay.llm.components import components
 from coverlay.llm.forest import Forest
@@ -32,6 +33,8 @@ from coverlay.operators.lineage import settle
 PLACES, MISSED = 256, 1e-5
 #: Documents and shingles of a block, about.
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 300_000
+#: What tells rows apart: the key, or 0 and ``none`` for a null key, and a digest of the text.
+IDENTITY = ["key", "none", "digest"]
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -157,7 +160,7 @@ def _signer(shingle: int, rows: int):
                         prints[begin + i] = _print(s)
                         keys[begin + i] = key[i].view(np.int64)
                 begin = end
-            yield pd.DataFrame({"id": part["id"], "n": sizes, "print1": prints[:, 0], "print2": prints[:, 1], "bands": keys})
+            yield part[IDENTITY].assign(n=sizes, print1=prints[:, 0], print2=prints[:, 1], bands=keys)
 
     return sign
 
@@ -212,23 +215,52 @@ def _comparer(percent: int):
     return compare
 
 
+def _identified(docs: DataFrame, key: str, text: str) -> dict[str, Column]:
+    number = F.col(key).cast("long")
+    return {"key": F.coalesce(number, F.lit(0)), "none": number.isNull(), "digest": F.coalesce(F.md5(F.col(text).cast("binary")), F.lit(""))}
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_shingles, component_id, kept``, one row per row of ``docs``.
 
     Documents link if ``100 * intersection >= percent * union`` of their shingle sets, which
     is confirmed on the full sets.  ``component_id`` is the smallest key reachable by links,
-    ``kept`` marks it.  Null, empty and blank texts have no shingles and link with nothing;
-    equal texts always link otherwise.  Keys must be unique, not null and integers; an empty
-    table gives no rows; other columns are not read.  A pair at the threshold shares no band
-    with probability ``MISSED`` at most, far less above it.
+    ``kept`` marks one row that has it.  Null, empty and blank texts have no shingles and link
+    with nothing; equal texts always link otherwise.  Keys are integers; rows of one key are
+    documents of their own, and rows with a null key too, whose ``component_id`` is null if no
+    row that they reach has a key.  An empty table gives no rows; other columns are not read.
+    A pair at the threshold shares no band with probability ``MISSED`` at most, far less above
+    it.
     """
+    judged = _judged(docs, shingle, percent, key, text)
+    return judged.select(F.when(~F.col("none"), F.col("key")).alias(key), F.col("n").alias("n_shingles"), "component_id", "kept")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps: one of each component, and all
+    without shingles.  Rows equal in key and text are one by a hash of their other columns."""
+    found = _identified(docs, key, text)
+    kept = _judged(docs, shingle, percent, key, text).filter("kept").select(*(F.col(c).alias(f"_{c}") for c in IDENTITY), (F.col("n") == 0).alias("_blank")).distinct()
+    place = [f"_{c}" for c in IDENTITY]
+    others = F.xxhash64(*(c for c in docs.columns if c not in (key, text)), F.lit(0))
+    joined = docs.withColumns({f"_{c}": found[c] for c in IDENTITY}).join(kept, place)
+    ranked = joined.withColumn("_rank", F.row_number().over(Window.partitionBy(*place).orderBy(others)))
+    return ranked.filter((F.col("_rank") == 1) | F.col("_blank")).select(*docs.columns)
+
+
+def _judged(docs: DataFrame, shingle: int, percent: int, key: str, text: str) -> DataFrame:
+    """``key, none, digest, n, component_id, kept`` of every row."""
     rows = bands_for(percent / 100)
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = settle(texts.mapInPandas(_signer(shingle, rows), "id long, n long, print1 long, print2 long, bands array<long>"))
+    found = _identified(docs, key, text)
+    texts = docs.select(*(found[c].alias(c) for c in IDENTITY), F.col(text).alias("text"))
+    prints = texts.mapInPandas(_signer(shingle, rows), "key long, none boolean, digest string, n long, print1 long, print2 long, bands array<long>")
+    # From here on a row is its number, as keys may be null or repeated.
+    signed = settle(prints.withColumn("id", F.monotonically_increasing_id()))
     same = ["n", "print1", "print2"]
-    distinct = signed.filter(F.col("n") > 0).groupBy(*same).agg(F.min("id").alias("rep"))
-    member = settle(signed.select("id", *same).join(distinct, same, "left"))
-    # Band keys of representatives alone: their own row has the smallest id of the set.
+    first = F.struct("none", "key", "digest", "id")
+    distinct = signed.filter(F.col("n") > 0).groupBy(*same).agg(F.min(first).alias("first"))
+    member = settle(signed.select("id", *IDENTITY, *same).join(distinct, same, "left").select("id", *IDENTITY, "n", F.col("first.id").alias("rep"), F.when(~F.col("first.none"), F.col("first.key")).alias("rep_key")))
+    # Band keys of representatives alone.
     reps = member.filter(F.col("id") == F.col("rep")).select("id")
     bands = signed.select("id", F.explode("bands").alias("band")).join(reps, "id", "left_semi")
     smallest = bands.groupBy("band").agg(F.min("id").alias("least"), F.count("*").alias("many")).filter(F.col("many") > 1)
@@ -237,7 +269,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
 
     # Blocks of a group: by size class, then by hash.  Classes a bit wider than the threshold
     # keep linked sets in the same or in neighbouring ones.
-    sized = settle(groups.join(signed.select("id", "n"), "id").withColumn("size_class", F.floor(F.log(F.col("n").cast("double")) / -np.log(percent / 100 * 0.99)).cast("int")))
+    sized = settle(groups.join(signed.select("id", *IDENTITY, *same), "id").withColumn("size_class", F.floor(F.log(F.col("n").cast("double")) / -np.log(percent / 100 * 0.99)).cast("int")))
     cuts = sized.groupBy("group_id", "size_class").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")).withColumn(
         "parts", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     )
@@ -254,30 +286,35 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
         F.transform(whole(F.coalesce("next_parts", F.lit(0))), lambda p: unit(size_class, part, p, 1, F.lit(0))),
         F.transform(whole(F.coalesce("last_parts", F.lit(0))), lambda p: unit(size_class - 1, p, part, 1, F.lit(1))),
     )
-    asked = placed.select("id", "n", "group_id", F.explode(units).alias("u")).select("id", "n", "group_id", "u.*")
+    asked = placed.select("id", *same, "group_id", F.explode(units).alias("u")).select("id", *same, "group_id", "u.*")
 
     def spell(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(shingle)
         for part in parts:
-            yield pd.DataFrame({"id": part["id"], "elements": [s.tobytes() for s in shingler.sets(part["text"].tolist())]})
+            sets = list(shingler.sets(part["text"].tolist()))
+            prints = np.array([_print(s) for s in sets], np.int64).reshape(-1, 2)
+            yield pd.DataFrame({"n": [len(s) for s in sets], "print1": prints[:, 0], "print2": prints[:, 1], "elements": [s.tobytes() for s in sets]})
 
-    spelled = texts.join(groups.select("id"), "id", "left_semi").mapInPandas(spell, "id long, elements binary")
+    # One text per set: that of its representative, once if the row is repeated.
+    chosen = texts.join(sized.select(*IDENTITY), IDENTITY, "left_semi").dropDuplicates(IDENTITY)
+    spelled = chosen.select("text").mapInPandas(spell, "n long, print1 long, print2 long, elements binary")
     # Small groups share units, whose number follows the rows, so that few calls do the work.
     pair = F.struct("group_id", "low", "i", "j", "step")
     small = asked.join(cuts.groupBy("group_id").agg(F.sum("docs").alias("docs")), "group_id").withColumn(
         "bundle", F.when(F.col("docs") <= 32, F.pmod(F.xxhash64("group_id"), F.lit(_bundles(sized)))).otherwise(F.xxhash64(pair))
     )
-    work = small.withColumn("compared", F.xxhash64(pair)).join(spelled, "id")
+    work = small.withColumn("compared", F.xxhash64(pair)).join(spelled, same)
     links = (
         work.select("bundle", F.col("compared").alias("group_id"), "id", "n", "side", "elements")
         .groupBy("bundle")
         .applyInPandas(_comparer(percent), "a long, b long")
     )
-    linked = components(links).withColumnRenamed("node", "rep")
-    whole_id = F.coalesce("component", "rep", "id")
-    return member.join(linked, "rep", "left").select(
-        F.col("id").alias(key), F.col("n").alias("n_shingles"), whole_id.alias("component_id"), (F.col("id") == whole_id).alias("kept")
-    )
+    linked = components(links)
+    heads = linked.join(sized.select(F.col("id").alias("node"), first.alias("first")), "node").groupBy("component").agg(F.min("first").alias("head"))
+    headed = linked.join(heads, "component").select(F.col("node").alias("rep"), F.col("head.id").alias("head"), F.when(~F.col("head.none"), F.col("head.key")).alias("head_key"))
+    whole_key = F.when(F.col("head").isNotNull(), F.col("head_key")).when(F.col("rep").isNotNull(), F.col("rep_key")).when(~F.col("none"), F.col("key"))
+    kept = F.col("id") == F.coalesce("head", "rep", "id")
+    return member.join(headed, "rep", "left").select(*IDENTITY, "n", whole_key.alias("component_id"), kept.alias("kept"))
 
 
 def _bundles(sized: DataFrame) -> int:

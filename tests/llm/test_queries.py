@@ -93,3 +93,11 @@ def test_pipeline_runs(spark):
     empty = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, DATA).count() == 0
+
+
+def test_near_dedup_stage_keeps_one_row_of_a_group(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, "clean text without a key"), (1, text), (1, text), (1, text + " z"), (None, text), (2, "another"), (2, "different")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.deduplicate(spark, docs, DATA).collect())
+    assert len(got) == 4 and got[0] == (0, rows[0][1]) and got[1][0] == 1 and got[2:] == [(2, "another"), (2, "different")]

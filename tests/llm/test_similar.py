@@ -207,6 +207,26 @@ def test_document_groups_equal_brute_force(spark, shingle, percent):
     assert superminhash.near_duplicates(df.limit(0), shingle, percent).count() == 0
 
 
+def test_documents_with_null_and_repeated_keys(spark):
+    long, other, third = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    rows = [(4, long, "x"), (4, long, "x"), (4, long + " end", "x"), (9, long.upper(), "x"), (None, long + " z", "x")]
+    rows += [(None, other, "x"), (None, other, "y"), (None, other + " z", "x"), (None, "alone here", "x"), (2**60 + 1, "single text", "x")]
+    rows += [(6, third, "y"), (6, third, "x"), (6, "quite another", "x"), (None, None, "x"), (None, None, "x"), (6, "", "x"), (6, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in superminhash.near_duplicates(df).collect())
+    want = [(4, 56, 4, True), (4, 56, 4, False), (4, 57, 4, False), (9, 56, 4, False), (None, 57, 4, False)]
+    want += [(None, 56, None, True), (None, 56, None, False), (None, 57, None, False), (None, 1, None, True), (2**60 + 1, 1, 2**60 + 1, True)]
+    want += [(6, 56, 6, True), (6, 56, 6, False), (6, 1, 6, True), (None, 0, None, True), (None, 0, None, True), (6, 0, 6, True), (6, 0, 6, True)]
+    # Of the rows of one key and component, the text's digest says which is kept.
+    assert Counter((k, cid, stays) for k, _, cid, stays in got.elements()) == Counter((k, cid, stays) for k, _, cid, stays in want)
+    assert Counter((k, n) for k, n, _, _ in got.elements()) == Counter((k, n) for k, n, _, _ in want)
+    kept = superminhash.keep_one(df).collect()
+    assert len(kept) == sum(k for *_, k in got.elements())
+    assert Counter(r["doc_id"] for r in kept) == Counter(k for k, _, _, stays in got.elements() if stays)
+    assert sum(r["text"] in (third, other, other + " z") for r in kept) == 2
+    assert superminhash.keep_one(df.limit(0)).count() == 0
+
+
 def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(superminhash, "BLOCK_DOCS", 4)
     rng = random.Random(3)
