@@ -1,0 +1,30 @@
+"""Joins on keys of very uneven frequency."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: A key that holds at least this part of all rows counts as heavy, so at most as many keys
+#: are: what is broadcast is bounded whatever the data.
+HEAVY_KEYS = 10_000
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: str, total: int, found: str, spread: Sequence[Column | str]) -> DataFrame:
+    """Left join that adds ``found``, the table's other columns as a struct (null: no match).
+
+    ``table`` has unique ``keys`` and ``weight``, the number of ``total`` that a key stands
+    for.  Heavy keys, ``HEAVY_KEYS`` at most, are broadcast; a row that finds one is dealt by
+    ``spread`` in the shuffle of the others, so no task holds the rows of a hot key.
+    """
+    values = [c for c in table.columns if c not in keys]
+    parts = table.select(*keys, F.struct(*values).alias("_value"), (F.col(weight) * HEAVY_KEYS >= total).alias("_heavy"), F.least(F.col(weight), F.lit(0)).cast("long").alias("_turn"))
+    heavy = parts.filter("_heavy").select(*keys, F.col("_value").alias("_first"))
+    light = parts.filter("not _heavy").select(*keys, "_turn", F.col("_value").alias("_second"))
+    known = rows.join(F.broadcast(heavy), list(keys), "left")
+    # Zero, the turn of the light keys, for rows that still look for theirs.
+    turn = F.when(F.col("_first").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(*spread), F.lit(2**40)))
+    joined = known.withColumn("_turn", turn.cast("long")).join(light, [*keys, "_turn"], "left")
+    return joined.select(*rows.columns, F.coalesce("_first", "_second").alias(found))

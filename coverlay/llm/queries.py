@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from coverlay.llm.hnsw import near_duplicates as near_vectors
 from coverlay.llm.langid import predict_language
+from coverlay.llm.lines import drop_shared_lines
 from coverlay.llm.mixing import mix
+from coverlay.llm.phrases import collocations
 from coverlay.llm.pieces import encode_texts, load_vocabulary
 from coverlay.llm.quality import score_quality
+from coverlay.llm.ranked import rank_documents
 from coverlay.llm.sharding import shuffle_into_shards
 from coverlay.llm.superminhash import near_duplicates as near_documents
 from coverlay.llm.topk import top_k
@@ -90,6 +93,19 @@ def language(spark: SparkSession, folder: str) -> DataFrame:
     return predict_language(_table(spark, folder, "documents"))
 
 
+def phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(_table(spark, folder, "documents"))
+
+
+def ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return rank_documents(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def shared_lines(spark: SparkSession, folder: str) -> DataFrame:
+    kept = drop_shared_lines(_table(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 URL_SQL = """
 WITH parts AS (
     SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest
@@ -120,6 +136,79 @@ ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM ranked WHERE place <= 20
 """
 
+PHRASE_SQL = r"""
+WITH pieces AS (
+    SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents),
+spelt AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+spots AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS pos FROM spelt),
+grams AS (
+    SELECT lang, w[pos] AS phrase, 1 AS words FROM spots
+    UNION ALL SELECT lang, array_to_string(w[pos:pos + 1], ' '), 2 FROM spots WHERE pos + 1 <= len(w)
+    UNION ALL SELECT lang, array_to_string(w[pos:pos + 2], ' '), 3 FROM spots WHERE pos + 2 <= len(w)),
+f AS (SELECT lang, phrase, words, count(*) AS n FROM grams GROUP BY ALL),
+total AS (SELECT lang, sum(n) AS n FROM f WHERE words = 1 GROUP BY lang),
+candidates AS (SELECT lang, phrase, words, n AS a, string_split(phrase, ' ') AS w FROM f WHERE words > 1 AND n >= 10),
+cuts AS (
+    SELECT lang, phrase, words, a, 1 AS cut, w[1] AS head, array_to_string(w[2:], ' ') AS tail FROM candidates
+    UNION ALL SELECT lang, phrase, words, a, 2, array_to_string(w[1:2], ' '), w[3] FROM candidates WHERE words = 3),
+scored AS (
+    SELECT c.*, x.n AS l, y.n AS r, (1000000 * CAST(a AS HUGEINT) * a) // (CAST(x.n AS HUGEINT) * y.n) AS score
+    FROM cuts c JOIN f x ON c.lang = x.lang AND c.head = x.phrase JOIN f y ON c.lang = y.lang AND c.tail = y.phrase),
+least AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS place FROM scored),
+inner_parts AS (
+    SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM candidates WHERE words = 3
+    UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM candidates WHERE words = 3),
+longer AS (SELECT lang, phrase, max(a) AS longer FROM inner_parts GROUP BY ALL),
+kept AS (
+    SELECT s.lang, s.phrase, s.a, s.l, s.r, s.score,
+        row_number() OVER (PARTITION BY s.lang ORDER BY s.score DESC, s.a DESC, encode(s.phrase)) AS rank
+    FROM least s LEFT JOIN longer o ON s.lang = o.lang AND s.phrase = o.phrase
+    WHERE place = 1 AND (longer IS NULL OR 100 * longer < 50 * a))
+SELECT lang, rank, phrase, a, l, r, CAST(total.n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+RANKED_SQL = r"""
+WITH spelt AS (
+    SELECT doc_id, row_number() OVER () AS no, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+    FROM documents),
+sized AS (SELECT doc_id, no, w, len(w) AS n FROM spelt WHERE len(w) > 0),
+corpus AS (SELECT count(*) AS all_docs, CAST(sum(n) AS BIGINT) AS all_terms FROM sized),
+tf AS (SELECT no, term, count(*) AS tf FROM (SELECT no, unnest(w) AS term FROM sized) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+m AS (SELECT doc_id, no, 75 + (25 * n * all_docs) // all_terms AS m FROM sized, corpus),
+asked AS (
+    SELECT item_id, term, count(*) AS repeats FROM (
+        SELECT item_id, unnest(regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM benchmark) GROUP BY ALL),
+weighed AS (
+    SELECT item_id, term, repeats * CAST(floor(1000 * ln(CAST(2 * all_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+    FROM asked JOIN df USING (term), corpus),
+scored AS (
+    SELECT item_id, doc_id, no, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+    FROM weighed JOIN tf USING (term) JOIN m USING (no) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM scored WHERE score > 0)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM ranked WHERE place <= 20
+"""
+
+LINE_SQL = r"""
+WITH split AS (SELECT doc_id, row_number() OVER () AS no, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+spots AS (SELECT doc_id, no, lines, unnest(range(1, len(lines) + 1)) AS pos FROM split),
+keyed AS (
+    SELECT doc_id, no, pos, lines[pos] AS line, translate(
+        trim(lines[pos], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM spots),
+shared AS (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT no) >= 10),
+marked AS (SELECT k.*, s.key IS NOT NULL AS gone FROM keyed k LEFT JOIN shared s ON k.key = s.key)
+SELECT doc_id, count(*) AS n_lines, CAST(count_if(gone) AS BIGINT) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id, no
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing,
     "op2_toxicity": toxicity,
@@ -131,7 +220,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": quality,
     "op9_encoding": encoding,
     "op10_language": language,
+    "op11_phrases": phrases,
+    "op12_ranked_search": ranked_search,
+    "op13_line_dedup": shared_lines,
 }
 #: Queries that SQL can state; pages of the given tables hold no canonical or refresh tags,
 #: which the tests cover instead.
-CHECKS = {"op5_url_filter": URL_SQL, "op7_exact_top_k": TOP_SQL}
+CHECKS = {
+    "op5_url_filter": URL_SQL,
+    "op7_exact_top_k": TOP_SQL,
+    "op11_phrases": PHRASE_SQL,
+    "op12_ranked_search": RANKED_SQL,
+    "op13_line_dedup": LINE_SQL,
+}

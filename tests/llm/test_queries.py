@@ -18,7 +18,7 @@ pytestmark = pytest.mark.skipif(not Path(DATA).is_dir(), reason="no test tables
 @pytest.fixture(scope="module")
 def sql():
     con = duckdb.connect()
-    for name in ("documents", "embeddings", "pages", "labels"):
+    for name in ("documents", "embeddings", "pages", "labels", "benchmark"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{DATA}/{name}.parquet'")
     return con
 
@@ -38,7 +38,7 @@ def test_query_equals_sql(spark, sql, name):
 
 def test_whole_tables(sql, results):
     docs = sql.execute("SELECT count(*) FROM documents").fetchall()[0][0]
-    for n in (1, 2, 3, 6, 8, 9, 10):
+    for n in (1, 2, 3, 6, 8, 9, 10, 13):
         (name,) = (q for q in QUERIES if q.startswith(f"op{n}_"))
         assert len(results[name]) == docs == results[name]["doc_id"].nunique(), name
 
