@@ -31,7 +31,7 @@ from coverlay.llm.words import mixed
 from coverlay.operators.lineage import settle
 
 #: Text bytes of a shard, about; a piece without any separator may be longer.
-SHARD_BYTES = 12_000_000
+SHARD_BYTES = 3_000_000
 #: Largest bit table sent to the tasks, and bits per phrase below that.
 MAX_BITS, BITS_EACH = 2**27, 32
 #: Languages whose share lowers the support; in any other a shard reports all its phrases.
