@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coverlay.functions.values import number
+from coverlay.operators.lookup import lookup
 
 # Fewest value ranges; sessions with more shuffle partitions get as many ranges as those.
 BUCKETS = 64
@@ -74,15 +75,18 @@ def average_ranks(df: DataFrame, names: dict[str, str], by: Sequence[str] = ())
     """Ascending rank of each value column, ties sharing their mean rank; NULL stays NULL.
 
     ``names`` maps value columns to rank columns.  Every rank table comes from ``df`` itself,
-    so ranking several columns does not repeat the work of the earlier ones.
+    so ranking several columns does not repeat the work of the earlier ones.  Values that make
+    up much of all rows find their rank by broadcast, a bounded number of them, and NULLs have
+    none to find: both stay spread over all tasks.
     """
-    out = df
+    by, out = list(by), df
     for value, name in names.items():
-        key = f"_{name}_value"
-        ranked = cumulative_counts(df, value, by).select(
-            *by, F.col("value").alias(key), (F.col("before") + (F.col("n") + 1) / 2).alias(name)
-        )
-        out = out.withColumn(key, number(value)).join(ranked, [*by, key], "left").drop(key)
+        ranked = cumulative_counts(df, value, by)
+        total = ranked.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
+        table = ranked.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("value").alias("_value"), "n", (F.col("before") + (F.col("n") + 1) / 2).alias("rank"))
+        keyed = out.select(F.struct(*out.columns).alias("_row"), *[F.col(c).alias(f"_by_{c}") for c in by], number(value).alias("_value"))
+        found = lookup(keyed, table, [*[f"_by_{c}" for c in by], "_value"], "n", total, "_found", ["_row"])
+        out = found.select(*[F.col("_row").getField(c).alias(c) for c in out.columns], F.col("_found.rank").alias(name))
     return out
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from coverlay.functions import geodesy, kernels, shapes
 from coverlay.operators.spatial_join import ZoneIndex
 from coverlay.operators.spread import spread
+from coverlay.sources.row_ids import read_numbered
 
 SIDE = 20.0
 PLACE_ID = ["o_orderkey"]
@@ -71,14 +72,19 @@ def zone_index(spark: SparkSession, sf_dir: str, lonlat: bool = False) -> ZoneIn
     return ZoneIndex(zones(spark, sf_dir, lonlat))
 
 
-def places(spark: SparkSession, sf_dir: str, lonlat: bool = False) -> DataFrame:
+PLACE_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice"]
+
+
+def places(spark: SparkSession, sf_dir: str, lonlat: bool = False, numbered: bool = False) -> DataFrame:
+    """``numbered`` adds ``row_id``, the number of the stored row."""
     key = F.col("o_orderkey")
     x, y = (key * 7919) % 10000 / 100.0, (key * 104729) % 10000 / 100.0
     if lonlat:
         x, y = _lon(x), _lat(y)
-    orders = _spread_table(
-        spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice"]
-    )
+    if numbered:
+        orders = spread(read_numbered(spark, f"{sf_dir}/orders.parquet", PLACE_COLUMNS))
+    else:
+        orders = _spread_table(spark, sf_dir, "orders", PLACE_COLUMNS)
     return orders.select("*", x.alias("x"), y.alias("y"))
 
 

@@ -18,6 +18,7 @@ from coverlay.queries import layers as L
 from coverlay.queries.registry import query
 from coverlay.sources import geo
 from coverlay.sources.contracts import LAYER_CONTRACTS
+from coverlay.sources.row_ids import read_numbered
 
 SQUARE_IN = "px > x0 AND px < x0 + 20 AND py > y0 AND py < y0 + 20"
 SQUARE_ON = "px >= x0 AND px <= x0 + 20 AND py >= y0 AND py <= y0 + 20"
@@ -241,6 +242,28 @@ def boundary_audit(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("boundary_pct", F.round("boundary_pct", 6))
 
 
+@query("row_ids", "SELECT o_orderkey, row_number() OVER ()::BIGINT AS row_id FROM orders")
+def row_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The number of each stored row, whatever the splits of the scan."""
+    return read_numbered(spark, f"{d}/orders.parquet", ["o_orderkey"])
+
+
+@query(
+    "boundary_audit_by_row",
+    L.layers_sql("z p")
+    + f""", n AS (SELECT *, row_number() OVER () AS row_id FROM p),
+      f AS (SELECT row_id, any_value(o_orderstatus) AS o_orderstatus, bool_or(coalesce({SQUARE_IN}, false)) AS inside, count(x0) > 0 AS touching
+        FROM n LEFT JOIN z ON {SQUARE_ON} GROUP BY row_id)
+      SELECT o_orderstatus, count(*)::BIGINT AS total, count(*) FILTER (inside)::BIGINT AS within,
+        count(*) FILTER (touching AND NOT inside)::BIGINT AS boundary_only, count(*) FILTER (NOT touching)::BIGINT AS outside
+      FROM f GROUP BY ALL""",
+)
+def boundary_audit_by_row(spark: SparkSession, d: str) -> DataFrame:
+    """The exact path, for zones that may overlap: EXISTS and NOT EXISTS by stored row."""
+    rows = sj.boundary_audit(L.places(spark, d, numbered=True), L.zone_index(spark, d), ["row_id"], ["o_orderstatus"], disjoint=False)
+    return rows.drop("boundary_pct")
+
+
 @query(
     "distance_to_boundary",
     L.layers_sql("z p")
