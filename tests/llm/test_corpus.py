@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from coverlay.llm import heavy, phrases, ranked
+from coverlay.llm import phrases, ranked
 from coverlay.llm.lines import drop_shared_lines
 from coverlay.llm.phrases import collocations
 from coverlay.llm.ranked import rank_documents
@@ -68,17 +68,6 @@ def test_a_long_text_is_put_together_whole(spark):
     assert got[1]["kept_text"] == "" and got[2]["kept_text"] == "x"
 
 
-def test_lookup_splits_heavy_keys(spark, monkeypatch):
-    """A key with most rows is found by broadcast, its rows are dealt over the shuffle."""
-    monkeypatch.setattr(heavy, "HEAVY_KEYS", 3)
-    rows = spark.range(2000).select(F.when(F.col("id") % 10 > 0, F.lit(-1)).otherwise(F.col("id") % 50).alias("k"), "id")
-    table = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("k != 20")
-    got = heavy.lookup(rows, table, ["k"], "n", 2000, "found", ["id"])
-    want = {r["k"]: r["n"] for r in table.collect()}
-    found = got.collect()
-    assert len(found) == 2000 and all((r["found"]["n"] if r["found"] else None) == want.get(r["k"]) for r in found)
-
-
 # --- ranked search --------------------------------------------------------------------------
 
 TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
