@@ -185,18 +185,6 @@ def measures(geom: pa.Array, projected: bool, back: bool) -> pa.Array:
     return pa.StructArray.from_arrays(list(fields.values()), names=list(fields))
 
 
-def edge_blobs(geom: pa.Array, projected: bool) -> pa.Array:
-    """Every edge of every geometry as one block per row."""
-    s = Shapes(geom)
-    if projected:
-        s.x, s.y = geodesy.project(np, s.x, s.y)
-    seg, _, row = s.segments()
-    count = np.bincount(row, minlength=s.rows)
-    offsets = np.concatenate(([0], np.cumsum(count))).astype("int32") * 32
-    data = pa.py_buffer(np.ascontiguousarray(seg).tobytes())
-    return pa.BinaryArray.from_buffers(pa.binary(), s.rows, [None, pa.py_buffer(offsets.tobytes()), data])
-
-
 # --- point location -------------------------------------------------------------------------
 
 
@@ -237,24 +225,6 @@ def locate_points(core: pa.Array, x: pa.Array, y: pa.Array, parity: pa.Array, bl
     return pa.array(np.where(_flags(core), INSIDE, where).astype("int32"))
 
 
-def boundary_distance(x: pa.Array, y: pa.Array, blob: pa.Array) -> pa.Array:
-    """Distance from each point to the nearest edge of its row."""
-    px, py = _numbers(x), _numbers(y)
-    table, start, count = _edges(blob)
-    best = np.full(len(px), np.inf)
-    for a, b in _blocks(count):
-        c = count[a:b]
-        e = table[_ranges(start[a:b], c)]
-        row = np.repeat(np.arange(a, b), c)
-        dx, dy = e[:, 2] - e[:, 0], e[:, 3] - e[:, 1]
-        length2 = dx * dx + dy * dy
-        along = ((px[row] - e[:, 0]) * dx + (py[row] - e[:, 1]) * dy) / np.where(length2 > 0, length2, 1.0)
-        t = np.clip(np.where(length2 > 0, along, 0.0), 0.0, 1.0)
-        away = np.hypot(px[row] - (e[:, 0] + t * dx), py[row] - (e[:, 1] + t * dy))
-        np.minimum.at(best, row, away)
-    return pa.array(best, mask=~np.isfinite(best))
-
-
 # --- polygons and lines against tile edges --------------------------------------------------
 
 
@@ -292,12 +262,12 @@ def _cell_box(cx: pa.Array, cy: pa.Array, size: float, margin: float):
     return x * size - margin, y * size - margin, (x + 1) * size + margin, (y + 1) * size + margin
 
 
-def polygon_hits(geom, core, cx, cy, parity, blob, size: float, margin: float, centre: str | None) -> pa.Array:
-    """``struct<touches, centred>``: what this cell can tell about a (polygon, zone) pair.
+def polygon_hits(geom, core, cx, cy, parity, blob, mx, my, size: float, margin: float) -> tuple[np.ndarray, np.ndarray]:
+    """``touches, centred``: what this cell can tell about a (polygon, zone) pair.
 
     A shared point is proved by a vertex of the polygon in this cell lying in the zone, a
     polygon edge meeting a zone edge, or a zone vertex lying in the polygon.  ``centred`` is
-    true when the centroid (taken in the ``centre`` space) is in this cell and zone.
+    true when the centroid ``mx, my`` (NaN: not asked for) is in this cell and zone.
     """
     s = Shapes(geom)
     is_core = _flags(core)
@@ -305,10 +275,7 @@ def polygon_hits(geom, core, cx, cy, parity, blob, size: float, margin: float, c
     bx1, by1, bx2, by2 = _cell_box(cx, cy, size, margin)
     par = _numbers(parity).astype("int64")
     centred = np.zeros(s.rows, dtype=bool)
-    if centre is not None:
-        flat = centre == "equal_area"
-        m = measures(geom, projected=flat, back=flat)
-        mx, my = _numbers(m.field("cx")), _numbers(m.field("cy"))
+    if not np.isnan(mx).all():
         at = np.flatnonzero((np.floor(mx / size) == _numbers(cx)) & (np.floor(my / size) == _numbers(cy)))
         held = _locate(mx[at], my[at], table, start[at], count[at], par[at]) == INSIDE
         centred[at] = is_core[at] | held
@@ -334,7 +301,7 @@ def polygon_hits(geom, core, cx, cy, parity, blob, size: float, margin: float, c
             touched = np.bincount(r, _segments_touch(seg[i], near[j]), b - a) > 0
             covered = _any_vertex_inside(near, near_start[a:b], near_count[a:b], seg, seg_start[rows], seg_count[rows])
             hit[rows] |= touched | covered
-    return pa.StructArray.from_arrays([pa.array(hit), pa.array(centred)], names=["touches", "centred"])
+    return hit, centred
 
 
 def _rowwise_bounds(s: Shapes, rows: np.ndarray):

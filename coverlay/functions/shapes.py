@@ -106,25 +106,6 @@ def _equal_area_measures_lonlat_centre(geom: pa.Array) -> pa.Array:
     return kernels.measures(geom, projected=True, back=True)
 
 
-@_once
-@F.arrow_udf(types.BINARY)
-def _edge_blobs(geom: pa.Array) -> pa.Array:
-    return kernels.edge_blobs(geom, projected=False)
-
-
-@_once
-@F.arrow_udf(types.BINARY)
-def _equal_area_edge_blobs(geom: pa.Array) -> pa.Array:
-    return kernels.edge_blobs(geom, projected=True)
-
-
-@_once
-@F.arrow_udf(types.DOUBLE)
-def boundary_distance(x: pa.Array, y: pa.Array, outline: pa.Array) -> pa.Array:
-    """Distance from a point to the nearest edge of an ``outline`` block."""
-    return kernels.boundary_distance(x, y, outline)
-
-
 @_once
 @F.arrow_udf(types.DOUBLE)
 def ellipsoid_distance(lon1: pa.Array, lat1: pa.Array, lon2: pa.Array, lat2: pa.Array) -> pa.Array:
@@ -152,11 +133,6 @@ def measures(geom: Column | str, space: str = "planar", centre_lonlat: bool = Fa
     return (_equal_area_measures_lonlat_centre if centre_lonlat else _equal_area_measures)(as_column(geom))
 
 
-def outline(geom: Column | str, projected: bool) -> Column:
-    """All edges of a geometry as one binary block, as the kernels read it."""
-    return (_equal_area_edge_blobs if projected else _edge_blobs)(as_column(geom))
-
-
 def _only(kind: str, geom: Column, value: Column, what: str) -> Column:
     wrong = F.raise_error(F.concat(F.lit(f"{what} needs {kind} geometry, got "), geom["kind"]))
     return F.when(geom.isNull(), F.lit(None).cast("double")).when(geom["kind"] == kind, value).otherwise(wrong)

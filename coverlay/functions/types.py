@@ -25,6 +25,10 @@ MEASURES = struct(
 )
 SPANS = ArrayType(struct(ta=DOUBLE, tb=DOUBLE))
 TILES = ArrayType(struct(cx=INT, cy=INT, core=BOOL, parity=INT, edges=BINARY))
+NESTED = ArrayType(struct(_level=INT, cx=INT, cy=INT, core=BOOL, parity=INT, edges=BINARY))
+NEAR = ArrayType(struct(cx=INT, cy=INT, core=BOOL, parity=INT, edges=BINARY, near=BINARY))
+COVER = ArrayType(struct(kind=INT, level=INT, cx=INT, cy=INT, parity=INT, edges=BINARY))
+PREPARED = struct(mx=DOUBLE, my=DOUBLE, cover=COVER)
 HITS = struct(touches=BOOL, centred=BOOL)
 CLIPPED = struct(spans=SPANS, length=DOUBLE)
 VALIDITY = struct(valid=BOOL, reason=TEXT)

@@ -15,11 +15,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coverlay.functions import geodesy, kernels, shapes, types
-from coverlay.operators.tiling import BROADCAST_BYTES, Grid, build_tiles, choose_grids, join_small, join_tiles
+from coverlay.functions import covers, geodesy, kernels, shapes, types
+from coverlay.operators.lineage import settle
+from coverlay.operators.tiling import BROADCAST_BYTES, LEVELS, Grid, build_near_tiles, build_nested_tiles, build_tiles, choose_grids, join_small, join_tiles
 
 WITHIN, INTERSECTS = "within", "intersects"
 TILE_COLUMNS = ("cx", "cy", "core", "parity", "edges")
+TILE_KEYS = ["_level", "cx", "cy"]
+#: A polygon whose box covers more cells than this is covered by cells of several sizes.
+LARGE_CELLS = 64
 
 
 @F.arrow_udf(types.INT)
@@ -32,6 +36,16 @@ def _locate(core: pa.Array, x: pa.Array, y: pa.Array, parity: pa.Array, edges: p
 _locate = _locate.asNondeterministic()
 
 
+@F.arrow_udf(types.DOUBLE)
+def _locate_near(
+    core: pa.Array, x: pa.Array, y: pa.Array, parity: pa.Array, edges: pa.Array, px: pa.Array, py: pa.Array, near: pa.Array
+) -> pa.Array:
+    return covers.locate_near(core, x, y, parity, edges, px, py, near)
+
+
+_locate_near = _locate_near.asNondeterministic()
+
+
 def _clip_with(measure: str):
     @F.arrow_udf(types.CLIPPED)
     def clip(
@@ -57,6 +71,7 @@ class Level:
 
     grid: Grid
     tiles: DataFrame
+    nested: DataFrame
 
 
 class ZoneIndex:
@@ -74,12 +89,7 @@ class ZoneIndex:
         if len(found) == 1:
             # All zones are of one class: none has to be measured again.
             found = [replace(found[0], size_class=None)]
-        self.levels = [Level(grid, build_tiles(zones, grid, zone_id, geom)) for grid in found]
-
-    @property
-    def outlines_fit(self) -> bool:
-        """Whether the zones' full outlines (32 bytes per vertex) are within the broadcast bound."""
-        return 0 < sum(level.grid.vertices for level in self.levels) * 32 <= BROADCAST_BYTES
+        self.levels = [Level(grid, build_tiles(zones, grid, zone_id, geom), build_nested_tiles(zones, grid, zone_id, geom)) for grid in found]
 
     def each(self, join: Callable[[Level], DataFrame]) -> DataFrame:
         """What ``join`` finds on any level."""
@@ -139,24 +149,47 @@ def with_bounds(features: DataFrame, geom: str = "geom") -> DataFrame:
     return measured.withColumns({n: F.col(f"_m.{n}") for n in shapes.BOUNDS}).drop("_m")
 
 
+def _spans(features: DataFrame, grid: Grid) -> DataFrame:
+    """The cells of the corners of each box, and ``many_cells``, whether it covers several."""
+    corners = {f"_c{n}": grid.cell(F.col(n)) for n in shapes.BOUNDS}
+    return features.withColumns(corners).withColumn("many_cells", (F.col("_cxmin") != F.col("_cxmax")) | (F.col("_cymin") != F.col("_cymax")))
+
+
+def _is_large() -> Column:
+    cells = (F.col("_cxmax") - F.col("_cxmin") + 1).cast("long") * (F.col("_cymax") - F.col("_cymin") + 1)
+    return F.coalesce(cells > LARGE_CELLS, F.lit(False))
+
+
 def _box_cells(features: DataFrame, grid: Grid) -> DataFrame:
-    """One row per grid cell a feature's box covers, with ``many_cells`` set if several."""
-    spans = features.withColumns(
-        {
-            "_cx1": grid.cell(F.col("xmin")),
-            "_cx2": grid.cell(F.col("xmax")),
-            "_cy1": grid.cell(F.col("ymin")),
-            "_cy2": grid.cell(F.col("ymax")),
-        }
-    )
+    """One row per grid cell that a small feature's box covers; features without a box have none."""
     return (
-        spans.withColumn("many_cells", (F.col("_cx1") != F.col("_cx2")) | (F.col("_cy1") != F.col("_cy2")))
-        .withColumn("cx", F.explode(F.sequence("_cx1", "_cx2")))
-        .withColumn("cy", F.explode(F.sequence("_cy1", "_cy2")))
-        .drop("_cx1", "_cx2", "_cy1", "_cy2")
+        _spans(features, grid)
+        .filter(~_is_large())
+        .withColumn("cx", F.explode(F.sequence("_cxmin", "_cxmax")))
+        .withColumn("cy", F.explode(F.sequence("_cymin", "_cymax")))
+        .drop(*[f"_c{n}" for n in shapes.BOUNDS])
     )
 
 
+def _covering_cells(features: DataFrame, grid: Grid, geom: str, centre: str | None) -> DataFrame:
+    """One row per cell that covers a large feature, without its geometry.
+
+    Cells are of several sizes (``_level`` 0 to ``LEVELS``): coarse ones inside, the grid's own
+    along the border, each with the edges that matter there, so rows follow the length of
+    the border.  The centroid's cell comes besides, if a ``centre`` space is given.
+    """
+    size, margin = grid.size, grid.margin
+
+    @F.arrow_udf(types.PREPARED)
+    def cover(shape: pa.Array) -> pa.Array:
+        return covers.cover_polygons(shape, size, margin, LEVELS, centre)
+
+    large = _spans(features, grid).filter(_is_large()).withColumn("_own", cover.asNondeterministic()(geom))
+    rows = large.withColumn("_cover", F.explode("_own.cover"))
+    fields = {"_level": "_cover.level", "cx": "_cover.cx", "cy": "_cover.cy", "_mx": "_own.mx", "_my": "_own.my"}
+    return rows.withColumns({n: F.col(c) for n, c in fields.items()}).drop(*[f"_c{n}" for n in shapes.BOUNDS], "_own")
+
+
 def polygon_pairs(
     features: DataFrame, zones: DataFrame | ZoneIndex, fid: Sequence[str], geom: str = "geom", centre: str | None = None
 ) -> DataFrame:
@@ -172,6 +205,12 @@ def polygon_pairs(
 
 
 def _polygon_pairs(features: DataFrame, level: Level, geom: str, centre: str | None) -> DataFrame:
+    small, large = _small_pairs(features, level, geom, centre), _large_pairs(features, level, geom, centre)
+    pairs = small.unionByName(large)
+    return pairs.filter("touches").drop("touches", "centred", "in_core") if centre is None else pairs.filter("touches or centred")
+
+
+def _small_pairs(features: DataFrame, level: Level, geom: str, centre: str | None) -> DataFrame:
     grid = level.grid
     size, margin = grid.size, grid.margin
 
@@ -179,18 +218,37 @@ def _polygon_pairs(features: DataFrame, level: Level, geom: str, centre: str | N
     def hits(
         shape: pa.Array, core: pa.Array, cx: pa.Array, cy: pa.Array, parity: pa.Array, edges: pa.Array
     ) -> pa.Array:
-        return kernels.polygon_hits(shape, core, cx, cy, parity, edges, size, margin, centre)
+        return covers.small_hits(shape, core, cx, cy, parity, edges, size, margin, centre)
 
-    pairs = join_tiles(_box_cells(features, grid), level.tiles, grid)
+    # Level 0, but not as a constant: so both kinds of features look up one and the same table.
+    cells = _box_cells(features, grid).withColumn("_level", F.least(F.col("many_cells").cast("int"), F.lit(0)))
+    pairs = join_small(cells, level.nested, TILE_KEYS, grid.can_broadcast_nested)
     # A polygon that fits a core cell is inside, centroid and all: its shape is not sent along.
     sure = F.col("core") & ~F.col("many_cells")
     shape = F.when(~sure, F.col(geom))
     judged = pairs.withColumn("_hit", hits.asNondeterministic()(shape, "core", "cx", "cy", "parity", "edges"))
-    touches, centred = sure | F.col("_hit.touches"), sure | F.col("_hit.centred")
-    if centre is None:
-        return judged.filter(touches).drop(*TILE_COLUMNS, "_hit")
-    marks = {"touches": touches, "centred": centred, "in_core": sure}
-    return judged.withColumns(marks).filter("touches or centred").drop(*TILE_COLUMNS, "_hit")
+    marks = {"touches": sure | F.col("_hit.touches"), "centred": sure | F.col("_hit.centred"), "in_core": sure}
+    return judged.withColumns(marks).drop(*TILE_COLUMNS, "_hit", "_level")
+
+
+def _large_pairs(features: DataFrame, level: Level, geom: str, centre: str | None) -> DataFrame:
+    grid = level.grid
+    size = grid.size
+
+    @F.arrow_udf(types.HITS)
+    def hits(
+        kind: pa.Array, core: pa.Array, cx: pa.Array, cy: pa.Array, parity: pa.Array, edges: pa.Array,
+        own_parity: pa.Array, own_edges: pa.Array, mx: pa.Array, my: pa.Array,
+    ) -> pa.Array:
+        return covers.large_hits(kind, core, cx, cy, parity, edges, own_parity, own_edges, mx, my, size)
+
+    pairs = join_small(_covering_cells(features, grid, geom, centre), level.nested, TILE_KEYS, grid.can_broadcast_nested)
+    judged = pairs.withColumn(
+        "_hit",
+        hits.asNondeterministic()("_cover.kind", "core", "cx", "cy", "parity", "edges", "_cover.parity", "_cover.edges", "_mx", "_my"),
+    )
+    marks = {"touches": F.col("_hit.touches"), "centred": F.col("_hit.centred"), "in_core": F.lit(False)}
+    return judged.withColumns(marks).drop(*TILE_COLUMNS, "_hit", "_level", "_cover", "_mx", "_my")
 
 
 def features_of_zone(
@@ -528,20 +586,24 @@ def distance_to_boundary(
     y: str = "y",
     projected: bool = True,
 ) -> DataFrame:
-    """Distance from each assigned point to its own zone's border, in metres when projected.
+    """Points inside a zone with the distance to its border, in metres when projected.
 
-    The nearest edge may lie outside the point's cell, so the zone's full outline is looked
-    up by key: broadcast if the measured outlines are small, else joined by shuffle.
+    A tile knows the few edges that can be nearest to a point in it, so the join that finds
+    the zone brings them along; no zone's outline travels with its points.  The tiles are
+    measured, and broadcast within the bound.
     """
     index = as_index(zones)
-    outlines = index.zones.select(
-        F.col(index.zone_id).alias("zone_id"), shapes.outline(index.geom, projected).alias("_outline")
-    )
     px, py = geodesy.equal_area_xy(x, y) if projected else (F.col(x), F.col(y))
-    placed = assign_points(points, index, x, y).withColumns({"_px": px, "_py": py})
-    distance = shapes.boundary_distance("_px", "_py", "_outline")
-    joined = join_small(placed, outlines, ["zone_id"], index.outlines_fit)
-    return joined.withColumn("boundary_distance", distance).drop("_px", "_py", "_outline")
+
+    def on(level: Level) -> DataFrame:
+        tiles = settle(build_near_tiles(index.zones, level.grid, projected, index.zone_id, index.geom))
+        size = tiles.agg(F.coalesce(F.sum(96 + F.octet_length("edges") + F.octet_length("near")), F.lit(0))).first()[0]
+        cells = points.withColumns({"cx": level.grid.cell(F.col(x)), "cy": level.grid.cell(F.col(y)), "_px": px, "_py": py})
+        pairs = join_small(cells, tiles, ["cx", "cy"], size <= BROADCAST_BYTES)
+        found = pairs.withColumn("boundary_distance", _locate_near("core", x, y, "parity", "edges", "_px", "_py", "near"))
+        return found.filter(F.col("boundary_distance").isNotNull()).drop(*TILE_COLUMNS, "near", "_px", "_py")
+
+    return index.each(on)
 
 
 def window_read(

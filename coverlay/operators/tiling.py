@@ -15,13 +15,15 @@ polygon never travels with the features.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
-from coverlay.functions import kernels, shapes, types
+from coverlay.functions import covers, kernels, shapes, types
 
 # Cells per median zone side; finer grids mean more core cells but more tiles.
 SPLITS = (8, 4, 2)
@@ -31,6 +33,8 @@ BROADCAST_BYTES = 128 * 1024 * 1024
 CLASS_FACTOR = 4.0
 # Share of a cell by which tests are widened, so rounding never hides a neighbour.
 MARGIN = 1e-9
+# Levels of coarser cells above a grid's own, each twice as wide: what a large feature fills.
+LEVELS = 8
 # Zone vertices tiled by one task before the zones are spread over more tasks.
 VERTICES_PER_TASK = 500_000
 
@@ -39,13 +43,15 @@ VERTICES_PER_TASK = 500_000
 class Grid:
     """Square cells for one size class of zones; ``tile_bytes`` bounds their tile table.
 
-    ``size_class`` is the class of the zones on this grid, None for all zones.
+    ``size_class`` is the class of the zones on this grid, None for all zones; ``nested_bytes``
+    bounds the tile table with its coarser levels.
     """
 
     size: float
     tile_bytes: int
     vertices: int = 0
     size_class: int | None = None
+    nested_bytes: int = 0
 
     @property
     def margin(self) -> float:
@@ -55,6 +61,10 @@ class Grid:
     def can_broadcast(self) -> bool:
         return self.tile_bytes <= BROADCAST_BYTES
 
+    @property
+    def can_broadcast_nested(self) -> bool:
+        return max(self.nested_bytes, self.tile_bytes) <= BROADCAST_BYTES
+
     def cell(self, coordinate: Column) -> Column:
         """NULL for coordinates that are NaN, infinite or beyond every possible tile."""
         return F.when(F.abs(coordinate) < F.lit(2.0**31 * self.size), F.floor(coordinate / F.lit(self.size)).cast("int"))
@@ -107,16 +117,34 @@ def _bounded_grid(total: dict, size: float) -> Grid:
     t = {k: float(v or 0.0) for k, v in total.items() if k != "size_class"}
     tiles = t["area"] / size**2 + 2 * t["sides"] / size + 4 * t["zones"]
     copies = 2 * t["n_w"] / size + 4 * t["n"] + t["climb_w"] / size**2 + 2 * t["climb"] / size
-    return Grid(size, math.ceil(tiles * 96 + copies * 32), int(t["n"]), total["size_class"])
+    own = math.ceil(tiles * 96 + copies * 32)
+    # A level has a quarter of the cells of the one below, and up to four cells for any zone.
+    coarser = math.ceil((tiles / 3 + 4 * LEVELS * t["zones"]) * 96)
+    return Grid(size, own, int(t["n"]), total["size_class"], own + coarser)
 
 
 def build_tiles(zones: DataFrame, grid: Grid, zone_id: str = "zone_id", geom: str = "geom") -> DataFrame:
     """Tile table ``cx, cy, zone_id, core, parity, edges``; work grows with zone vertices only."""
     size, margin = grid.size, grid.margin
+    return _tiled(zones, grid, zone_id, geom, types.TILES, lambda shape: kernels.tiles_of(shape, size, margin))
+
+
+def build_nested_tiles(zones: DataFrame, grid: Grid, zone_id: str = "zone_id", geom: str = "geom") -> DataFrame:
+    """The tiles at ``_level`` 0, and each zone's cells on the coarser levels."""
+    size, margin = grid.size, grid.margin
+    return _tiled(zones, grid, zone_id, geom, types.NESTED, lambda shape: covers.nested_tiles(shape, size, margin, LEVELS))
+
+
+def build_near_tiles(zones: DataFrame, grid: Grid, projected: bool, zone_id: str = "zone_id", geom: str = "geom") -> DataFrame:
+    """The tiles with ``near``, the edges that can be nearest to a point of the tile."""
+    size, margin = grid.size, grid.margin
+    return _tiled(zones, grid, zone_id, geom, types.NEAR, lambda shape: covers.near_tiles(shape, size, margin, projected))
+
 
-    @F.arrow_udf(types.TILES)
+def _tiled(zones: DataFrame, grid: Grid, zone_id: str, geom: str, kind: ArrayType, cut: Callable[[pa.Array], pa.Array]) -> DataFrame:
+    @F.arrow_udf(kind)
     def tiles_of(shape: pa.Array) -> pa.Array:
-        return kernels.tiles_of(shape, size, margin)
+        return cut(shape)
 
     tasks = grid.vertices // VERTICES_PER_TASK
     source = zones.select(F.col(zone_id).alias("zone_id"), F.col(geom).alias("_geom"))
@@ -125,8 +153,8 @@ def build_tiles(zones: DataFrame, grid: Grid, zone_id: str = "zone_id", geom: st
         source = sized.filter(_side_class("_m") == grid.size_class).drop("_m")
     if tasks > 1:
         source = source.repartition(tasks, "zone_id")
-    cut = tiles_of.asNondeterministic()(F.col("_geom"))
-    return source.select("zone_id", cut.alias("_tiles")).select("zone_id", F.inline("_tiles"))
+    found = tiles_of.asNondeterministic()(F.col("_geom"))
+    return source.select("zone_id", found.alias("_tiles")).select("zone_id", F.inline("_tiles"))
 
 
 def join_tiles(features: DataFrame, tiles: DataFrame, grid: Grid) -> DataFrame:

@@ -67,6 +67,16 @@ def zones(spark: SparkSession, sf_dir: str, lonlat: bool = False) -> DataFrame:
     )
 
 
+def plots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``supplier`` as small square zones, many of them within one zone of ``nation``."""
+    key = F.col("s_suppkey")
+    x, y = (key * 7919) % 10000 / 100.0, (key * 104729) % 10000 / 100.0
+    side = (key % 5 + 1) / 8.0
+    return table(spark, sf_dir, "supplier").select(
+        F.lpad(key.cast("string"), 11, "0").alias("zone_id"), "s_nationkey", shapes.box_geom(x, y, x + side, y + side).alias("geom")
+    )
+
+
 def zone_index(spark: SparkSession, sf_dir: str, lonlat: bool = False) -> ZoneIndex:
     """Zones ready for joins."""
     return ZoneIndex(zones(spark, sf_dir, lonlat))
@@ -131,6 +141,12 @@ z AS (
   FROM nation JOIN region ON n_regionkey = r_regionkey
 )"""
 
+PLOTS_SQL = """
+s AS (
+  SELECT lpad(CAST(s_suppkey AS VARCHAR), 11, '0') AS plot_id, s_nationkey, sx, sy, (s_suppkey % 5 + 1)::DOUBLE / 8.0::DOUBLE AS side FROM (
+    SELECT *, ((s_suppkey * 7919) % 10000)::DOUBLE / 100.0::DOUBLE AS sx, ((s_suppkey * 104729) % 10000)::DOUBLE / 100.0::DOUBLE AS sy FROM supplier)
+)"""
+
 PLACES_SQL = """
 p AS (
   SELECT *, ((o_orderkey * 7919) % 10000)::DOUBLE / 100.0::DOUBLE AS px,
@@ -228,7 +244,7 @@ def geodesic_sql(inner: str, steps: int = 6) -> str:
       SELECT *, c2a * ({a} * {a} - {b} * {b}) / ({b} * {b}) AS q FROM ({sql})))"""
 
 
-LAYER_SQL = {"z": ZONES_SQL, "p": PLACES_SQL, "b": FOOTPRINTS_SQL, "r": ROADS_SQL, "lb": CLIPPED_SQL}
+LAYER_SQL = {"z": ZONES_SQL, "s": PLOTS_SQL, "p": PLACES_SQL, "b": FOOTPRINTS_SQL, "r": ROADS_SQL, "lb": CLIPPED_SQL}
 
 
 def layers_sql(names: str) -> str:

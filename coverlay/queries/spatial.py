@@ -12,7 +12,6 @@ from coverlay.operators.features import onto_zones
 from coverlay.operators.lineage import settle
 from coverlay.operators.ordering import exact_quantiles
 from coverlay.operators.sets import union_scopes
-from coverlay.operators.tiling import join_small
 from coverlay.plans import audit
 from coverlay.queries import layers as L
 from coverlay.queries.registry import query
@@ -100,6 +99,18 @@ def straddling_buildings(spark: SparkSession, d: str) -> DataFrame:
     return per.groupBy("n_zones").agg(F.count(F.lit(1)).alias("n_buildings"))
 
 
+@query(
+    "large_features_in_plots",
+    L.layers_sql("z s")
+    + """ SELECT z.zone_id AS district, plot_id FROM z JOIN s ON sx <= x0 + 20 AND sx + side >= x0 AND sy <= y0 + 20 AND sy + side >= y0""",
+)
+def large_features_in_plots(spark: SparkSession, d: str) -> DataFrame:
+    """Features many times the zones' size: covered by cells that follow their border."""
+    districts = L.zones(spark, d).select(F.col("zone_id").alias("district"), "geom")
+    pairs = sj.assign_by_intersection(districts, sj.ZoneIndex(L.plots(spark, d)), ["district"])
+    return pairs.select("district", F.col("zone_id").alias("plot_id"))
+
+
 @query(
     "line_clip_length",
     L.layers_sql("z p r lb")
@@ -293,18 +304,10 @@ e AS (SELECT a.zone_id, a.k, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y
       SELECT zone_id, count(*)::BIGINT AS n, round(avg(dist), 3) AS mean_m, round(max(dist), 3) AS max_m FROM m GROUP BY ALL""",
 )
 def distance_to_boundary_m(spark: SparkSession, d: str) -> DataFrame:
-    # Membership is decided in the plane, where border points are exact.
-    index = L.zone_index(spark, d)
-    held = sj.assign_points(L.places(spark, d), index)
-    outlines = L.zones(spark, d, lonlat=True).select("zone_id", shapes.outline("geom", projected=True).alias("outline"))
-    px, py = geodesy.equal_area_xy(L.LON0 + F.col("x") / L.LON_STEP, L.LAT0 + F.col("y") / L.LAT_STEP)
-    placed = held.select("zone_id", px.alias("px"), py.alias("py"))
-    measured = (
-        join_small(placed, outlines, ["zone_id"], index.outlines_fit)
-        .select("zone_id", shapes.boundary_distance("px", "py", "outline").alias("dist"))
-    )
+    measured = sj.distance_to_boundary(L.places(spark, d, lonlat=True), L.zone_index(spark, d, lonlat=True))
+    dist = F.col("boundary_distance")
     return measured.groupBy("zone_id").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("dist"), 3).alias("mean_m"), F.round(F.max("dist"), 3).alias("max_m")
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(dist), 3).alias("mean_m"), F.round(F.max(dist), 3).alias("max_m")
     )
 
 
