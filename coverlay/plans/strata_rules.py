@@ -24,36 +24,34 @@ BACKBONE_COLUMNS = (
 )
 POPULATION_COLUMNS = ("pop_total", "pop_urban", "pop_rural", "pct_urban", "ur_class")
 
-TABLES_BY_DOMAIN = {
-    "svi": ("national-svi-tract-table",),
-    "cvi": ("national-cvi-tract-table",),
-    "rurality": ("national-ruca-tract-table", "national-rucc-tract-table", "national-nchs-tract-table"),
-    "tribal": (
-        "national-tribal-tract-table",
-        "national-census-aiannh",
-        "national-census-tribal-subdivisions",
-        "national-census-tribal-tracts",
-    ),
-    "drought": ("national-usdm-drought-tract-table", "national-drought-gov-tract-table"),
-    "wildfire": (
-        "national-usfs-wildfire-tract-table",
-        "national-usgs-combined-tract-table",
-        "national-mtbs-tract-table",
-        "national-nifc-tract-table",
-        "national-fpa-fod-tract-table",
-        "national-carbonplan-tract-table",
-    ),
-    "heat": (
-        "national-epht-heat-tract-table",
-        "national-cdc-wonder-tract-table",
-        "national-cdc-wonder-heat-mortality",
-        "national-nasa-heat-tract-table",
-        "national-noaa-ghcn-tract-table",
-        "national-noaa-ghcn-stations",
-    ),
-    "geography": ("national-census-tract-table", "national-census-tracts"),
+TABLE_DOMAINS = {
+    "national-svi-tract-table": "svi",
+    "national-cvi-tract-table": "cvi",
+    "national-ruca-tract-table": "rurality",
+    "national-rucc-tract-table": "rurality",
+    "national-nchs-tract-table": "rurality",
+    "national-tribal-tract-table": "tribal",
+    "national-census-aiannh": "tribal",
+    "national-census-tribal-subdivisions": "tribal",
+    "national-census-tribal-tracts": "tribal",
+    "national-usdm-drought-tract-table": "drought",
+    "national-drought-gov-tract-table": "drought",
+    "national-usfs-wildfire-tract-table": "wildfire",
+    "national-usgs-combined-tract-table": "wildfire",
+    "national-mtbs-tract-table": "wildfire",
+    "national-nifc-tract-table": "wildfire",
+    "national-fpa-fod-tract-table": "wildfire",
+    "national-carbonplan-tract-table": "wildfire",
+    "national-epht-heat-tract-table": "heat",
+    "national-cdc-wonder-tract-table": "heat",
+    "national-cdc-wonder-heat-mortality": "heat",
+    "national-nasa-heat-tract-table": "heat",
+    "national-noaa-ghcn-tract-table": "heat",
+    "national-noaa-ghcn-stations": "heat",
+    "national-census-tract-table": "geography",
+    "national-census-tracts": "geography",
 }
-VALID_DOMAINS = (*TABLES_BY_DOMAIN, "population")
+VALID_DOMAINS = ("svi", "cvi", "rurality", "tribal", "drought", "wildfire", "heat", "geography", "population")
 
 # Role rules in priority order; the first that fits a column decides.
 EXACT_ROLES = {
@@ -176,8 +174,7 @@ def tag_rules(spark: SparkSession) -> DataFrame:
 
 
 def table_domains(spark: SparkSession) -> DataFrame:
-    rows = [(table, domain) for domain, tables in TABLES_BY_DOMAIN.items() for table in tables]
-    return spark.createDataFrame(rows, "source_table string, domain string")
+    return spark.createDataFrame(list(TABLE_DOMAINS.items()), "source_table string, domain string")
 
 
 def column_domains(spark: SparkSession) -> DataFrame:

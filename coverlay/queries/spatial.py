@@ -9,13 +9,13 @@ from coverlay.functions import geodesy, shapes
 from coverlay.operators import spatial_join as sj
 from coverlay.operators.contracts import contract_report
 from coverlay.operators.features import onto_zones
-from coverlay.operators.lineage import settle
+from coverlay.operators.lineage import settle, shared_folder
 from coverlay.operators.ordering import exact_quantiles
 from coverlay.operators.sets import union_scopes
 from coverlay.plans import audit
 from coverlay.queries import layers as L
 from coverlay.queries.registry import query
-from coverlay.sources import geo
+from coverlay.sources import geo, layout
 from coverlay.sources.contracts import LAYER_CONTRACTS
 from coverlay.sources.row_ids import read_numbered
 
@@ -178,6 +178,20 @@ def window_read(spark: SparkSession, d: str) -> DataFrame:
     return hits.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 4).alias("quantity"))
 
 
+@query(
+    "window_read_stored",
+    L.layers_sql("b")
+    + """ SELECT l_returnflag, count(*)::BIGINT AS n, round(sum(l_quantity), 4) AS quantity FROM b
+      WHERE bx1 <= 45.5 AND bx2 >= 30.0 AND by1 <= 50.25 AND by2 >= 20.0 GROUP BY ALL""",
+)
+def window_read_stored(spark: SparkSession, d: str) -> DataFrame:
+    """The layer written in the order of a curve, and a window of it read back."""
+    folder = shared_folder(spark, "layer")
+    layout.write_layer(L.footprints(spark, d).drop("geom"), folder, row_group_bytes=256 * 1024)
+    hits = geo.read_window(spark, folder, *WINDOW)
+    return hits.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 4).alias("quantity"))
+
+
 @query(
     "one_zone_features",
     L.layers_sql("z b")

@@ -76,7 +76,10 @@ def read_regions(spark: SparkSession, root: str, regions: list[str] | None = Non
 def read_window(
     spark: SparkSession, path: str, xmin: float, ymin: float, xmax: float, ymax: float, bbox: str | None = "bbox"
 ) -> DataFrame:
-    """Rows whose stored box meets the window, pruned in the scan before anything is decoded."""
+    """Rows whose stored box meets the window, pruned in the scan before anything is decoded.
+
+    On a layer written by ``layout.write_layer`` the scan skips the row groups elsewhere.
+    """
     return window_read(read_flat(spark, path), xmin, ymin, xmax, ymax, bbox)
 
 

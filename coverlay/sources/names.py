@@ -94,30 +94,72 @@ OUTPUT_COLUMNS = (
 OUTPUT_FLAGS = tuple(c for c in OUTPUT_COLUMNS if "defined" in c)
 OUTPUT_VALUES = tuple(c for c in OUTPUT_COLUMNS if c not in OUTPUT_FLAGS and c not in ("GEOID", "region"))
 
-# The curated strata columns; coverage flags are diagnostic, the rest research.
-STRATA_COLUMNS = tuple(
-    """
-    svi_overall svi_socioeconomic svi_household svi_minority svi_housing_transport svi_covered
-    tribal_any tribal_legal tribal_statistical tribal_pct tribal_legal_pct tribal_stat_pct
-    aiannh_kind aiannh_name
-    ruca_primary ruca_primary_desc ruca_pop_density ruca_covered
-    rucc_2023 rucc_desc rucc_metro rucc_covered
-    nchs_2013 nchs_2013_label nchs_covered
-    epht_heat_days_annual epht_heat_days_summer epht_covered
-    gehe_wbgt30_days_mean uhe_himax461_days_per_yr uhe_covered hwd_heatindex_mean
-    usfs_WHP_mean usfs_covered
-    mtbs_wildfire_burned_pct_land mtbs_wildfire_ever mtbs_covered
-    nifc_wildfire_ever fod_ignition_density carbonplan_bp_2011_mean
-    pmdi_mean pmdi_covered spi12_mean spi_covered
-    usdm_summer_pct_d2plus usdm_winter_pct_d2plus usdm_covered
-    cvi_overall cvi_baseline cvi_baseline_socioeconomic cvi_baseline_health
-    cvi_baseline_environment cvi_baseline_infrastructure
-    cvi_climate cvi_climate_extreme_events cvi_climate_health cvi_climate_socioeconomic cvi_covered
-    pop_total pop_urban pop_rural pct_urban ur_class
-    """.split()
-)
+# The curated strata columns and their roles.
 COMPETITION, RESEARCH, DIAGNOSTIC = "competition", "research", "diagnostic"
-COLUMN_ROLES = {
-    **{c: COMPETITION for c in (*GAP_COLUMNS, *GAP_FLAGS)},
-    **{c: DIAGNOSTIC if c.endswith("_covered") else RESEARCH for c in STRATA_COLUMNS},
+STRATA_ROLES = {
+    "svi_overall": RESEARCH,
+    "svi_socioeconomic": RESEARCH,
+    "svi_household": RESEARCH,
+    "svi_minority": RESEARCH,
+    "svi_housing_transport": RESEARCH,
+    "svi_covered": DIAGNOSTIC,
+    "tribal_any": RESEARCH,
+    "tribal_legal": RESEARCH,
+    "tribal_statistical": RESEARCH,
+    "tribal_pct": RESEARCH,
+    "tribal_legal_pct": RESEARCH,
+    "tribal_stat_pct": RESEARCH,
+    "aiannh_kind": RESEARCH,
+    "aiannh_name": RESEARCH,
+    "ruca_primary": RESEARCH,
+    "ruca_primary_desc": RESEARCH,
+    "ruca_pop_density": RESEARCH,
+    "ruca_covered": DIAGNOSTIC,
+    "rucc_2023": RESEARCH,
+    "rucc_desc": RESEARCH,
+    "rucc_metro": RESEARCH,
+    "rucc_covered": DIAGNOSTIC,
+    "nchs_2013": RESEARCH,
+    "nchs_2013_label": RESEARCH,
+    "nchs_covered": DIAGNOSTIC,
+    "epht_heat_days_annual": RESEARCH,
+    "epht_heat_days_summer": RESEARCH,
+    "epht_covered": DIAGNOSTIC,
+    "gehe_wbgt30_days_mean": RESEARCH,
+    "uhe_himax461_days_per_yr": RESEARCH,
+    "uhe_covered": DIAGNOSTIC,
+    "hwd_heatindex_mean": RESEARCH,
+    "usfs_WHP_mean": RESEARCH,
+    "usfs_covered": DIAGNOSTIC,
+    "mtbs_wildfire_burned_pct_land": RESEARCH,
+    "mtbs_wildfire_ever": RESEARCH,
+    "mtbs_covered": DIAGNOSTIC,
+    "nifc_wildfire_ever": RESEARCH,
+    "fod_ignition_density": RESEARCH,
+    "carbonplan_bp_2011_mean": RESEARCH,
+    "pmdi_mean": RESEARCH,
+    "pmdi_covered": DIAGNOSTIC,
+    "spi12_mean": RESEARCH,
+    "spi_covered": DIAGNOSTIC,
+    "usdm_summer_pct_d2plus": RESEARCH,
+    "usdm_winter_pct_d2plus": RESEARCH,
+    "usdm_covered": DIAGNOSTIC,
+    "cvi_overall": RESEARCH,
+    "cvi_baseline": RESEARCH,
+    "cvi_baseline_socioeconomic": RESEARCH,
+    "cvi_baseline_health": RESEARCH,
+    "cvi_baseline_environment": RESEARCH,
+    "cvi_baseline_infrastructure": RESEARCH,
+    "cvi_climate": RESEARCH,
+    "cvi_climate_extreme_events": RESEARCH,
+    "cvi_climate_health": RESEARCH,
+    "cvi_climate_socioeconomic": RESEARCH,
+    "cvi_covered": DIAGNOSTIC,
+    "pop_total": RESEARCH,
+    "pop_urban": RESEARCH,
+    "pop_rural": RESEARCH,
+    "pct_urban": RESEARCH,
+    "ur_class": RESEARCH,
 }
+STRATA_COLUMNS = tuple(STRATA_ROLES)
+COLUMN_ROLES = {c: COMPETITION for c in (*GAP_COLUMNS, *GAP_FLAGS)} | STRATA_ROLES
