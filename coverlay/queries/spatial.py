@@ -15,7 +15,7 @@ from coverlay.operators.sets import union_scopes
 from coverlay.plans import audit
 from coverlay.queries import layers as L
 from coverlay.queries.registry import query
-from coverlay.sources import geo, layout
+from coverlay.sources import geo, layout, tables
 from coverlay.sources.contracts import LAYER_CONTRACTS
 from coverlay.sources.row_ids import read_numbered
 
@@ -594,3 +594,66 @@ def layer_load(spark: SparkSession, d: str) -> DataFrame:
     return loaded.groupBy(F.col("categories.primary").alias("o_orderpriority")).agg(
         F.count(F.lit(1)).alias("n"), F.round(F.min("xmin"), 6).alias("west"), F.round(F.max("ymax"), 6).alias("north")
     )
+
+
+@query(
+    "strata_loaded",
+    L.layers_sql("z")
+    + """ SELECT zone_id AS "GEOID", region, round(-120.0::DOUBLE + x0 / 4, 6) AS west, round(30.0::DOUBLE + y0 / 10, 6) AS south FROM z
+      UNION ALL SELECT lpad(CAST(s_suppkey AS VARCHAR), 11, '0'), NULL, NULL, NULL FROM supplier""",
+)
+def strata_loaded(spark: SparkSession, d: str) -> DataFrame:
+    """A strata table with geometry and one without, each stored and loaded through its guards."""
+    folder = shared_folder(spark, "strata")
+    L.zones(spark, d, lonlat=True).select(F.col("zone_id").alias("GEOID"), "region", geo.encode_wkb("geom").alias("geometry")).write.parquet(f"{folder}/geo")
+    L.table(spark, d, "supplier").select(F.lpad(F.col("s_suppkey").cast("string"), 11, "0").alias("GEOID"), "s_acctbal").write.parquet(f"{folder}/flat")
+    tracts = geo.require_kind(geo.load_strata_geo(spark, f"{folder}/geo"), (shapes.POLYGON,))
+    flat = geo.load_strata_flat(spark, f"{folder}/flat")
+    places = tracts.select("GEOID", "region", F.round("xmin", 6).alias("west"), F.round("ymin", 6).alias("south"))
+    return union_scopes([places, flat.select("GEOID")])
+
+
+@query(
+    "region_partitions",
+    """SELECT r_name AS region, count(*)::BIGINT AS n, round(sum(c_acctbal), 2) AS balance
+      FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+      WHERE r_name IN ('ASIA', 'EUROPE') GROUP BY ALL""",
+)
+def region_partitions(spark: SparkSession, d: str) -> DataFrame:
+    """A table written by region and some of its regions read back: the others are not listed."""
+    folder = shared_folder(spark, "regions")
+    nations = L.table(spark, d, "nation").join(L.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    customers = L.table(spark, d, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    tables.write_regions(customers.select("c_custkey", "c_acctbal", F.col("r_name").alias("region")), folder)
+    some = geo.read_regions(spark, folder, ["ASIA", "EUROPE"])
+    return some.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+
+
+@query(
+    "manifest_from_csv",
+    """SELECT lpad(CAST(n_nationkey AS VARCHAR), 11, '0') AS "GEOID", r_name AS region, CAST(n_nationkey AS DOUBLE) AS code, CAST(NULL AS DOUBLE) AS name
+      FROM nation JOIN region ON n_regionkey = r_regionkey""",
+)
+def manifest_from_csv(spark: SparkSession, d: str) -> DataFrame:
+    """A key list through CSV: keys keep their zeros, other columns are numbers or nothing."""
+    folder = shared_folder(spark, "manifest")
+    nations = L.table(spark, d, "nation").join(L.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = nations.select(F.lpad(F.col("n_nationkey").cast("string"), 11, "0").alias("GEOID"), F.col("r_name").alias("region"), F.col("n_nationkey").alias("code"), F.col("n_name").alias("name"))
+    tables.write_csv(rows, folder)
+    return tables.load_manifest(spark, folder)
+
+
+@query(
+    "crosswalk_from_csv",
+    """SELECT lpad(CAST(n_regionkey AS VARCHAR), 2, '0') || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS county_fips, CAST(n_nationkey AS INTEGER) AS "CODE2013",
+      CASE WHEN n_nationkey % 2 = 0 THEN CAST(n_nationkey AS INTEGER) END AS "CODE2023" FROM nation""",
+)
+def crosswalk_from_csv(spark: SparkSession, d: str) -> DataFrame:
+    """County codes through CSV, their keys put together from numbers without zeros."""
+    folder = shared_folder(spark, "crosswalk")
+    code = F.col("n_nationkey")
+    rows = L.table(spark, d, "nation").select(
+        F.col("n_regionkey").alias("STFIPS"), code.alias("CTYFIPS"), code.cast("double").alias("CODE2013"), F.when(code % 2 == 0, code.cast("string")).otherwise("none").alias("CODE2023")
+    )
+    tables.write_csv(rows, folder)
+    return tables.load_crosswalk(spark, folder).select("county_fips", "CODE2013", "CODE2023")
