@@ -34,7 +34,7 @@ def features(rng):
     return {k: v for k, v in out.items() if len(edges_of(v)) >= 3}
 
 
-@pytest.mark.parametrize("large_cells, split, broadcast", [(0, 1.0, True), (16, 0.31, False), (0, 0.1, True)])
+@pytest.mark.parametrize("large_cells, split, broadcast", [(0, 1.0, True), (16, 0.31, False)])
 def test_large_polygons_equal_brute_force(spark, world, monkeypatch, large_cells, split, broadcast):
     monkeypatch.setattr(sj, "LARGE_CELLS", large_cells)
     zones, frame = world
