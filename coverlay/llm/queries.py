@@ -19,7 +19,7 @@ from coverlay.llm.sharding import shuffle_into_shards
 from coverlay.llm.superminhash import near_duplicates as near_documents
 from coverlay.llm.topk import top_k
 from coverlay.llm.toxicity import score_toxicity
-from coverlay.llm.urls import Rule, filter_urls
+from coverlay.llm.urls import Rule, after_scheme, filter_urls, path_of
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 RULES = (
@@ -68,6 +68,17 @@ def url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return filter_urls(_table(spark, folder, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict", "alias")
 
 
+def url_aliases(spark: SparkSession, folder: str) -> DataFrame:
+    """The same rules where addresses with one path are mirrors: each redirects to the
+    smallest url of its path, so a block spreads over hosts."""
+    pages = _table(spark, folder, "pages")
+    path = path_of(after_scheme(F.col("url")))
+    pathed = pages.filter(F.instr("url", "://") > 0).select("url", F.when(path == "", "/").otherwise(path).alias("mirrored"))
+    targets = pathed.groupBy("mirrored").agg(F.min("url").alias("to_url"))
+    redirects = pathed.join(targets, "mirrored").select(F.col("url").alias("from_url"), "to_url")
+    return filter_urls(pages, RULES, redirects=redirects).select("page_id", "host", "path", "rule", "verdict", "alias")
+
+
 def document_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_documents(_table(spark, folder, "documents"), shingle=3, percent=85)
 
@@ -124,6 +135,33 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict, CAST(NU
 FROM split LEFT JOIN (SELECT * FROM fits WHERE place = 1) USING (page_id)
 """
 
+ALIAS_SQL = """
+WITH parts AS (
+    SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest
+    FROM pages),
+split AS (
+    SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS tail
+    FROM parts),
+rules(verdict, rule_host, rule_path) AS (VALUES
+    ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+nodes AS (
+    SELECT *, CASE WHEN path = '' THEN '/' ELSE path END AS mirrored,
+        CASE WHEN host <> '' THEN host || CASE WHEN starts_with(tail, '/') THEN tail ELSE '/' || tail END END AS node
+    FROM split),
+judged AS (
+    SELECT page_id, mirrored, rule_host || rule_path AS rule, verdict, starts_with(path, rule_path) AS own,
+        row_number() OVER (PARTITION BY page_id, starts_with(path, rule_path) ORDER BY length(rule_host || rule_path) DESC) AS place
+    FROM nodes JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(mirrored, rule_path)),
+longest AS (SELECT page_id, arg_max(verdict, length(rule)) AS verdict FROM judged GROUP BY page_id),
+mirrors AS (
+    SELECT mirrored, min(node) AS alias, count(DISTINCT node) AS n, bool_or(coalesce(verdict = 'block', false)) AS blocked
+    FROM nodes LEFT JOIN longest USING (page_id) WHERE node IS NOT NULL GROUP BY mirrored)
+SELECT page_id, host, path, j.rule, coalesce(j.verdict, CASE WHEN n > 1 AND blocked THEN 'block' ELSE 'allow' END) AS verdict,
+    CASE WHEN n > 1 AND node IS NOT NULL THEN alias END AS alias
+FROM nodes LEFT JOIN (SELECT * FROM judged WHERE own AND place = 1) j USING (page_id) LEFT JOIN mirrors ON nodes.mirrored = mirrors.mirrored AND node IS NOT NULL
+"""
+
 TOP_SQL = """
 WITH whole AS (
     SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
@@ -215,6 +253,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": sharding,
     "op4_embedding_duplicates": embedding_duplicates,
     "op5_url_filter": url_filter,
+    "url_aliases": url_aliases,
     "op6_minhash_duplicates": document_duplicates,
     "op7_exact_top_k": nearest,
     "op8_quality": quality,
@@ -225,9 +264,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_line_dedup": shared_lines,
 }
 #: Queries that SQL can state; pages of the given tables hold no canonical or refresh tags,
-#: which the tests cover instead.
+#: which the tests cover instead, so there op5 has rules only and url_aliases has redirects.
 CHECKS = {
     "op5_url_filter": URL_SQL,
+    "url_aliases": ALIAS_SQL,
     "op7_exact_top_k": TOP_SQL,
     "op11_phrases": PHRASE_SQL,
     "op12_ranked_search": RANKED_SQL,

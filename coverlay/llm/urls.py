@@ -12,9 +12,17 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from coverlay.llm.columns import ascii_lower
 from coverlay.llm.components import components
+from coverlay.operators.lineage import settle
+from coverlay.operators.lookup import lookup
+
+#: Rules that take at most this many bytes are broadcast.
+BROADCAST_BYTES = 32 << 20
+#: What a broadcast row takes beside its texts, about.
+RULE_BYTES = 100
 
 
 class Rule(NamedTuple):
@@ -43,19 +51,50 @@ def path_of(rest: Column) -> Column:
     return F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
 
 
-def judge(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
-    """The longest rule that fits as ``struct<rule, verdict>``, null if none fits.
+def rule_table(rules: DataFrame) -> DataFrame:
+    """``rule_host, rule_path, verdict, rule``, one row for each host and path.
+
+    Of two verdicts for one host and path the allow counts.  Rules with a null are left out.
+    """
+    whole = rules.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), "verdict").dropna()
+    return whole.groupBy("rule_host", "rule_path").agg(F.min("verdict").alias("verdict")).withColumn("rule", F.concat("rule_host", "rule_path"))
+
+
+def _attach(rows: DataFrame, table: DataFrame, keys: list[str], found: str, spread: Sequence[Column | str]) -> DataFrame:
+    """Left join that adds ``found``, the columns of ``table`` as a struct; hot keys are split."""
+    weighed = table.join(rows.groupBy(*keys).agg(F.count("*").alias("_n")), keys)
+    return lookup(rows, weighed, keys, "_n", rows.count(), found, spread)
+
 
-    Rules of one length: allow before block, then by name.  The rules are a list in the
-    program, a chain of conditions in the plan; no rules judge nothing.
+def judge(addresses: DataFrame, rules: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``host, path, rule, verdict``: the longest rule that fits, for addresses with one.
+
+    ``addresses`` holds distinct ``host, path``.  Rules of one length: allow before block,
+    then by name.  Hosts are cut into their last labels, as many as a rule's host has, and
+    paths to the lengths that the rules of a found host have, so that both joins are on equal
+    keys and a page meets the rules that fit it, however many there are.  Rules that measure
+    at most ``broadcast_bytes`` are broadcast; more are shuffled, hot hosts split.
     """
-    chosen = F.lit(None).cast("struct<rule:string,verdict:string>")
-    # The last rule is the outermost condition and wins.
-    by_name = sorted(set(rules), key=lambda r: r.name, reverse=True)
-    for rule in sorted(by_name, key=lambda r: (len(r.name), r.verdict == "allow")):
-        fits = ((host == rule.host) | F.endswith(host, F.lit("." + rule.host))) & F.startswith(path, F.lit(rule.path))
-        chosen = F.when(fits, F.struct(F.lit(rule.name).alias("rule"), F.lit(rule.verdict).alias("verdict"))).otherwise(chosen)
-    return chosen
+    table = settle(rule_table(rules))
+    labels = F.size(F.split("rule_host", r"\."))
+    measured = table.agg(F.max(labels).alias("labels"), F.sum(F.octet_length("rule") * 2 + RULE_BYTES).alias("bytes")).first()
+    small = (measured["bytes"] or 0) <= broadcast_bytes
+
+    def meet(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+        if small:
+            return rows.join(F.broadcast(other), keys)
+        values = [c for c in other.columns if c not in keys]
+        return _attach(settle(rows), other, keys, "_met", ["host", "path"]).filter("_met IS NOT NULL").select(*rows.columns, *(f"_met.{v}" for v in values))
+
+    hosts = table.groupBy("rule_host").agg(F.collect_set(F.char_length("rule_path")).alias("lengths"))
+    cuts = F.sequence(F.lit(1), F.least(F.size(F.split("host", r"\.")), F.lit(measured["labels"] or 1)))
+    last = F.call_function("substring_index", F.col("host"), F.lit("."), -F.col("cut"))
+    named = addresses.select("host", "path", F.explode(cuts).alias("cut")).select("host", "path", last.alias("rule_host"))
+    lengths = F.filter("lengths", lambda n: n <= F.char_length("path"))
+    starts = meet(named, hosts, ["rule_host"]).select("host", "path", "rule_host", F.explode(lengths).alias("cut"))
+    starts = starts.select("host", "path", "rule_host", F.substr("path", F.lit(1), F.col("cut")).alias("rule_path"))
+    best = F.min(F.struct(-F.char_length("rule"), "verdict", "rule")).alias("best")
+    return meet(starts, table, ["rule_host", "rule_path"]).groupBy("host", "path").agg(best).select("host", "path", "best.rule", "best.verdict")
 
 
 def address(rest: Column) -> Column:
@@ -97,33 +136,49 @@ def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return found.select(address(F.col("rest")).alias("a"), _target(F.col("link"), F.col("rest")).alias("b"))
 
 
-def filter_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", html: str = "html", redirects: DataFrame | None = None, otherwise: str = "allow") -> DataFrame:
+def filter_urls(
+    pages: DataFrame,
+    rules: DataFrame | Sequence[Rule],
+    url: str = "url",
+    html: str = "html",
+    redirects: DataFrame | None = None,
+    otherwise: str = "allow",
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
     """Every page with ``host, path, rule, verdict, alias`` added.
 
+    ``rules`` is a table with ``verdict, host, path`` or a short list; no rules judge nothing.
     ``redirects`` may hold ``from_url, to_url``.  ``verdict`` is the longest rule's; without
     one it is ``block`` if an alias is blocked by a rule, else ``otherwise``.  ``alias`` is
     the smallest address of the page's component, null if the page has no alias.  A null or
-    schemeless url has an empty host and path and the verdict ``otherwise``; null and empty
-    pages give no edges; equal rows are judged alike.  The added columns must not exist.
+    schemeless url has an empty host and path and no alias; null and empty pages give no
+    edges; equal rows are judged alike; an empty table gives no rows.  The added columns must
+    not exist, in any case of letters; other columns may have any name.
     """
-    clash = {"host", "path", "rule", "verdict", "alias"} & set(pages.columns)
+    clash = {"host", "path", "rule", "verdict", "alias"} & {c.lower() for c in pages.columns}
     if clash:
         raise ValueError(f"columns exist already: {sorted(clash)}")
+    if not isinstance(rules, DataFrame):
+        rules = pages.sparkSession.createDataFrame(list(rules), "verdict string, host string, path string")
     edges = page_edges(pages, url, html)
     if redirects is not None:
         a, b = (after_scheme(F.col(c)) for c in ("from_url", "to_url"))
         given = redirects.filter((host_of(a) != "") & (host_of(b) != ""))
         edges = edges.unionByName(given.select(address(a).alias("a"), address(b).alias("b")))
-    linked = components(edges)
-    node = F.col("node")
-    own = judge(host_of(node), path_of(node), rules)["verdict"]
-    bad = linked.withColumn("blocked", own == "block").groupBy("component").agg(F.max(F.coalesce("blocked", F.lit(False))).alias("blocked"))
-    aliases = linked.join(bad, "component").select(F.col("node").alias("_node"), F.col("component").alias("alias"), F.col("blocked").alias("_blocked"))
-    rest = after_scheme(F.col(url))
-    judged = pages.withColumns({"host": host_of(rest), "path": path_of(rest), "_node": F.when(host_of(rest) != "", address(rest))}).withColumn(
-        "_judged", judge(F.col("host"), F.col("path"), rules)
+    # Names of our own, so that no column of the pages is in the way.
+    held = {c: f"in{i}" for i, c in enumerate(pages.columns)}
+    rest = after_scheme(F.col(held[url]))
+    view = pages.toDF(*held.values()).withColumns({"host": host_of(rest), "path": path_of(rest), "node": F.when(host_of(rest) != "", address(rest))})
+    spread = [held[f.name] for f in pages.schema.fields if f.name != html and isinstance(f.dataType, AtomicType)]
+    linked = settle(components(edges).withColumns({"host": host_of(F.col("node")), "path": path_of(F.col("node"))}))
+    judged = settle(judge(view.select("host", "path").union(linked.select("host", "path")).distinct(), rules, broadcast_bytes))
+    bad = _attach(linked, judged, ["host", "path"], "own", ["node"]).groupBy("component").agg(
+        F.coalesce(F.max(F.col("own.verdict") == "block"), F.lit(False)).alias("blocked")
     )
-    verdict = F.coalesce("_judged.verdict", F.when(F.col("_blocked"), F.lit("block")).otherwise(otherwise))
-    return judged.join(aliases, "_node", "left").select(
-        *pages.columns, "host", "path", F.col("_judged.rule").alias("rule"), verdict.alias("verdict"), "alias"
+    aliases = _attach(linked.select("node", "component"), settle(bad), ["component"], "all", ["node"])
+    aliases = settle(aliases.select("node", F.col("component").alias("alias"), "all.blocked"))
+    known = _attach(_attach(view, judged, ["host", "path"], "own", spread), aliases, ["node"], "other", spread)
+    verdict = F.coalesce("own.verdict", F.when(F.col("other.blocked"), F.lit("block")).otherwise(otherwise))
+    return known.select(
+        *(F.col(c).alias(name) for name, c in held.items()), "host", "path", F.col("own.rule").alias("rule"), verdict.alias("verdict"), F.col("other.alias").alias("alias")
     )

@@ -219,9 +219,16 @@ def test_crc_of_the_key(spark):
     assert got == {i: zlib.crc32(str(i).encode()) % 5 for i in range(50)} | {None: 0}
 
 
+def judged_by(spark, pages, rules, **kwargs):
+    """The rule and verdict of each (host, path), through the operator's joins."""
+    table = spark.createDataFrame(list(rules), "verdict string, host string, path string")
+    got = urls.judge(spark.createDataFrame(list(pages), "host string, path string"), table, **kwargs).collect()
+    assert len(got) == len({(r["host"], r["path"]) for r in got})
+    return {(r["host"], r["path"]): (r["rule"], r["verdict"]) for r in got}
+
+
 def test_rules_of_one_length_allow_first_then_by_name(spark):
-    page = spark.createDataFrame([("a.com", "/abc")], "host string, path string")
-    judged = lambda *rules: page.select(urls.judge(F.col("host"), F.col("path"), rules).alias("j")).first()["j"]
+    judged = lambda *rules: judged_by(spark, [("a.com", "/abc")], rules)["a.com", "/abc"]
     allow, block = urls.Rule("allow", "a.com", "/"), urls.Rule("block", "com", "/ab")
     assert len(allow.name) == len(block.name)
     for rules in ((allow, block), (block, allow)):
@@ -229,3 +236,31 @@ def test_rules_of_one_length_allow_first_then_by_name(spark):
     other = urls.Rule("allow", "com", "/ab")
     assert judged(other, allow) == judged(allow, other) == ("a.com/", "allow")
     assert judged(allow, urls.Rule("block", "com", "/abc")) == ("com/abc", "block")
+    assert judged(block, other) == ("com/ab", "allow")
+
+
+def test_a_hundred_thousand_rules_broadcast_or_shuffled(spark):
+    rules = [urls.Rule(("block", "allow")[i % 7 == 0], f"h{i % 20_000}.{('org', 'net', 'co.uk')[i % 3]}", "/" + "p/" * (i // 20_000)) for i in range(100_000)]
+    rules += [urls.Rule("block", "org", "/p/p"), urls.Rule("allow", "", ""), urls.Rule("block", "uk", "")]
+    pages = [(f"{sub}h{i}.{top}", path) for i in range(0, 20_000, 97) for sub in ("", "www.", "a.b.", "x") for top in ("org", "net", "co.uk") for path in ("", "/", "/p/p/", "/p/p/p/p/q")]
+    pages += [("", ""), ("org.", "/p/p"), (".org", "/p/p"), ("a" * 5000 + ".org", "/p/p" * 500)]
+    by_host = defaultdict(list)
+    for r in rules:
+        by_host[r.host].append(r)
+    want = {}
+    for host, path in pages:
+        labels = host.split(".")
+        fits = [r for k in range(len(labels)) for r in by_host[".".join(labels[k:])] if path.startswith(r.path)]
+        if fits:
+            best = min(fits, key=lambda r: (-len(r.name), r.verdict, r.name))
+            want[host, path] = best.name, best.verdict
+    assert judged_by(spark, pages, rules) == judged_by(spark, pages, rules, broadcast_bytes=0) == want
+
+
+def test_pages_with_columns_of_any_name(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/es/1", None, 1, "x", 2, {"k": 1})] * 2, "page_id long, url string, html string, node int, _n string, _lookup_turn int, m map<string,int>")
+    got = urls.filter_urls(pages, RULES).collect()
+    assert [(*r[:7], r["verdict"], r["alias"]) for r in got] == [(*pages.first(), "block", None)] * 2
+    with pytest.raises(ValueError):
+        urls.filter_urls(pages.withColumnRenamed("m", "Verdict"), RULES)
+    assert {r["verdict"] for r in urls.filter_urls(pages, []).collect()} == {"allow"}
