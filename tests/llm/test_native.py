@@ -117,6 +117,45 @@ def test_hypergeometric_draws(spark):
         assert spark.range(3).select(sharding.hypergeometric(*(F.lit(x).cast("long") for x in (n, k, d)), uniform(F.col("id")))).distinct().collect() == [(want,)]
 
 
+@pytest.mark.parametrize("total, good, draws", [(20_000, 1250, 10_000), (1000, 500, 500), (20_000, 19_000, 700)])
+def test_wide_draws_follow_the_law(spark, total, good, draws):
+    column = sharding.hypergeometric(*(F.lit(x).cast("long") for x in (total, good, draws)), uniform(1, F.col("id")))
+    got = Counter(r[0] for r in spark.range(50_000).select(column).collect())
+    log = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    likely = {x: 50_000 * math.exp(log(good, x) + log(total - good, draws - x) - log(total, draws)) for x in range(max(0, draws - total + good), min(good, draws) + 1)}
+    likely = {x: e for x, e in likely.items() if e > 20}
+    chi = sum((got[x] - e) ** 2 / e for x, e in likely.items())
+    assert chi < len(likely) + 5 * math.sqrt(2 * len(likely))
+    assert sum(got[x] for x in likely) > 49_000
+
+
+def test_matrix_of_many_partitions_in_several_tasks(spark):
+    sizes = spark.range(4096).select(F.col("id").cast("int").alias("part"), (F.lit(20_000) + F.col("id") % 100).alias("n"))
+    matrix = sharding.communication_matrix(sizes, 12, 16)
+    assert matrix.rdd.getNumPartitions() >= 16
+    rows = matrix.collect()
+    assert len(rows) == 4096 and all(sum(r["counts"]) == 20_000 + r["part"] % 100 for r in rows)
+    shards = [sum(r["counts"][k] for r in rows) for k in range(16)]
+    assert max(shards) - min(shards) <= 1
+
+
+def test_shards_depend_on_no_setting_and_touch_no_column(spark):
+    df = spark.range(3000).select("id", F.lit(7).alias("part"), F.lit("keep").alias("place"), F.lit(1).alias("_start"), F.lit(2).alias("in0"), F.lit(3).alias("cuts"))
+    setting, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (4, 64, 211):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            out = sharding.shuffle_into_shards(df, ["id"], seed=2)
+            assert out.columns == [*df.columns, "shard", "slot"]
+            seen.append(sorted(out.collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", setting)
+    assert seen[0] == seen[1] == seen[2]
+    assert {tuple(r[1:6]) for r in seen[0]} == {(7, "keep", 1, 2, 3)}
+    with pytest.raises(ValueError):
+        sharding.shuffle_into_shards(df.withColumnRenamed("cuts", "Slot"), ["id"])
+
+
 def test_communication_matrix_has_the_given_sums(spark):
     sizes = {0: 500, 1: 0, 2: 3, 3: 120, 5: 77}
     rows = spark.createDataFrame([(p, n) for p, n in sizes.items()], "part int, n long")
