@@ -1,9 +1,10 @@
 """Exact top-k by inner product: columnar branch and bound.
 
-Candidates lie in blocks, one row of numbers per dimension.  A block of queries walks the
-dimensions a few at a time and adds up partial scores; what a candidate can still gain is at
-most the product of the two vectors' remaining norms, so candidates whose bound is below a
-query's k-th best score are dropped and the block is compacted as soon as few are left.
+Candidates lie in blocks, one row of numbers per dimension, the dimensions with the largest
+squares first.  A query walks the dimensions a few at a time and adds up partial scores; what
+a candidate can still gain is at most the product of the two vectors' remaining norms.  At
+each look the most promising candidates are scored in full, which raises the query's floor,
+and its own list of candidates is compacted to those whose bound reaches the floor.
 """
 
 from __future__ import annotations
@@ -18,50 +19,56 @@ from coverlay.operators.lineage import settle
 
 #: Rows of a block of candidates and of queries, about.
 CANDIDATES, QUERIES = 16_384, 1_024
+#: Queries whose first partial scores are computed together.
+GROUP = 64
 #: Dimensions added between two looks at the bounds.
 STEP = 16
 
 
-def scan_block(queries: np.ndarray, columns: np.ndarray, skip: np.ndarray, ids: np.ndarray, k: int, step: int = STEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def scan_block(
+    queries: np.ndarray, columns: np.ndarray, skip: np.ndarray, ids: np.ndarray, k: int, step: int = STEP, seen: list[int] | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ``k`` best candidates of each query as ``query row, candidate row, score``.
 
     ``queries``: one row each; ``columns``: one row per dimension; integers.  ``skip``: a
-    candidate id that a query must not return.  Ties go to the smaller id.
+    candidate id that a query must not return.  Ties go to the smaller id.  Bounds are
+    doubles, widened by their rounding; scores are 64-bit integers.  ``seen`` receives how
+    many candidates each look adds up, all queries together.
     """
-    n_queries, n = len(queries), columns.shape[1]
-    dims = columns.shape[0]
-    rest = [np.sqrt((columns[d:].astype(np.float64) ** 2).sum(0)) for d in range(0, dims, step)] + [np.zeros(n)]
-    by_norm = np.argsort(-rest[0], kind="stable")[: max(4 * k, 64)] if n else np.zeros(0, np.int64)
-    q = queries.astype(np.float64)
-    rows_out, cands_out, scores_out = [], [], []
-    # The k-th best of the candidates with the largest norms bounds each query's k-th best.
-    trial = q @ columns[:, by_norm].astype(np.float64)
-    trial[ids[by_norm][None, :] == skip[:, None]] = -np.inf
-    floor = np.full(n_queries, -np.inf)
-    if len(by_norm) > k:
-        floor = -np.partition(-trial, k - 1, axis=1)[:, k - 1]
-    alive = np.arange(n)
-    held = columns
-    score = np.zeros((n_queries, n))
-    for turn, d in enumerate(range(0, dims, step)):
-        score += q[:, d : d + step] @ held[d : d + step].astype(np.float64)
-        left = np.sqrt((q[:, d + step :] ** 2).sum(1))
-        reach = score + left[:, None] * rest[turn + 1][alive][None, :]
-        if len(alive) > k:
-            # Scores are whole numbers: half a unit is beyond any rounding.
-            keep = (reach >= floor[:, None] - 0.5).any(0)
-            if keep.sum() < 0.8 * len(alive):
-                alive, score, held = alive[keep], score[:, keep], held[:, keep]
-    score = np.rint(score).astype(np.int64)
-    for i in range(n_queries):
-        own = np.flatnonzero(ids[alive] != skip[i])
-        if len(own) > k:
-            kth = -np.partition(-score[i, own], k - 1)[k - 1]
-            own = own[score[i, own] >= kth]
-        best = own[np.lexsort((ids[alive][own], -score[i, own]))][:k]
-        rows_out.append(np.full(len(best), i))
-        cands_out.append(alive[best])
-        scores_out.append(score[i, best])
+    dims, n = columns.shape
+    by_energy = np.argsort(-(columns.astype(np.float64) ** 2).sum(1), kind="stable")
+    whole_c, whole_q = columns[by_energy], queries[:, by_energy]
+    c, q = whole_c.astype(np.float64), whole_q.astype(np.float64)
+    looks = list(range(0, dims, step))
+    rest = [np.sqrt((c[d:] ** 2).sum(0)) for d in looks] + [np.zeros(n)]
+    left = [np.sqrt((q[:, d:] ** 2).sum(1)) for d in looks] + [np.zeros(len(q))]
+    # Rounding of a sum of products, on both sides of a comparison.
+    slack = 0.5 + dims * 2.0**-50 * (left[0] * rest[0].max(initial=0.0))
+    counts = [0] * len(looks)
+    rows_out, cands_out, scores_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for first in range(0, len(q), GROUP):
+        partial = q[first : first + GROUP, :step] @ c[:step]
+        for i in range(first, min(first + GROUP, len(q))):
+            alive = np.flatnonzero(ids != skip[i])
+            score, floor = partial[i - first, alive], -np.inf
+            for turn, d in enumerate(looks):
+                counts[turn] += len(alive)
+                if turn:
+                    part = c[d : d + step]
+                    score = score + (q[i, d : d + step] @ part[:, alive] if 2 * len(alive) < n else (q[i, d : d + step] @ part)[alive])
+                if len(alive) > k:
+                    reach = score + left[turn + 1][i] * rest[turn + 1][alive]
+                    hopeful = alive[np.argpartition(-reach, k - 1)[:k]]
+                    floor = max(floor, (q[i] @ c[:, hopeful]).min())
+                    keep = reach >= floor - slack[i]
+                    alive, score = alive[keep], score[keep]
+            exact = whole_q[i] @ whole_c[:, alive]
+            best = np.lexsort((ids[alive], -exact))[:k]
+            rows_out.append(np.full(len(best), i))
+            cands_out.append(alive[best])
+            scores_out.append(exact[best])
+    if seen is not None:
+        seen.extend(counts)
     return np.concatenate(rows_out), np.concatenate(cands_out), np.concatenate(scores_out)
 
 
@@ -84,7 +91,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
     Components become ``floor(scale * x)``, computed in double precision.  All rows but the
     query's own are candidates; ties go to the smaller id; fewer rows than ``k`` are all
     returned.  Null vectors, vectors with a null, NaN or infinite component and rows with a
-    null id take no part.  Vectors are compared with those of their own length.  Blocks are
+    null id take no part.  Scaled components and scores must fit 64-bit integers; they are exact
+    to that range.  Vectors are compared with those of their own length.  Blocks are
     bounded however many rows there are; the work is queries times candidates less what the
     bounds cut.  An empty table gives no rows.  ``key`` must be unique.
     """

@@ -161,6 +161,23 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(df.filter("vec_id = 20"), F.lit(True)).count() == 0
 
 
+def test_scan_block_cuts_most_candidates_and_is_exact_in_long_integers():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(20, 64))
+    vectors = np.floor(64 * (centres[rng.integers(0, 20, 3000)] + 0.3 * rng.normal(size=(3000, 64)))).astype(np.int64)
+    for scale in (1, 2**21):
+        held, seen = vectors * scale, []
+        rows, cands, scores = topk.scan_block(held[:50], held.T.copy(), np.arange(50), np.arange(3000), 20, seen=seen)
+        want = vectors[:50].astype(object) @ vectors.T.astype(object) * scale * scale
+        assert max(map(abs, want.ravel())) < 2**63 and (scale == 1 or max(map(abs, want.ravel())) > 2**53)
+        for i in range(50):
+            best = sorted((-want[i, j], j) for j in range(3000) if j != i)[:20]
+            mine = sorted((-int(s), int(c)) for r, c, s in zip(rows, cands, scores, strict=True) if r == i)
+            assert mine == best
+        # Each query has a list of its own: most of it goes at the first look.
+        assert seen[0] == 50 * 2999 and seen[1] < 0.5 * seen[0] and seen[-1] < 0.1 * seen[0]
+
+
 def test_scan_block_prunes_without_loss():
     rng = np.random.default_rng(3)
     columns = (rng.normal(size=(64, 3000)) * np.exp(rng.normal(size=3000)) * 20).astype(np.int64)
