@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from coverlay.llm import chain, langid, quality, subword, toxicity
+from coverlay.llm import chain, langid, quality, samples, subword, toxicity
 from coverlay.llm.words import WordTable, batches, sums
 
 LONG = "Wort " * 30_000
@@ -152,3 +152,21 @@ def test_groups_of_copies_teach_once():
     texts = [base + f" x{i}" for i in range(40)] + [f"t{i} u{i} v{i} badcue w{i}" for i in range(20)] + [f"c{i} d{i} e{i} f{i}" for i in range(60)]
     found = toxicity.toxic_words(texts, [1] * 60 + [0] * 60)
     assert "badcue" in found and "copycue" not in found
+
+
+def test_samples_are_bounded_by_rows_bytes_and_classes(spark):
+    def fold(i):
+        return zlib.crc32(str(i).encode()) % 5
+
+    (hot, *_), ids = [i for i in range(99) if fold(i)], [i for i in range(1, 400) if fold(i)]
+    docs = spark.createDataFrame([(hot, f"copy {n}") for n in range(3000)] + [(i, f"text {i}") for i in ids if i != hot] + [(None, "x"), (500, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in {hot, *ids}] * 2 + [(None, 1), (7, None)], "doc_id long, mark int")
+    draw = lambda **kw: samples.labelled_texts(docs, labels, "mark", 40, 5, 0, **kw)
+    got = draw()
+    counts = {y: sum(1 for _, z in got if z == y) for y in (0, 1)}
+    assert all(0 < n <= 40 for n in counts.values()) and max(counts.values()) == 40 and got == draw()
+    assert len(set(got)) == len(got)
+    assert {y for _, y in draw(classes=1)} == {max((0, 1), key=lambda y: (sum(i % 2 == y for i in {hot, *ids}), -y))}
+    small = draw(sample_bytes=200)
+    assert small and all(sum(len(t) for t, z in small if z == y) <= 100 for y in (0, 1))
+    assert samples.labelled_texts(docs, labels.limit(0), "mark", 40, 5, 0) == []
