@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from coverlay.functions.values import one_of
 from coverlay.operators.contracts import one_to_one, require_complete
@@ -28,6 +29,28 @@ def schema_rows(spark: SparkSession, tables: Mapping[str, DataFrame]) -> DataFra
     return spark.createDataFrame(rows, INVENTORY_TYPE)
 
 
+def _leaves(name: str, dtype: DataType) -> list[tuple[str, str]]:
+    """Every field below ``name`` that holds no further fields, with its type."""
+    if isinstance(dtype, StructType):
+        return [leaf for f in dtype.fields for leaf in _leaves(f"{name}.{f.name}", f.dataType)]
+    if isinstance(dtype, ArrayType):
+        return _leaves(f"{name}[]", dtype.elementType)
+    if isinstance(dtype, MapType):
+        return _leaves(f"{name}{{key}}", dtype.keyType) + _leaves(f"{name}{{value}}", dtype.valueType)
+    return [(name, dtype.simpleString())]
+
+
+def nested_rows(spark: SparkSession, tables: Mapping[str, DataFrame]) -> DataFrame:
+    """As ``schema_rows``, one row per innermost field: ``a.b`` of a struct, ``a[]`` of an
+    array, ``a{key}`` and ``a{value}`` of a map, so that nested differences can be compared."""
+    rows = [
+        (table, path, i, dtype)
+        for table, df in tables.items()
+        for i, (path, dtype) in enumerate(leaf for f in df.schema.fields for leaf in _leaves(f.name, f.dataType))
+    ]
+    return spark.createDataFrame(rows, INVENTORY_TYPE)
+
+
 def schema_inventory(spark: SparkSession, tables: Mapping[str, DataFrame], errors: Mapping[str, str] | None = None) -> DataFrame:
     """Schema rows with each table's row count; an unreadable table keeps one error row."""
     counts = union_scopes(

@@ -1,7 +1,8 @@
-"""Table contracts: what a layer must look like, checked in one aggregate.
+"""Table contracts: what a layer must look like, checked in one pass.
 
 Structure (columns, types) is checked on the schema alone.  Content is checked by counting
-every kind of violation in a single pass, so one run reports all problems at once.
+every kind of violation in a single pass, so one run reports all problems at once, with a few
+offending values of each.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
+from pyspark.sql.window import Window
 
 from coverlay.functions.values import count_where, digits_only, unit_interval
 
@@ -117,21 +119,54 @@ def contract_report(df: DataFrame, contract: Contract) -> DataFrame:
     return counts.select(F.inline("rows"))
 
 
-def examples(df: DataFrame, column: str, violated: Column) -> list:
-    """A few offending values; the scan stops once enough are found."""
-    return [r[0] for r in df.filter(violated).select(F.col(f"`{column}`")).limit(MAX_EXAMPLES).collect()]
+def violations(df: DataFrame, contract: Contract, by: Sequence[str] = (), examples: int = MAX_EXAMPLES) -> DataFrame:
+    """``*by, column_name, check_name, violations, examples`` of every content check that fails
+    (of every check at all where ``by`` is empty), from one pass.
+
+    ``examples`` are the smallest offending values as text, one for each row.  Only offending
+    rows leave the scan, equal values are counted before they move, and of a check no task
+    hands on more than the wanted number of values, however many rows fail.
+    """
+    checks = _content_checks(df, contract)
+    names = [(i, column, check) for i, (column, check, _) in enumerate(checks)]
+    known = df.sparkSession.createDataFrame(names, "check_no int, column_name string, check_name string")
+    failed = [
+        F.when(bad, F.struct(F.lit(i).alias("check_no"), F.col(f"`{column}`").cast("string").alias("value")))
+        for i, (column, _, bad) in enumerate(checks)
+    ] or [F.lit(None).cast("struct<check_no:int,value:string>")]
+    rows = df.select(*by, F.inline(F.array_compact(F.array(*failed))))
+    values = rows.groupBy(*by, "check_no", "value").agg(F.count(F.lit(1)).alias("n"))
+    totals = values.groupBy(*by, "check_no").agg(F.sum("n").alias("violations"))
+    place = F.row_number().over(Window.partitionBy(*by, "check_no").orderBy("value"))
+    first = values.filter(F.col("value").isNotNull()).withColumn("place", place).filter(F.col("place") <= examples)
+    ordered = F.array_sort(F.collect_list(F.struct("value", "n")))
+    each = F.flatten(F.transform(ordered, lambda v: F.array_repeat(v["value"], F.least(v["n"], F.lit(examples)).cast("int"))))
+    shown = first.groupBy(*by, "check_no").agg(F.slice(each, 1, examples).alias("examples"))
+    same = [totals[c].eqNullSafe(shown[c]) for c in [*by, "check_no"]]
+    found = totals.join(shown, same, "left").select(*[totals[c] for c in [*by, "check_no"]], "violations", "examples")
+    return known.join(found, "check_no", "inner" if by else "left").select(
+        *by,
+        "column_name",
+        "check_name",
+        F.coalesce("violations", F.lit(0)).cast("long").alias("violations"),
+        F.coalesce("examples", F.array().cast("array<string>")).alias("examples"),
+    )
+
+
+def described(violation: Column, column: Column, check: Column, examples: Column) -> Column:
+    """One violation as a line of text."""
+    seen = F.when(F.size(examples) > 0, F.concat(F.lit(", e.g. "), F.array_join(examples, ", "))).otherwise("")
+    return F.concat(column, F.lit(": "), violation.cast("string"), F.lit(" rows fail '"), check, F.lit("'"), seen)
 
 
 def enforce(df: DataFrame, contract: Contract) -> DataFrame:
     """Return ``df`` unchanged or raise with all violations and a few examples of each."""
     problems = structural_violations(df, contract)
-    checks = _content_checks(df, contract)
-    if checks:
-        row = df.agg(*[count_where(bad).alias(f"c{i}") for i, (_, _, bad) in enumerate(checks)]).first()
-        for i, (column, name, bad) in enumerate(checks):
-            if row[i]:
-                seen = "" if name == "not null" else f", e.g. {examples(df, column, bad)}"
-                problems.append(f"{column}: {row[i]} rows fail '{name}'{seen}")
+    if _content_checks(df, contract):
+        failing = violations(df, contract).filter(F.col("violations") > 0)
+        line = described(*[F.col(c) for c in ("violations", "column_name", "check_name", "examples")])
+        # A row per check at most.
+        problems += sorted(r[0] for r in failing.select(line).collect())
     if problems:
         raise ContractViolation(f"{contract.name}: " + "; ".join(problems))
     return df

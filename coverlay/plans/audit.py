@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coverlay.functions import shapes
 from coverlay.functions.gaps import capped_ratio_gap
 from coverlay.functions.values import count_where
+from coverlay.operators.contracts import Contract, ContractViolation, described, structural_violations, violations
 from coverlay.operators.features import onto_zones
 from coverlay.operators.lineage import settle
 from coverlay.operators.ordering import average_ranks, exact_quantiles
@@ -23,6 +24,7 @@ from coverlay.operators.spatial_join import (
     polygon_pairs,
     touching_lines,
 )
+from coverlay.sources.geo import decode_wkb
 
 
 def layer_audit(
@@ -79,6 +81,92 @@ def failed_layer(audit: DataFrame, region: str, layer: str, status: str, message
     return union_scopes([audit, row.withColumn("error_message", F.substring("error_message", 1, 8000))])
 
 
+#: What a failure to load means, the first that fits.
+LOAD_STATUS = (
+    (FileNotFoundError, "missing_file"),
+    (NotImplementedError, "not_implemented"),
+    (ContractViolation, "schema_violation"),
+    (ValueError, "value_error"),
+    (RuntimeError, "read_error"),
+)
+#: Longest message that a finding keeps.
+MESSAGE_LENGTH = 8000
+
+
+def audit_regions(
+    spark: SparkSession,
+    loaders: Mapping[str, Callable[[], DataFrame]],
+    contracts: Mapping[str, Contract],
+    regions: Sequence[str],
+    key: str = "GEOID",
+    geometry: str = "geometry",
+    expected: Mapping[str, DataFrame] | None = None,
+) -> DataFrame:
+    """One finding per layer and region, whatever fails on the way.
+
+    A loader returns a layer of all regions as it is stored: a ``region`` column and geometry as
+    WKB.  A layer is checked and measured in one pass over all its regions, not once for each,
+    and its findings are written before the next begins, so a failing layer costs only its own.
+    ``status``: ``ok``; ``schema_violation`` with the region's violations and examples;
+    ``missing_file`` (also for a region without rows), ``not_implemented`` (no contract),
+    ``value_error``, ``read_error`` or ``error`` where loading fails; ``audit_error`` where
+    measuring does.  Only ``ok`` findings have figures.  ``expected`` (``region,
+    expected_row_count``, per layer) is compared with the rows found.
+    """
+    findings = [
+        _layer_findings(spark, name, load, contracts.get(name), regions, key, geometry, (expected or {}).get(name))
+        for name, load in loaders.items()
+    ]
+    return union_scopes(findings)
+
+
+def _layer_findings(spark, name, load, contract, regions, key, geometry, expected) -> DataFrame:
+    every = spark.createDataFrame([(r,) for r in regions], "region string").withColumn("layer", F.lit(name))
+    failed = lambda status, message: every.withColumns(
+        {"status": F.lit(status), "error_message": F.substring(F.lit(message), 1, MESSAGE_LENGTH)}
+    )
+    try:
+        stored = load()
+        if contract is None:
+            raise NotImplementedError(f"no contract for {name}")
+        problems = structural_violations(stored.drop("region"), contract)
+        if problems:
+            raise ContractViolation("; ".join(problems))
+    except Exception as problem:  # a finding, not the end of the audit
+        status = next((s for kind, s in LOAD_STATUS if isinstance(problem, kind)), "error")
+        return failed(status, str(problem) if status != "error" else f"{type(problem).__name__}: {problem}")
+    try:
+        return settle(_measured(every, name, stored, contract, key, geometry, expected))
+    except Exception as problem:
+        return failed("audit_error", f"{type(problem).__name__}: {problem}")
+
+
+def _measured(every: DataFrame, name: str, stored: DataFrame, contract: Contract, key: str, geometry: str, expected: DataFrame | None) -> DataFrame:
+    columns = [c for c in stored.columns if c != "region"]
+    line = described(*[F.col(c) for c in ("violations", "column_name", "check_name", "examples")])
+    broken = violations(stored, contract, by=["region"]).groupBy("region").agg(F.array_join(F.array_sort(F.collect_list(line)), "; ").alias("message"))
+    shaped = stored.withColumn("geom", decode_wkb.asNondeterministic()(geometry))
+    stats = layer_audit(shaped, F.col("region"), name, columns=columns).drop("layer", "status")
+    if key in columns:
+        stats = stats.join(duplicate_keys(stored, key, ["region"]), "region", "left")
+    if expected is not None:
+        stats = stats.join(expected, "region", "left").withColumn(
+            "row_count_matches_expected", F.coalesce(F.col("row_count") == F.col("expected_row_count"), F.lit(False))
+        )
+    found = every.join(stats, "region", "left").join(broken, "region", "left")
+    status = (
+        F.when(F.col("row_count").isNull(), "missing_file").when(F.col("message").isNotNull(), "schema_violation").otherwise("ok")
+    )
+    figures = [c for c in stats.columns if c != "region"]
+    return found.select(
+        "region",
+        "layer",
+        status.alias("status"),
+        F.when(F.col("row_count").isNull(), "no rows").otherwise(F.substring("message", 1, MESSAGE_LENGTH)).alias("error_message"),
+        *[F.when(status == "ok", F.col(c)).alias(c) for c in figures],
+    )
+
+
 def compare_row_counts(counts: Mapping[str, DataFrame], expected: DataFrame, by: str = "region") -> DataFrame:
     """Row counts of several layers per region against one expected number."""
     out = expected

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from coverlay.functions import values as v
 from coverlay.operators import catalog, profile, sets
-from coverlay.operators.contracts import Contract, contract_report, digits, non_negative, share, text
+from coverlay.operators.contracts import Contract, contract_report, digits, non_negative, share, text, violations
 from coverlay.operators.features import attach_region, first_per_key
 from coverlay.operators.lineage import settle
 from coverlay.operators.ordering import exact_quantiles, histogram
@@ -15,7 +15,7 @@ from coverlay.plans import audit
 from coverlay.queries import layers as L
 from coverlay.queries.registry import query
 from coverlay.queries.scoring import CUSTOMER_SQL, STRATA_QUERY_COLUMNS, _rounded, customer_raw, customer_strata, records
-from coverlay.sources.geo import count_by_file, read_columns
+from coverlay.sources.geo import count_by_file, first_rows, read_columns
 
 REGION_JOIN = "customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
 
@@ -57,8 +57,12 @@ CUSTOMER_CONTRACT = Contract(
     ),
 )
 def contract_report_query(spark: SparkSession, d: str) -> DataFrame:
+    return contract_report(_contracted(spark, d), CUSTOMER_CONTRACT)
+
+
+def _contracted(spark: SparkSession, d: str) -> DataFrame:
     balance = F.col("c_acctbal")
-    table = L.table(spark, d, "customer").select(
+    return L.table(spark, d, "customer").select(
         _zone_key().alias("zone"),
         F.col("c_custkey").cast("string").alias("short"),
         F.when(balance >= 0, F.col("c_mktsegment")).alias("code"),
@@ -68,7 +72,25 @@ def contract_report_query(spark: SparkSession, d: str) -> DataFrame:
         .alias("confidence"),
         "c_acctbal",
     )
-    return contract_report(table, CUSTOMER_CONTRACT)
+
+
+@query(
+    "contract_examples",
+    """WITH t AS (SELECT c_custkey::VARCHAR AS short, CASE WHEN c_acctbal >= 0 THEN c_mktsegment END AS code, c_acctbal AS b,
+        CASE WHEN c_acctbal >= 0 THEN c_acctbal / 5000 WHEN c_custkey % 2 = 0 THEN -1.0 ELSE -0.5 END::DOUBLE AS confidence FROM customer),
+      k AS (SELECT * FROM (VALUES ('zone', 'not null'), ('zone', '11 digits'), ('short', '5 digits'), ('code', 'not null'), ('code', 'length 9'), ('confidence', 'in [0, 1] or -1.0'), ('c_acctbal', '>= 0')) k(column_name, check_name)),
+      f AS (SELECT 'short' AS column_name, '5 digits' AS check_name, short AS value FROM t WHERE length(short) <> 5
+        UNION ALL SELECT 'code', 'not null', NULL FROM t WHERE code IS NULL
+        UNION ALL SELECT 'code', 'length 9', code FROM t WHERE length(code) <> 9
+        UNION ALL SELECT 'confidence', 'in [0, 1] or -1.0', confidence::VARCHAR FROM t WHERE NOT confidence BETWEEN 0 AND 1 AND confidence <> -1.0
+        UNION ALL SELECT 'c_acctbal', '>= 0', b::VARCHAR FROM t WHERE b < 0),
+      o AS (SELECT *, row_number() OVER (PARTITION BY column_name, check_name ORDER BY value) AS place FROM f)
+    SELECT column_name, check_name, count(place)::BIGINT AS violations, coalesce(string_agg(value, '; ' ORDER BY value) FILTER (place <= 10), '') AS examples FROM k LEFT JOIN o USING (column_name, check_name) GROUP BY ALL""",
+)
+def contract_examples(spark: SparkSession, d: str) -> DataFrame:
+    """Every check with its violations and the first offending values, from one pass."""
+    found = violations(_contracted(spark, d), CUSTOMER_CONTRACT)
+    return found.withColumn("examples", F.array_join("examples", "; "))
 
 
 # --- profiles ------------------------------------------------------------------------------
@@ -499,6 +521,29 @@ def schema_verdict(spark: SparkSession, d: str) -> DataFrame:
     return catalog.schema_verdict(national, regional)
 
 
+def _nested_sql(struct: str, table: str) -> str:
+    """Paths and types of a list of structs that SQL itself describes."""
+    return f"""(SELECT 'sources[].' || trim(regexp_extract(field, '^(\\S+) ', 1), '"') AS column_name, {_SPARK_TYPE} AS dtype, pos::INT AS position FROM (
+      SELECT field, regexp_extract(field, '^\\S+ (.*)$', 1) AS column_type, pos FROM (
+        SELECT unnest(string_split(regexp_extract(column_type, 'STRUCT\\((.*)\\)\\[\\]', 1), ', ')) AS field, generate_subscripts(string_split(column_type, ', '), 1) AS pos
+        FROM (DESCRIBE SELECT [{struct}] AS sources FROM {table}))))"""
+
+
+@query(
+    "nested_drift",
+    f"""WITH n AS {_nested_sql("{'lang': lang, 'source': source, 'size': n_chars}", "documents")}, r AS {_nested_sql("{'lang': role, 'size': turn, 'words': text}", "conversations")}
+    SELECT column_name, n.dtype IS NOT NULL AS in_national, r.dtype IS NOT NULL AS in_region, n.dtype AS national_dtype, r.dtype AS region_dtype, n.dtype = r.dtype AS dtype_match,
+      n.position AS national_position, r.position AS region_position FROM n FULL JOIN r USING (column_name)""",
+)
+def nested_drift(spark: SparkSession, d: str) -> DataFrame:
+    """Two tables' lists of structs compared field by field."""
+    sources = lambda **f: F.array(F.struct(*[F.col(c).alias(n) for n, c in f.items()])).alias("sources")
+    national = L.table(spark, d, "documents").select(sources(lang="lang", source="source", size="n_chars"))
+    regional = L.table(spark, d, "conversations").select(sources(lang="role", size="turn", words="text"))
+    sides = [catalog.nested_rows(spark, {name: df}).withColumn("position", F.col("position") + 1) for name, df in (("national", national), ("regional", regional))]
+    return catalog.compare_schemas(*sides)
+
+
 ATTRIBUTED = ("nation", "customer", "orders", "supplier")
 TABLE_DOMAINS = {"nation": "geography", "customer": "svi", "orders": "heat"}
 
@@ -711,6 +756,18 @@ def projected_scan(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    "first_rows",
+    """SELECT l_returnflag AS dataset, count(*)::BIGINT AS n, (SELECT count(*) FROM lineitem)::BIGINT AS rows_total FROM (SELECT l_returnflag FROM lineitem LIMIT 5000) GROUP BY ALL""",
+)
+def first_rows_query(spark: SparkSession, d: str) -> DataFrame:
+    """Values of one column in a sample of leading rows, beside the rows there are."""
+    sample = first_rows(spark, f"{d}/lineitem.parquet", ["l_returnflag"], 5000)
+    total = L.table(spark, d, "lineitem").agg(F.count(F.lit(1)).alias("n"))
+    found = sample.groupBy(F.col("l_returnflag").alias("dataset")).agg(F.count(F.lit(1)).alias("n"))
+    return found.withColumn("rows_total", total.scalar())
+
+
 @query("rows_per_file", _union([f"SELECT '{t}.parquet' AS file, count(*)::BIGINT AS n_rows FROM {t}" for t in TABLES]))
 def rows_per_file(spark: SparkSession, d: str) -> DataFrame:
     files = [spark.read.parquet(f"{d}/{t}.parquet") for t in TABLES]

@@ -581,6 +581,71 @@ def layer_contracts(spark: SparkSession, d: str) -> DataFrame:
     return union_scopes(reports).select("layer", "column_name", "check_name", "violations")
 
 
+AUDIT_REGIONS = ("R0", "R1", "R2", "R3", "R4")
+_FAILED_SQL = "SELECT 'R' || unnest(range(5)), '{}', '{}', '{}', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL"
+
+
+@query(
+    "audit_report",
+    """WITH e AS (SELECT 'R' || unnest(range(5)) AS region),
+      p AS (SELECT 'R' || o_orderkey % 4 AS region, o_orderkey % 7 = 0 AS gone, CASE WHEN o_orderkey % 4 = 1 THEN o_totalprice / 400000 ELSE o_totalprice / 1e6::DOUBLE END AS confidence FROM orders),
+      bad AS (SELECT region, count(*) AS n, string_agg(v, ', ' ORDER BY v) FILTER (place <= 10) AS shown FROM (
+        SELECT region, confidence::VARCHAR AS v, row_number() OVER (PARTITION BY region ORDER BY confidence::VARCHAR) AS place FROM p WHERE NOT confidence BETWEEN 0 AND 1) GROUP BY 1),
+      ps AS (SELECT region, count(*) AS n, count(*) FILTER (gone) AS gone FROM p GROUP BY 1),
+      c AS (SELECT 'R' || c_custkey % 4 AS region, count(*) AS n, count(*) - count(DISTINCT c_custkey // 8) AS repeated, count(*) FILTER (c_mktsegment = 'BUILDING') AS unknown FROM customer GROUP BY 1)
+    SELECT region, 'observed-places' AS layer, CASE WHEN ps.n IS NULL THEN 'missing_file' WHEN bad.n IS NOT NULL THEN 'schema_violation' ELSE 'ok' END AS status,
+      CASE WHEN ps.n IS NULL THEN 'no rows' WHEN bad.n IS NOT NULL THEN 'confidence: ' || bad.n || ' rows fail ''in [0, 1]'', e.g. ' || shown END AS error_message,
+      CASE WHEN bad.n IS NULL THEN ps.n END::BIGINT AS row_count, CASE WHEN bad.n IS NULL THEN gone END::BIGINT AS null_geometry_count,
+      CASE WHEN bad.n IS NULL AND ps.n IS NOT NULL THEN 0 END::BIGINT AS invalid_geometry_count, CASE WHEN bad.n IS NULL AND ps.n IS NOT NULL THEN 0 END::BIGINT AS empty_geometry_count,
+      CASE WHEN bad.n IS NULL AND ps.n IS NOT NULL THEN 0 END::DOUBLE AS invalid_per_million, CASE WHEN bad.n IS NULL THEN '{"POINT":' || (ps.n - gone) || '}' END AS geometry_type_counts,
+      CASE WHEN bad.n IS NULL THEN '{"categories":0.0,"confidence":0.0,"geometry":' || round(gone / ps.n, 4) || '}' END AS null_pct_by_column,
+      NULL::BIGINT AS duplicate_count, NULL::BIGINT AS expected_row_count, NULL::BOOLEAN AS row_count_matches_expected
+    FROM e LEFT JOIN ps USING (region) LEFT JOIN bad USING (region)
+    UNION ALL SELECT region, 'reference-establishments', CASE WHEN c.n IS NULL THEN 'missing_file' ELSE 'ok' END, CASE WHEN c.n IS NULL THEN 'no rows' END, c.n, c.n, c.n * 0, c.n * 0, c.n * 0, CASE WHEN c.n IS NOT NULL THEN '{}' END,
+      '{"GEOID":0.0,"STATEFP":0.0,"COUNTYFP":0.0,"TRACTCE":0.0,"cbp_estab":0.0,"cbp_estab_res":' || round(unknown / c.n, 4) || ',"cbp_estab_bus":1.0,"geometry":1.0}', repeated,
+      CASE WHEN c.n IS NOT NULL THEN (SELECT count(*) FROM supplier) END, CASE WHEN c.n IS NOT NULL THEN c.n = (SELECT count(*) FROM supplier) END
+    FROM e LEFT JOIN c USING (region)
+    UNION ALL """
+    + " UNION ALL ".join(
+        _FAILED_SQL.format(*failed)
+        for failed in (
+            ("reference-roads", "schema_violation", "MTFCC: column missing"),
+            ("reference-schools", "missing_file", "no such table"),
+            ("strata/lakes", "not_implemented", "no contract for strata/lakes"),
+        )
+    ),
+)
+def audit_report(spark: SparkSession, d: str) -> DataFrame:
+    """Five layers of five regions: sound, against their contract, lacking a column, absent,
+    unknown; one region has no rows."""
+    raw = _raw_layers(spark, d)
+    price, key = F.col("o_totalprice"), F.col("o_orderkey")
+    point = geo.encode_wkb(F.when(key % 7 != 0, shapes.point_geom("x", "y"))).alias("geometry")
+    places = L.places(spark, d, lonlat=True).select(
+        F.concat(F.lit("R"), key % 4).alias("region"), F.struct(F.col("o_orderpriority").alias("primary")).alias("categories"),
+        F.when(key % 4 == 1, price / 400000).otherwise(price / 1e6).alias("confidence"), point,
+    )
+    customer = F.col("c_custkey")
+    establishments = L.table(spark, d, "customer").select(
+        F.concat(F.lit("R"), customer % 4).alias("region"), F.lpad(F.floor(customer / 8).cast("string"), 11, "0").alias("GEOID"), F.lit("04").alias("STATEFP"),
+        F.lit("013").alias("COUNTYFP"), F.lit("000100").alias("TRACTCE"), customer.alias("cbp_estab"), F.when(F.col("c_mktsegment") != "BUILDING", customer).alias("cbp_estab_res"),
+        F.lit(None).cast("int").alias("cbp_estab_bus"), F.lit(None).cast("binary").alias("geometry"),
+    )
+    loaders = {
+        "observed-places": lambda: places,
+        "reference-establishments": lambda: establishments,
+        "reference-roads": lambda: raw["reference-roads"].drop("MTFCC").withColumn("region", F.lit("R0")),
+        "reference-schools": lambda: geo.read_flat(spark, f"{d}/absent.parquet"),
+        "strata/lakes": lambda: places,
+    }
+    suppliers = L.table(spark, d, "supplier").agg(F.count(F.lit(1)).alias("expected_row_count"))
+    wanted = suppliers.select(F.explode(F.array(*[F.lit(r) for r in AUDIT_REGIONS])).alias("region"), "expected_row_count")
+    found = audit.audit_regions(spark, loaders, LAYER_CONTRACTS, AUDIT_REGIONS, expected={"reference-establishments": wanted})
+    # The message names the path, shares have many digits.
+    shares = F.transform_values(F.from_json("null_pct_by_column", "map<string,double>"), lambda _, share: F.round(share, 4))
+    return found.withColumns({"error_message": F.regexp_replace("error_message", r": \[.*absent.*", ""), "null_pct_by_column": F.to_json(shares)})
+
+
 @query(
     "layer_load",
     L.layers_sql("p")

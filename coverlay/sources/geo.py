@@ -88,6 +88,20 @@ def count_by_file(df: DataFrame) -> DataFrame:
     return df.select(F.input_file_name().alias("file")).groupBy("file").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def first_rows(spark: SparkSession, path: str, columns: list[str], rows: int = 100_000) -> DataFrame:
+    """The leading rows of a table's first file that has any, of some columns.
+
+    One task walks through the file's splits in turn and stops at the wanted row, so what is
+    read does not grow with the table.  Only the list of file names passes the driver.
+    """
+    files = sorted(read_flat(spark, path).inputFiles())
+    for file in files:
+        some = spark.read.parquet(file).select(*columns).coalesce(1).limit(rows)
+        if not some.isEmpty():
+            return some
+    return read_flat(spark, path).select(*columns).limit(rows)
+
+
 def coordinate_report(df: DataFrame) -> DataFrame:
     """Rows outside the lon/lat range, and rows that only fit with the axes swapped."""
     inside = (F.col("xmin") >= -180) & (F.col("xmax") <= 180) & (F.col("ymin") >= -90) & (F.col("ymax") <= 90)
