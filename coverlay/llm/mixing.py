@@ -1,6 +1,7 @@
 """Mixing sources to target weights, word block by word block.
 
-1. The words of a source, document after document, are packed into blocks of fixed length.
+1. The words of a source, document after document, are packed into blocks of fixed length;
+   a source of few words has shorter ones, so that a block is a small part of any source.
 2. Targets come from the weights: a total is shared out by weight, no source above a
    multiple of its size, what it can't take going to the others.
 3. Each output shard draws, slot by slot, which source fills the slot: its source counts are
@@ -27,6 +28,8 @@ from coverlay.operators.lineage import settle
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents of a bucket, about, within which offsets are running sums.
 BUCKET_ROWS = 20_000
+#: Blocks that a source has at least, if it has as many words.
+SOURCE_BLOCKS = 256
 #: Rounds of the index permutation.
 ROUNDS = 12
 
@@ -104,28 +107,30 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     Words are runs of anything but space and ``\\x09-\\x0D``; null and empty texts have none,
     their rows stay in ``rows`` with size 0 and are in no piece.  Rows with equal keys are
     rows like others.  An empty table, or one without words, gives no slots.  A source's
-    taken words differ from its target by a few blocks at most, and as no block is taken
-    more than ``ceil(most)`` times, no row exceeds that multiple of its size.  Other columns
+    taken words differ from its target by a few blocks at most, a block being ``block_words``
+    words or a 256th of the source if that is less, and as no block is taken more than ``ceil(most)`` times, no row exceeds that multiple of its size.  Other columns
     of ``docs`` are not read.
     """
     sized = settle(
         docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), _row_hash(key, source, text).alias("text_hash"))
     )
     totals = sized.groupBy("source").agg(F.count("*").alias("docs"), F.sum("size").alias("words"))
-    blocks = F.ceil(F.col("words") / block_words).cast("long")
+    length = F.greatest(F.least(F.lit(block_words), F.floor(F.col("words") / SOURCE_BLOCKS)), F.lit(1)).cast("long")
+    blocks = F.ceil(F.col("words") / F.col("block_words")).cast("long")
     quota = F.when(F.col("words") > 0, F.round(F.col("target") / F.col("words") * F.col("blocks"))).otherwise(0).cast("long")
     sources = settle(
         source_targets(totals, weights, share, most)
+        .withColumn("block_words", length)
         .withColumn("blocks", blocks)
         .withColumn("quota", quota)
         .withColumn("buckets", F.ceil(F.col("docs") / BUCKET_ROWS).cast("long"))
     )
 
     # Where each row's words start in its source: bucket totals, then running sums inside.
-    numbers = sources.select("source", "source_no", "buckets")
+    numbers = sources.select("source", "source_no", "buckets", "block_words")
     bucketed = (
         sized.join(numbers, sized["source"].eqNullSafe(numbers["source"]))
-        .select("key", sized["source"], "source_no", "size", "text_hash", F.pmod(F.xxhash64(F.lit(seed), "key"), "buckets").alias("bucket"))
+        .select("key", sized["source"], "source_no", "size", "text_hash", "block_words", F.pmod(F.xxhash64(F.lit(seed), "text_hash"), "buckets").alias("bucket"))
     )
     before = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = bucketed.groupBy("source_no", "bucket").agg(F.sum("size").alias("n")).select(
@@ -135,17 +140,17 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     rows = settle(
         bucketed.withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .join(offsets, ["source_no", "bucket"])
-        .select("key", "source", "source_no", "size", "text_hash", (F.col("offset") + F.col("ahead")).alias("start"))
+        .select("key", "source", "source_no", "size", "text_hash", "block_words", (F.col("offset") + F.col("ahead")).alias("start"))
     )
     end = F.col("start") + F.col("size")
     pieces = (
         rows.filter(F.col("size") > 0)
-        .withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((end - 1) / block_words))))
-        .withColumn("begin", F.greatest(F.col("start"), F.col("block") * block_words))
+        .withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / F.col("block_words")), F.floor((end - 1) / F.col("block_words")))))
+        .withColumn("begin", F.greatest(F.col("start"), F.col("block") * F.col("block_words")))
         .select(
             "source_no", "block", "key", "start", "text_hash",
             (F.col("begin") - F.col("start")).alias("begin"),
-            (F.least(end, (F.col("block") + 1) * block_words) - F.col("begin")).alias("words"),
+            (F.least(end, (F.col("block") + 1) * F.col("block_words")) - F.col("begin")).alias("words"),
         )
     )
     return Mix(sources, rows, pieces, _slots(sources, shard_slots, seed))
@@ -161,11 +166,13 @@ def mixed_texts(docs: DataFrame, planned: Mix, key: str = "doc_id", source: str
     there and ``length``, if there is such a column, their characters.
 
     A document taken whole is one row as it was.  Documents without words are in no block.
-    The list that is put together per row is that of one document's blocks.
+    The list that is put together per row is that of one document's blocks; each text is split
+    once.  Of rows equal in key, source and text, all are taken from as one of them stands,
+    also where they differ in other columns.
     """
     held = planned.pieces.join(planned.slots.select("source_no", "block", "epoch").hint("merge"), ["source_no", "block"])
     ordered = F.array_sort(F.collect_list(F.struct("begin", "words")))
-    per_pass = held.groupBy("source_no", "start", "epoch").agg(F.first("text_hash").alias("_hash"), F.first("key").alias("_key"), ordered.alias("parts"))
+    per_pass = held.groupBy("source_no", "start", "epoch").agg(F.first("text_hash").alias("hash"), F.first("key").alias("key"), ordered.alias("parts"))
 
     def extend(runs: Column, part: Column) -> Column:
         last = F.try_element_at(runs, F.lit(-1))
@@ -174,15 +181,18 @@ def mixed_texts(docs: DataFrame, planned: Mix, key: str = "doc_id", source: str
         return F.when(joins, F.concat(F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(runs, F.array(part)))
 
     none = F.array().cast("array<struct<begin:bigint,words:bigint>>")
-    runs = per_pass.select("_hash", "_key", F.explode(F.aggregate("parts", none, extend)).alias("run"))
-    texts = docs.withColumn("_hash", _row_hash(key, source, text)).dropDuplicates(["_hash", key])
-    found = texts.join(runs.hint("merge"), "_hash").filter(F.col(key).eqNullSafe(F.col("_key")))
-    words = F.regexp_extract_all(F.col(text), F.lit(r"^[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*|[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
-    cut = F.array_join(F.slice(words, (F.col("run.begin") + 1).cast("int"), F.col("run.words").cast("int")), "")
-    out = found.withColumn(text, cut)
+    runs = per_pass.select("source_no", "start", "hash", "key", F.aggregate("parts", none, extend).alias("runs"))
+    per_row = runs.groupBy("source_no", "start").agg(F.first("hash").alias("hash"), F.first("key").alias("key"), F.flatten(F.collect_list("runs")).alias("runs"))
+    texts = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{key}`").alias("own"), _row_hash(key, source, text).alias("own_hash"))
+    found = texts.dropDuplicates(["own_hash", "own"]).join(per_row.hint("merge"), (F.col("own_hash") == F.col("hash")) & F.col("own").eqNullSafe(F.col("key")))
+    pattern = r"^[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*|[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
+    split = found.select("row", "runs", F.regexp_extract_all(F.col("row")[text], F.lit(pattern), F.lit(0)).alias("words"))
+    cuts = F.transform("runs", lambda r: F.array_join(F.slice("words", (r["begin"] + 1).cast("int"), r["words"].cast("int")), ""))
+    cut = split.select("row", F.explode(cuts).alias("cut"))
+    changed = {text: F.col("cut")}
     if length in docs.columns:
-        out = out.withColumn(length, F.length(text).cast(docs.schema[length].dataType))
-    return out.select(*docs.columns)
+        changed[length] = F.length("cut").cast(docs.schema[length].dataType)
+    return cut.select(*[changed[c].alias(c) if c in changed else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def _slots(sources: DataFrame, shard_slots: int, seed: int) -> DataFrame:

@@ -17,10 +17,9 @@ from __future__ import annotations
 
 import heapq
 import re
-import zlib
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, partial
 
 import numpy as np
 import pandas as pd
@@ -255,6 +254,7 @@ class Encoder:
         self._segments = WordTable(self._rows)
         self._paths: list[np.ndarray] = []
         self._edges: dict[str, list] = {}
+        self._byte_of = {int(i): bytes([b]) for b, i in enumerate(vocabulary.byte_ids)}
 
     def _rows(self, segments: list[str]) -> np.ndarray:
         best, loss, ids = self.lattice.viterbi(segments)
@@ -271,6 +271,11 @@ class Encoder:
     def encode(self, texts: Sequence[str], n: int = 1) -> Iterator[tuple[np.ndarray, list[float], Callable[[], list[tuple[int, ...]]]]]:
         """Of each text: the best path's ids, the scores of its ``n`` best paths, and a
         function that spells those paths out."""
+        for ids, scores, spell in self.paths(texts, n):
+            yield ids, scores, lambda spell=spell: [tuple(p.tolist()) for p in spell()]
+
+    def paths(self, texts: Sequence[str], n: int = 1) -> Iterator[tuple[np.ndarray, list[float], Callable[[], list[np.ndarray]]]]:
+        """As ``encode``, the paths spelt out as arrays."""
         for begin, end in batches(texts):
             split = [SEGMENT.findall(" " + t) if t else [] for t in texts[begin:end]]
             segments = [s for parts in split for s in parts]
@@ -287,14 +292,15 @@ class Encoder:
                 ids = flat[base : base + int(counts[first:last].sum())]
                 total = float(mine[:, 0].sum())
                 if n == 1 or not parts:
-                    yield ids, [total][: len(parts) or 1], lambda ids=ids: [tuple(ids.tolist())]
+                    yield ids, [total][: len(parts) or 1], lambda ids=ids: [ids]
                 else:
                     # Segments whose second path loses least; ties to the first.
                     weak = np.sort(np.argsort(mine[:, 1], kind="stable")[: n - 1])
                     lattice = chain([self._edges_of(parts[w]) for w in weak])
                     paths = n_best(lattice, n)
                     rest = total - float(mine[weak, 0].sum())
-                    yield ids, [rest + s for s, _ in paths], lambda parts=parts, weak=weak, n=n: self._spelt(parts, weak, n)
+                    last_ids = np.cumsum(counts[first:last])
+                    yield ids, [rest + s for s, _ in paths], partial(self._spelt, ids, last_ids, parts, weak, paths)
                 first = last
 
     def _edges_of(self, segment: str) -> list:
@@ -307,28 +313,41 @@ class Encoder:
                 self._edges[segment] = known
         return known
 
-    def _spelt(self, parts: list[str], weak: np.ndarray, n: int) -> list[tuple[int, ...]]:
+    def _spelt(self, ids: np.ndarray, ends: np.ndarray, parts: list[str], weak: np.ndarray, paths: list[tuple[float, tuple[int, ...]]]) -> list[np.ndarray]:
         """Whole paths: the best ids of all segments, those of the weak ones by each path."""
-        best = self.lattice.viterbi(parts)[2]
-        lattices = [self._edges_of(parts[w]) for w in weak]
         out = []
-        for _, ids in n_best(chain(lattices), n):
-            mine, at = dict.fromkeys(map(int, weak)), 0
-            for w in mine:
+        for _, path in paths:
+            kept: list[np.ndarray] = []
+            done = at = 0
+            for w in weak:
+                kept.append(ids[done : ends[w - 1] if w else 0])
+                done, begin = int(ends[w]), at
                 # Pieces of one segment spell its characters, no more and no less.
                 size, spelt = len(parts[w].encode()), 0
-                begin = at
                 while spelt < size:
-                    piece = ids[at]
+                    piece = path[at]
                     spelt += len(self.vocabulary.pieces[piece].encode()) if self.vocabulary.plain[piece] else 1
                     at += 1
-                mine[w] = ids[begin:at]
-            out.append(tuple(int(i) for k, path in enumerate(best) for i in (mine[k] if k in mine else path)))
+                kept.append(np.array(path[begin:at], ids.dtype))
+            out.append(np.concatenate([*kept, ids[done:]]))
         return out
 
     def decode(self, ids: Sequence[int]) -> str:
         return decode(self.vocabulary, ids)
 
+    def same(self, one: np.ndarray, other: np.ndarray) -> bool:
+        """Whether two paths spell the same; only what lies between their common ends is decoded."""
+        n = min(len(one), len(other))
+        differ = np.flatnonzero(one[:n] != other[:n])
+        head = int(differ[0]) if len(differ) else n
+        differ = np.flatnonzero(one[len(one) - n + head :] != other[len(other) - n + head :])
+        tail = n - head - 1 - int(differ[-1]) if len(differ) else n - head
+        return self._raw(one[head : len(one) - tail]) == self._raw(other[head : len(other) - tail])
+
+    def _raw(self, ids: np.ndarray) -> bytes:
+        plain, pieces = self.vocabulary.plain, self.vocabulary.pieces
+        return b"".join([pieces[i].encode() if plain[i] else self._byte_of.get(i, b"") for i in ids.tolist()])
+
 
 def decode(vocabulary: Vocabulary, ids: Sequence[int]) -> str:
     """The text that was encoded; ids of control pieces say nothing."""
@@ -342,14 +361,16 @@ def decode(vocabulary: Vocabulary, ids: Sequence[int]) -> str:
 
 
 def encode_texts(docs: DataFrame, vocabulary: Vocabulary, n: int = 3, text: str = "text") -> DataFrame:
-    """Every row of ``docs`` with ``ids`` (best path), ``scores`` (of the ``n`` best paths, best
-    first; fewer where the text has fewer) and ``exact`` (decoding gives the text back).
+    """Every row of ``docs`` with ``ids`` (best path), ``others`` (the next paths, ``n`` with the
+    best one), ``scores`` (of all these, best first; fewer where the text has fewer) and
+    ``exact`` (decoding each of them gives the text back).
 
     Null texts have null results; an empty text has no ids and the score 0.  A text of any
     characters is encoded, those without a piece as bytes.  Equal scores come in any order
     that is the same in each run.  The added columns must not exist; no rows give no rows.
     """
-    clash = {"ids", "scores", "exact"} & set(docs.columns)
+    added = {"ids": "array<int>", "others": "array<array<int>>", "scores": "array<double>", "exact": "boolean"}
+    clash = set(added) & set(docs.columns)
     if clash:
         raise ValueError(f"columns exist already: {sorted(clash)}")
 
@@ -359,20 +380,22 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary, n: int = 3, text: str
             texts = part[text].fillna("").tolist()
             # Rows go back as soon as a few are done: ids are longer than texts.
             for begin, end in batches(texts):
-                ids, scores, exact = [], [], []
-                for given, (path, best, _) in zip(texts[begin:end], encoder.encode(texts[begin:end], n), strict=True):
-                    ids.append(path)
-                    scores.append(best)
-                    exact.append(encoder.decode(path) == given)
+                values: dict[str, list] = {name: [] for name in added}
+                for given, (best, scores, spell) in zip(texts[begin:end], encoder.paths(texts[begin:end], n), strict=True):
+                    others = [p for p in spell() if not np.array_equal(p, best)][: len(scores) - 1]
+                    values["ids"].append(best)
+                    values["others"].append(others)
+                    values["scores"].append(scores)
+                    values["exact"].append(encoder.decode(best) == given and all(encoder.same(best, p) for p in others))
                 out = part.iloc[begin:end].copy()
                 null = out[text].isna()
-                for name, values in (("ids", ids), ("scores", scores), ("exact", exact)):
-                    out[name] = pd.Series(values, index=out.index, dtype=object)
+                for name, found in values.items():
+                    out[name] = pd.Series(found, index=out.index, dtype=object)
                     out.loc[null, name] = None
                 yield out
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInPandas(encode, f"{fields}, ids array<int>, scores array<double>, exact boolean")
+    fields = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields], *[f"{name} {kind}" for name, kind in added.items()]])
+    return docs.mapInPandas(encode, fields)
 
 
 def decode_ids(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -385,6 +408,3 @@ def decode_ids(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", int
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return encoded.mapInPandas(spell, f"{fields}, `{into}` string")
 
-
-def checksum(ids: Sequence[int]) -> int:
-    return zlib.crc32(np.asarray(ids, np.int32).tobytes())

@@ -92,12 +92,14 @@ def quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, folder: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Digest of each document's best segmentation and the scores of its three best."""
+    """Digests of each document's three best segmentations, and their scores."""
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     encoded = encode_texts(docs, load_vocabulary(vocabulary))
+    other = [F.get("others", F.lit(i)) for i in (0, 1)]
     return encoded.select(
-        "doc_id", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.get("scores", F.lit(0)).alias("best"), F.get("scores", F.lit(1)).alias("second"), F.get("scores", F.lit(2)).alias("third"), "exact"
-    )
+        "doc_id", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), *[F.when(o.isNotNull(), F.xxhash64(o)).alias(f"{name}_hash") for name, o in zip(("second", "third"), other, strict=True)],
+        F.get("scores", F.lit(0)).alias("best"), F.get("scores", F.lit(1)).alias("second"), F.get("scores", F.lit(2)).alias("third"), "exact",
+    )
 
 
 def language(spark: SparkSession, folder: str) -> DataFrame:

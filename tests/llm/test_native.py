@@ -75,6 +75,27 @@ def test_mix_meets_targets_and_bounds(spark):
     assert sorted(slots) == sorted(again)
 
 
+def test_small_sources_meet_their_targets(spark):
+    rows = [(i, f"w{i} " * 10, "en", f"s{i // 10}", 0, i) for i in range(40)] + [(i, "x", "en", "one", 0, i) for i in range(40, 43)]
+    planned = mixing.mix(spark.createDataFrame(rows, DOCS))
+    taken = {r["source_no"]: r["n"] for r in planned.taken().groupBy("source_no").agg(F.sum("taken").alias("n")).collect()}
+    for r in planned.sources.collect():
+        assert abs(taken[r["source_no"]] - r["target"]) <= max(1, 0.05 * r["target"])
+        assert taken[r["source_no"]] <= 2 * r["words"]
+
+
+def test_mixed_texts_keep_columns_of_any_name(spark):
+    text = "some words " * 40
+    rows = [(None, text, "a", 7, "h", "k", "r"), (1, text, "a", 8, "h2", "k2", "r2"), (1, text, "a", 8, "other", "k2", "r2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row int, hash string, key string, runs string")
+    planned = mixing.mix(docs, block_words=8)
+    out = mixing.mixed_texts(docs, planned)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert sum(len(r["text"].split()) for r in got) == planned.taken().agg(F.sum("taken")).first()[0]
+    assert {r["runs"] for r in got} == {"r", "r2"} and all(r["text"] in text for r in got)
+
+
 def test_mixed_texts_are_what_the_plan_takes(spark):
     docs = documents(spark).dropDuplicates(["doc_id"])
     planned = mixing.mix(docs, block_words=8)

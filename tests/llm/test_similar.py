@@ -322,6 +322,21 @@ def test_n_best_equals_enumeration(vocabulary, text):
     assert [p for p in pieces.n_best(into, 5)] == [(s, p) for s, p in pieces.n_best(into, 5)]
 
 
+@needs_vocabulary
+def test_all_segmentations_are_returned(spark, vocabulary):
+    texts = ["the cat", "a\nb  c", "Ü☃▁x", "", "aaaaaaaa", "x", "naïve é " * 500 + "unusualword"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    encoder = pieces.Encoder(vocabulary)
+    value = lambda p: sum(vocabulary.scores[i] if vocabulary.plain[i] else encoder.lattice.byte_score for i in p)
+    for row in pieces.encode_texts(df, vocabulary).collect():
+        found = [row["ids"], *row["others"]]
+        assert len(found) == len(row["scores"]) == len(set(map(tuple, found))) and row["exact"]
+        assert [value(p) for p in found] == pytest.approx(row["scores"])
+        assert all(encoder.decode(p) == row["text"] for p in found)
+    ab, ac, aab = (next(encoder.encode([t]))[0] for t in ("ab", "ac", "aab"))
+    assert encoder.same(ab, ab) and not any(encoder.same(*pair) for pair in ((ab, ac), (ab, aab), (aab, ab), (ab[:0], ab)))
+
+
 @needs_vocabulary
 def test_encoding_round_trip(spark, vocabulary):
     rows = [(1, "Hello world\n\nagain"), (2, None), (3, ""), (4, "日本語 ☃ ▁ x" * 3000), (5, "Hello world\n\nagain"), (6, "x")]
