@@ -164,6 +164,40 @@ SELECT page_id, host, path, j.rule, coalesce(j.verdict, CASE WHEN n > 1 AND bloc
 FROM nodes LEFT JOIN (SELECT * FROM judged WHERE own AND place = 1) j USING (page_id) LEFT JOIN mirrors ON nodes.mirrored = mirrors.mirrored AND node IS NOT NULL
 """
 
+# The audit has to find every true link of the queries that it samples.
+VECTOR_SQL = """
+WITH RECURSIVE whole AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND label IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+sized AS (SELECT *, sqrt(list_inner_product(v, v)) AS norm FROM whole WHERE len(v) > 0),
+links AS (
+    SELECT a.vec_id AS x, b.vec_id AS y FROM sized a JOIN sized b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE a.norm > 0 AND b.norm > 0 AND list_inner_product(a.v, b.v) / (a.norm * b.norm) >= 0.98),
+reached(x, y) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.x, l.y FROM reached r JOIN links l ON r.y = l.x),
+least AS (SELECT x, min(y) AS component_id FROM reached GROUP BY x),
+counted AS (SELECT x, count(*) AS n_links FROM links GROUP BY x)
+SELECT e.vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, e.vec_id = component_id AS kept,
+    CASE WHEN s.vec_id IS NOT NULL THEN 1.0::DOUBLE END AS recall
+FROM embeddings e JOIN least ON e.vec_id = least.x LEFT JOIN counted ON e.vec_id = counted.x LEFT JOIN (SELECT vec_id FROM sized WHERE norm > 0) s ON e.vec_id = s.vec_id
+"""
+
+DOCUMENT_SQL = r"""
+WITH RECURSIVE spelt AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingled AS (
+    SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS s FROM spelt),
+sets AS (SELECT hash(list_sort(s)) AS h, list_sort(s) AS s, len(s) AS n, min(doc_id) AS id FROM shingled WHERE len(s) > 0 GROUP BY ALL),
+members AS (SELECT doc_id, sets.id FROM shingled JOIN sets ON hash(list_sort(shingled.s)) = h AND list_sort(shingled.s) = sets.s),
+spots AS (SELECT id, n, unnest(s) AS g FROM sets),
+shared AS (SELECT a.id AS x, b.id AS y, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM spots a JOIN spots b ON a.g = b.g AND a.id <> b.id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY 1, 2),
+links AS (SELECT x, y FROM shared WHERE 100 * c >= 85 * (na + nb - c)),
+reached(x, y) AS (SELECT id, id FROM sets UNION SELECT r.x, l.y FROM reached r JOIN links l ON r.y = l.x),
+least AS (SELECT x, min(y) AS component_id FROM reached GROUP BY x)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept
+FROM shingled LEFT JOIN members USING (doc_id) LEFT JOIN least ON members.id = least.x
+"""
+
 TOP_SQL = """
 WITH whole AS (
     SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
@@ -268,6 +302,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: Queries that SQL can state; pages of the given tables hold no canonical or refresh tags,
 #: which the tests cover instead, so there op5 has rules only and url_aliases has redirects.
 CHECKS = {
+    "op4_embedding_duplicates": VECTOR_SQL,
+    "op6_minhash_duplicates": DOCUMENT_SQL,
     "op5_url_filter": URL_SQL,
     "url_aliases": ALIAS_SQL,
     "op7_exact_top_k": TOP_SQL,
