@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from coverlay.functions import geodesy
 from coverlay.functions.kernels import (
@@ -339,6 +340,34 @@ def small_hits(geom, core, cx, cy, parity, blob, size: float, margin: float, cen
     return pa.StructArray.from_arrays([pa.array(touches), pa.array(centred)], names=["touches", "centred"])
 
 
+def window_hits(geom, sure, tiles, x1, y1, x2, y2, size: float, margin: float, centre: str | None) -> pa.Array:
+    """``list<struct<z, touches, centred>>``: the zones that each polygon meets, each once.
+
+    Only tiles of the cells that the polygon's box covers (``x1`` to ``y2``) are tried; a ``sure``
+    polygon is known to lie in the interior of all zones of its cell.
+    """
+    row = _numbers(pc.list_parent_indices(tiles)).astype(np.int64)
+    flat = pc.list_flatten(tiles)
+    z, cx, cy, core, parity, edges = (flat.field(n) for n in ("z", "cx", "cy", "core", "parity", "edges"))
+    across, up = _numbers(cx), _numbers(cy)
+    own = (across >= _numbers(x1)[row]) & (across <= _numbers(x2)[row]) & (up >= _numbers(y1)[row]) & (up <= _numbers(y2)[row])
+    touches = _flags(sure)[row] & own
+    centred = touches.copy()
+    tried = np.flatnonzero(own & ~touches)
+    if len(tried):
+        at = pa.array(tried)
+        found = small_hits(geom.take(pa.array(row[tried])), *(c.take(at) for c in (core, cx, cy, parity, edges)), size, margin, centre)
+        touches[tried], centred[tried] = (_flags(found.field(n)) for n in ("touches", "centred"))
+    hit = np.flatnonzero(touches | centred)
+    zone = _numbers(z)[hit].astype(np.int64)
+    wide = int(zone.max(initial=0)) + 1
+    pair, group = np.unique(row[hit] * wide + zone, return_inverse=True)
+    marks = [np.bincount(group, m[hit], len(pair)) > 0 for m in (touches, centred)]
+    items = pa.StructArray.from_arrays([pa.array(pair % wide, pa.int32()), *map(pa.array, marks)], names=["z", "touches", "centred"])
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(pair // wide, minlength=len(tiles)))))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items)
+
+
 def large_hits(kind, core, cx, cy, parity, blob, own_parity, own_blob, mx, my, size: float) -> pa.Array:
     """The same from the cells that cover a polygon."""
     kinds = _numbers(kind)

@@ -19,12 +19,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from coverlay.functions import covers, kernels, shapes, types
 
+TILE_FIELDS = ("cx", "cy", "core", "parity", "edges")
 # Cells per median zone side; finer grids mean more core cells but more tiles.
 SPLITS = (8, 4, 2)
 # Largest tile table that is sent to every executor; beyond it both sides are shuffled.
@@ -35,6 +36,8 @@ CLASS_FACTOR = 4.0
 MARGIN = 1e-9
 # Levels of coarser cells above a grid's own, each twice as wide: what a large feature fills.
 LEVELS = 8
+# Tiles that one row of a window's table holds; more zones continue in further rows.
+WINDOW_TILES = 16
 # Zone vertices tiled by one task before the zones are spread over more tasks.
 VERTICES_PER_TASK = 500_000
 
@@ -61,6 +64,11 @@ class Grid:
     def can_broadcast(self) -> bool:
         return self.tile_bytes <= BROADCAST_BYTES
 
+    @property
+    def can_broadcast_windows(self) -> bool:
+        """A tile is in four windows and in its cell's own row."""
+        return 5 * self.tile_bytes <= BROADCAST_BYTES
+
     @property
     def can_broadcast_nested(self) -> bool:
         return max(self.nested_bytes, self.tile_bytes) <= BROADCAST_BYTES
@@ -129,6 +137,30 @@ def build_tiles(zones: DataFrame, grid: Grid, zone_id: str = "zone_id", geom: st
     return _tiled(zones, grid, zone_id, geom, types.TILES, lambda shape: kernels.tiles_of(shape, size, margin))
 
 
+def by_window(tiles: DataFrame, grid: Grid) -> DataFrame:
+    """The tiles of all zones by cell (``reach`` 1) and by window of 2 x 2 cells (``reach`` 2).
+
+    ``wx, wy`` is the window's first cell, ``zones`` the zones found there and ``tiles`` their
+    tiles, with ``z``, the zone's place in ``zones``.  A zone's tiles are in one row; ``whole``
+    says that the row has all zones of the window, ``all_core`` that all its tiles are core.
+    Windows are left out where the table would be too large to broadcast.
+    """
+    corners = [(1, 0, 0), *((2, dx, dy) for dx in (0, 1) for dy in (0, 1) if grid.can_broadcast_windows)]
+    spots = [F.struct(F.lit(r).alias("reach"), (F.col("cx") - dx).alias("wx"), (F.col("cy") - dy).alias("wy")) for r, dx, dy in corners]
+    spot = ["reach", "wx", "wy"]
+    placed = tiles.withColumn("_spot", F.explode(F.array(*spots))).select(*[f"_spot.{c}" for c in spot], "zone_id", F.struct(*TILE_FIELDS).alias("tile"))
+    per_zone = placed.groupBy(*spot, "zone_id").agg(F.collect_list("tile").alias("tiles"))
+    before = F.sum(F.size("tiles")).over(Window.partitionBy(*spot).orderBy("zone_id")) - F.size("tiles")
+    rows = per_zone.withColumn("part", F.floor(before / WINDOW_TILES)).withColumn("parts", F.max("part").over(Window.partitionBy(*spot)))
+    found = rows.groupBy(*spot, "part", "parts").agg(F.collect_list(F.struct("zone_id", "tiles")).alias("found"))
+    numbered = F.flatten(
+        F.transform("found", lambda e, z: F.transform(e["tiles"], lambda t: F.struct(z.alias("z"), *[t[c].alias(c) for c in TILE_FIELDS])))
+    )
+    return found.select(
+        *spot, (F.col("parts") == 0).alias("whole"), F.col("found.zone_id").alias("zones"), numbered.alias("tiles")
+    ).withColumn("all_core", F.forall("tiles", lambda t: t["core"]))
+
+
 def build_nested_tiles(zones: DataFrame, grid: Grid, zone_id: str = "zone_id", geom: str = "geom") -> DataFrame:
     """The tiles at ``_level`` 0, and each zone's cells on the coarser levels."""
     size, margin = grid.size, grid.margin

@@ -94,9 +94,8 @@ def buildings_intersect_zones(spark: SparkSession, d: str) -> DataFrame:
       GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) GROUP BY ALL""",
 )
 def straddling_buildings(spark: SparkSession, d: str) -> DataFrame:
-    pairs = sj.assign_by_intersection(L.footprints(spark, d), L.zone_index(spark, d), L.FOOTPRINT_ID)
-    per = pairs.groupBy(*L.FOOTPRINT_ID).agg(F.count(F.lit(1)).alias("n_zones"))
-    return per.groupBy("n_zones").agg(F.count(F.lit(1)).alias("n_buildings"))
+    found = sj.features_by_zones(L.footprints(spark, d), L.zone_index(spark, d), L.FOOTPRINT_ID)
+    return found.withColumnRenamed("n", "n_buildings")
 
 
 @query(
