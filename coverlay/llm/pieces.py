@@ -17,12 +17,13 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import cached_property, partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -117,9 +118,12 @@ class Lattice:
         out[hit[same]] = self._ids[at[same]]
         return out
 
-    def viterbi(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Of each segment: best score, loss of the second-best path, best path's ids."""
-        best, loss, ids = np.zeros(len(segments)), np.full(len(segments), NEVER), [np.zeros(0, np.int32)] * len(segments)
+    def viterbi(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each segment: best score, loss of the second-best path, number of the best
+        path's ids; and all these ids, one segment after another."""
+        best, loss, counts = np.zeros(len(segments)), np.full(len(segments), NEVER), np.zeros(len(segments), np.int64)
+        order: list[int] = []
+        stock: list[np.ndarray] = []
         groups: dict[int, list[int]] = {}
         for place, segment in enumerate(segments):
             groups.setdefault(len(segment), []).append(place)
@@ -127,12 +131,18 @@ class Lattice:
             step = max(1, 400_000 // (length + 1))
             for begin in range(0, len(places), step):
                 part = places[begin : begin + step]
-                best[part], loss[part], found = self._viterbi([segments[p] for p in part], length)
-                for p, path in zip(part, found, strict=True):
-                    ids[p] = path
-        return best, loss, ids
-
-    def _viterbi(self, segments: list[str], length: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+                best[part], loss[part], counts[part], ids = self._viterbi([segments[p] for p in part], length)
+                order += part
+                stock.append(ids)
+        if not stock:
+            return best, loss, counts, np.zeros(0, np.int32)
+        done = counts[order]
+        start = np.empty(len(segments), np.int64)
+        start[order] = np.cumsum(done) - done
+        before = np.cumsum(counts) - counts
+        return best, loss, counts, np.concatenate(stock)[np.repeat(start - before, counts) + np.arange(counts.sum())]
+
+    def _viterbi(self, segments: list[str], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         m = len(segments)
         chars = np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32).reshape(m, length)
         width = np.ones(chars.shape, np.int64)
@@ -180,7 +190,7 @@ class Lattice:
         owner, ids = owner[by], ids[by]
         if (ids < 0).any():
             owner, ids = self._spell(owner, ids)
-        return score[length], np.minimum(loss, NEVER), np.split(ids.astype(np.int32), np.searchsorted(owner, np.arange(1, m)))
+        return score[length], np.minimum(loss, NEVER), np.bincount(owner, minlength=m), ids.astype(np.int32)
 
     def _spell(self, owner: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Replace characters (below 0) by the pieces of their bytes."""
@@ -257,14 +267,14 @@ class Encoder:
         self._byte_of = {int(i): bytes([b]) for b, i in enumerate(vocabulary.byte_ids)}
 
     def _rows(self, segments: list[str]) -> np.ndarray:
-        best, loss, ids = self.lattice.viterbi(segments)
+        best, loss, counts, ids = self.lattice.viterbi(segments)
         out = np.empty((len(segments), 4))
-        out[:, 0], out[:, 1], out[:, 2] = best, loss, [len(i) for i in ids]
+        out[:, 0], out[:, 1], out[:, 2] = best, loss, counts
         # Where the path's ids lie among those of all known segments.
         if self._segments._used == 0:
             self._paths, self._length = [], 0
         out[:, 3] = self._length + np.cumsum(out[:, 2]) - out[:, 2]
-        self._paths = [np.concatenate([*self._paths, *ids]) if ids or self._paths else np.zeros(0, np.int32)]
+        self._paths = [np.concatenate([*self._paths, ids])]
         self._length = len(self._paths[0])
         return out
 
@@ -360,6 +370,15 @@ def decode(vocabulary: Vocabulary, ids: Sequence[int]) -> str:
     return raw.decode("utf-8", "replace")[1:]
 
 
+def _joined(paths: list[np.ndarray]) -> pa.Array:
+    return pa.array(np.concatenate(paths) if paths else np.zeros(0, np.int32), pa.int32())
+
+
+def _lists(lengths: Iterable[int], values: pa.Array, mask: pa.Array | None = None) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum(np.fromiter(lengths, np.int64))))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=mask)
+
+
 def encode_texts(docs: DataFrame, vocabulary: Vocabulary, n: int = 3, text: str = "text") -> DataFrame:
     """Every row of ``docs`` with ``ids`` (best path), ``others`` (the next paths, ``n`` with the
     best one), ``scores`` (of all these, best first; fewer where the text has fewer) and
@@ -374,28 +393,34 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary, n: int = 3, text: str
     if clash:
         raise ValueError(f"columns exist already: {sorted(clash)}")
 
-    def encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary)
         for part in parts:
-            texts = part[text].fillna("").tolist()
+            column = part.column(part.schema.get_field_index(text))
+            texts = column.fill_null("").to_pylist()
+            null = np.asarray(column.is_null())
             # Rows go back as soon as a few are done: ids are longer than texts.
             for begin, end in batches(texts):
-                values: dict[str, list] = {name: [] for name in added}
-                for given, (best, scores, spell) in zip(texts[begin:end], encoder.paths(texts[begin:end], n), strict=True):
-                    others = [p for p in spell() if not np.array_equal(p, best)][: len(scores) - 1]
-                    values["ids"].append(best)
-                    values["others"].append(others)
-                    values["scores"].append(scores)
-                    values["exact"].append(encoder.decode(best) == given and all(encoder.same(best, p) for p in others))
-                out = part.iloc[begin:end].copy()
-                null = out[text].isna()
-                for name, found in values.items():
-                    out[name] = pd.Series(found, index=out.index, dtype=object)
-                    out.loc[null, name] = None
-                yield out
-
+                ids, others, scores, exact = [], [], [], []
+                for given, (best, found, spell) in zip(texts[begin:end], encoder.paths(texts[begin:end], n), strict=True):
+                    rest = [p for p in spell() if not np.array_equal(p, best)][: len(found) - 1]
+                    ids.append(best)
+                    others.append(rest)
+                    scores.append(found)
+                    exact.append(encoder.decode(best) == given and all(encoder.same(best, p) for p in rest))
+                mask = pa.array(null[begin:end])
+                inner = [p for rest in others for p in rest]
+                columns = [
+                    _lists(map(len, ids), _joined(ids), mask),
+                    _lists(map(len, others), _lists(map(len, inner), _joined(inner)), mask),
+                    _lists(map(len, scores), pa.array([x for found in scores for x in found], pa.float64()), mask),
+                    pa.array(exact, pa.bool_(), mask=null[begin:end]),
+                ]
+                yield pa.RecordBatch.from_arrays([*part.slice(begin, end - begin).columns, *columns], names=names)
+
+    names = [*docs.columns, *added]
     fields = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields], *[f"{name} {kind}" for name, kind in added.items()]])
-    return docs.mapInPandas(encode, fields)
+    return docs.mapInArrow(encode, fields)
 
 
 def decode_ids(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", into: str = "decoded") -> DataFrame:
