@@ -31,6 +31,8 @@ from coverlay.operators.lineage import settle
 
 #: Places of a signature, and the share of pairs at the threshold that bands may miss.
 PLACES, MISSED = 256, 1e-5
+# Elements signed at once (a shuffle of all places each), and columns of an indicator matrix.
+SIGNED_ELEMENTS, COLUMNS = 50_000, 2048
 #: Documents and shingles of a block, about.
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 300_000
 #: What tells rows apart: the key, or 0 and ``none`` for a null key, and a digest of the text.
@@ -143,8 +145,8 @@ def _signer(shingle: int, rows: int):
             prints, keys = np.zeros((len(sets), 2), np.int64), [None] * len(sets)
             begin = 0
             while begin < len(sets):
-                # About 200,000 elements at once, one set at least.
-                end = begin + max(1, int(np.searchsorted(np.cumsum(sizes[begin:]), 200_000)))
+                # One set at least.
+                end = begin + max(1, int(np.searchsorted(np.cumsum(sizes[begin:]), SIGNED_ELEMENTS)))
                 some = sets[begin:end]
                 elements = np.concatenate(some) if some else np.zeros(0, np.uint64)
                 doc = np.repeat(np.arange(len(some)), sizes[begin:end])
@@ -185,9 +187,9 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     by = np.argsort(column, kind="stable")
     column, doc = column[by], doc[by]
     out = np.zeros((len(left), len(right)), np.float32)
-    for begin in range(0, int(column.max(initial=-1)) + 1, 4096):
-        a, b = np.searchsorted(column, [begin, begin + 4096])
-        one = np.zeros((len(left) + len(right), 4096), np.float32)
+    for begin in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+        a, b = np.searchsorted(column, [begin, begin + COLUMNS])
+        one = np.zeros((len(left) + len(right), COLUMNS), np.float32)
         one[doc[a:b], column[a:b] - begin] = 1
         out += one[: len(left)] @ one[len(left) :].T
     return out.astype(np.int64)
