@@ -368,6 +368,34 @@ def window_hits(geom, sure, tiles, x1, y1, x2, y2, size: float, margin: float, c
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items)
 
 
+def pairs_of(hits: pa.ListArray, zones: pa.Array, whole: pa.Array, many_cells: pa.Array) -> tuple[pa.Array, list[pa.Array]]:
+    """``window_hits`` as one row per hit: the polygon's row, and its zone, ``home`` and marks.
+
+    ``zones`` lists each row's zones in ascending order.  What a row that is not ``whole`` saw is
+    not all: it has no ``home`` and no number of zones.
+    """
+    row = _numbers(pc.list_parent_indices(hits)).astype(np.int64)
+    z, touches, centred = (pc.list_flatten(hits).field(n) for n in ("z", "touches", "centred"))
+    lengths = _numbers(pc.list_value_length(zones)).astype(np.int64)
+    names, first = pc.list_flatten(zones), np.cumsum(lengths) - lengths
+    place = first[row] + _numbers(z).astype(np.int64)
+    home, none = np.full(len(hits), len(names)), len(names)
+    inside = _flags(centred)
+    np.minimum.at(home, row[inside], place[inside])
+    seen = _flags(whole)
+    home = home[row]
+    at = pa.array(row)
+    marks = [
+        names.take(pa.array(place)),
+        names.take(pa.array(home, mask=(home == none) | ~seen[row])),
+        many_cells.take(at),
+        pa.array(np.bincount(row, _flags(touches), len(hits)).astype(np.int32)[row], mask=~seen[row]),
+        touches,
+        centred,
+    ]
+    return at, marks
+
+
 def large_hits(kind, core, cx, cy, parity, blob, own_parity, own_blob, mx, my, size: float) -> pa.Array:
     """The same from the cells that cover a polygon."""
     kinds = _numbers(kind)

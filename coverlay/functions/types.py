@@ -30,6 +30,7 @@ NEAR = ArrayType(struct(cx=INT, cy=INT, core=BOOL, parity=INT, edges=BINARY, nea
 COVER = ArrayType(struct(kind=INT, level=INT, cx=INT, cy=INT, parity=INT, edges=BINARY))
 PREPARED = struct(mx=DOUBLE, my=DOUBLE, cover=COVER)
 HITS = struct(touches=BOOL, centred=BOOL)
-ZONE_HITS = ArrayType(struct(z=INT, touches=BOOL, centred=BOOL))
+#: What a (polygon, zone) pair tells besides its zones.
+PAIR_MARKS = {"many_cells": BOOL, "n_zones": INT, "touches": BOOL, "centred": BOOL}
 CLIPPED = struct(spans=SPANS, length=DOUBLE)
 VALIDITY = struct(valid=BOOL, reason=TEXT)

@@ -140,8 +140,8 @@ def build_tiles(zones: DataFrame, grid: Grid, zone_id: str = "zone_id", geom: st
 def by_window(tiles: DataFrame, grid: Grid) -> DataFrame:
     """The tiles of all zones by cell (``reach`` 1) and by window of 2 x 2 cells (``reach`` 2).
 
-    ``wx, wy`` is the window's first cell, ``zones`` the zones found there and ``tiles`` their
-    tiles, with ``z``, the zone's place in ``zones``.  A zone's tiles are in one row; ``whole``
+    ``wx, wy`` is the window's first cell, ``zones`` the zones found there in ascending order and
+    ``tiles`` their tiles, with ``z``, the zone's place in ``zones``.  A zone's tiles are in one row; ``whole``
     says that the row has all zones of the window, ``all_core`` that all its tiles are core.
     Windows are left out where the table would be too large to broadcast.
     """
@@ -152,7 +152,7 @@ def by_window(tiles: DataFrame, grid: Grid) -> DataFrame:
     per_zone = placed.groupBy(*spot, "zone_id").agg(F.collect_list("tile").alias("tiles"))
     before = F.sum(F.size("tiles")).over(Window.partitionBy(*spot).orderBy("zone_id")) - F.size("tiles")
     rows = per_zone.withColumn("part", F.floor(before / WINDOW_TILES)).withColumn("parts", F.max("part").over(Window.partitionBy(*spot)))
-    found = rows.groupBy(*spot, "part", "parts").agg(F.collect_list(F.struct("zone_id", "tiles")).alias("found"))
+    found = rows.groupBy(*spot, "part", "parts").agg(F.array_sort(F.collect_list(F.struct("zone_id", "tiles"))).alias("found"))
     numbered = F.flatten(
         F.transform("found", lambda e, z: F.transform(e["tiles"], lambda t: F.struct(z.alias("z"), *[t[c].alias(c) for c in TILE_FIELDS])))
     )

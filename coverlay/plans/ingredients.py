@@ -64,7 +64,7 @@ def building_counts(
     kept = [*fid, "geom"]
     kept += [c for c in ("xmin", "ymin", "xmax", "ymax") if c in observed.columns and c in reference.columns]
     layers = _both_sides(observed, reference, kept)
-    pairs = polygon_pairs(layers, zones, fid, centre=centroid_space)
+    pairs = polygon_pairs(layers, zones, fid, centre=centroid_space, keep=[*fid, "side"])
     counts = count_pairs(pairs, fid, ["zone_id", "side"], "intersection", {"centroid": "centred"})
     return counts.groupBy("zone_id").agg(
         *[

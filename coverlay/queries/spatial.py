@@ -82,7 +82,8 @@ def buildings_by_equal_area_centroid(spark: SparkSession, d: str) -> DataFrame:
     L.layers_sql("z b") + f" SELECT zone_id, l_returnflag, count(*)::BIGINT AS n FROM z JOIN b ON {BOX_MEETS} GROUP BY ALL",
 )
 def buildings_intersect_zones(spark: SparkSession, d: str) -> DataFrame:
-    pairs = sj.polygon_pairs(L.footprints(spark, d), L.zone_index(spark, d), L.FOOTPRINT_ID)
+    kept = [*L.FOOTPRINT_ID, "l_returnflag"]
+    pairs = sj.polygon_pairs(L.footprints(spark, d), L.zone_index(spark, d), L.FOOTPRINT_ID, keep=kept)
     return sj.count_pairs(pairs, L.FOOTPRINT_ID, ["zone_id", "l_returnflag"])
 
 
@@ -199,7 +200,7 @@ def window_read_stored(spark: SparkSession, d: str) -> DataFrame:
 )
 def one_zone_features(spark: SparkSession, d: str) -> DataFrame:
     target = L.zones(spark, d).filter("n_nationkey = 12")
-    pairs = sj.features_of_zone(L.footprints(spark, d), target, L.FOOTPRINT_ID)
+    pairs = sj.features_of_zone(L.footprints(spark, d), target, L.FOOTPRINT_ID, keep=[*L.FOOTPRINT_ID, "l_returnflag"])
     return sj.count_pairs(pairs, L.FOOTPRINT_ID, ["zone_id", "l_returnflag"])
 
 
@@ -485,7 +486,7 @@ def length_precision(spark: SparkSession, d: str) -> DataFrame:
 def wkb_ingest(spark: SparkSession, d: str) -> DataFrame:
     stored = L.footprints(spark, d).select(*L.FOOTPRINT_ID, geo.encode_wkb("geom").alias("geometry"))
     decoded = geo.decode_geometry(stored).withColumn("area", shapes.measures("geom")["area"])
-    pairs = sj.assign_by_intersection(decoded, L.zone_index(spark, d), L.FOOTPRINT_ID)
+    pairs = sj.assign_by_intersection(decoded, L.zone_index(spark, d), L.FOOTPRINT_ID, keep=["area"])
     return pairs.groupBy("zone_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("area"), 4).alias("area"))
 
 
