@@ -212,11 +212,7 @@ def one_zone_features(spark: SparkSession, d: str) -> DataFrame:
       JOIN z h ON mx > h.x0 AND mx < h.x0 + 20 AND my > h.y0 AND my < h.y0 + 20 AND h.zone_id <> z.zone_id GROUP BY ALL""",
 )
 def centroid_in_neighbour(spark: SparkSession, d: str) -> DataFrame:
-    index = L.zone_index(spark, d)
-    touching = sj.assign_by_intersection(L.footprints(spark, d), index, L.FOOTPRINT_ID)
-    centred = sj.assign_by_centroid(touching.withColumnRenamed("zone_id", "touched"), index, centroid_space="planar")
-    moved = centred.filter(F.col("zone_id") != F.col("touched"))
-    return moved.groupBy(F.col("touched").alias("zone_id"), F.col("zone_id").alias("home")).agg(F.count(F.lit(1)).alias("n"))
+    return audit.centroids_moved(L.footprints(spark, d), L.zone_index(spark, d), L.FOOTPRINT_ID, centroid_space="planar")
 
 
 @query(
