@@ -87,3 +87,36 @@ def test_planar_lengths_are_summed_where_they_are_cut(spark):
     wanted = {(r.zone_id, r.side): r.length for r in clipped.collect()}
     assert got.keys() == wanted.keys() and len(got) > 20
     assert all(got[k] == pytest.approx(wanted[k], rel=1e-12, abs=1e-9) for k in wanted)
+
+
+@pytest.mark.parametrize(("files", "dealt"), [(16, False), (1, True)])
+def test_a_scan_that_is_dealt_out_already_is_not_shuffled(spark, tmp_path, files, dealt):
+    for name in ("nation", "region", "lineitem"):
+        table = spark.read.parquet(f"{DATA}/{name}.parquet")
+        (table.repartition(files) if name == "lineitem" else table).write.parquet(str(tmp_path / f"{name}.parquet"))
+    spark.conf.set("spark.coverlay.scanPartitions", "8")
+    try:
+        gaps = QUERIES["centroid_explain_gaps"](spark, str(tmp_path))
+        # Before, all rows were shuffled, however many row groups and files the table had.
+        assert ("Repartition 8" in plan_of(gaps)) == dealt
+        rows = sorted(map(tuple, gaps.collect()))
+    finally:
+        spark.conf.unset("spark.coverlay.scanPartitions")
+    assert rows == sorted(map(tuple, QUERIES["centroid_explain_gaps"](spark, DATA).collect())) and len(rows) == 25
+
+
+def test_a_scan_is_dealt_out_where_one_task_holds_most_rows(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from coverlay.operators.spread import spread
+
+    one_large = F.when(F.col("id") < 5000, 0).otherwise(F.col("id") % 16)
+    spark.range(6000).repartitionByRange(16, one_large).write.parquet(str(tmp_path / "t"))
+    spark.conf.set("spark.coverlay.scanPartitions", "8")
+    try:
+        table = spark.read.parquet(str(tmp_path / "t"))
+        # Partitions enough for 8, but one has the large file.
+        assert table.rdd.getNumPartitions() >= 4 and "Repartition 8" in plan_of(spread(table))
+        assert spread(table.filter("id < 0")).count() == 0
+    finally:
+        spark.conf.unset("spark.coverlay.scanPartitions")
